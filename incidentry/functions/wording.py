@@ -13,7 +13,8 @@ def factor_label(text: str | Column, mode: str = "full") -> Column:
     """Short label of a contributing factor; label aggregated rows rather than raw ones where you can."""
     text = as_column(text)
     if mode == "simple":
-        return F.substring(F.trim(F.split_part(text, F.lit(";"), F.lit(1))), 1, 30)
+        first = F.split_part(text, F.lit(";"), F.lit(1))
+        return F.coalesce(F.substring(F.when(first == "", text).otherwise(first), 1, 30), F.lit(""))
     low = F.lower(F.trim(text))
     buckets = None
     for pattern, label in fixed.FACTOR_PATTERNS:
