@@ -47,9 +47,11 @@ def with_investigation_rules(df: DataFrame, null_is_true: bool = True) -> DataFr
     return df.withColumns({"investigation_required": required, "action_complete": complete})
 
 
-def with_stages(df: DataFrame) -> DataFrame:
+def with_stages(df: DataFrame, by_time_frame: bool | None = None) -> DataFrame:
     """Columns the stage report counts; the text time frame wins over the dates when the column is there."""
-    if "notification_time_frame" in df.columns:
+    if by_time_frame is None:
+        by_time_frame = "notification_time_frame" in df.columns
+    if by_time_frame:
         prompt = is_prompt_time_frame("notification_time_frame")
         hours = time_frame_hours("notification_time_frame").cast("double")
         late = ~prompt
