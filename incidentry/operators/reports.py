@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.clock import age_in_years, hour_of_text, month_label, month_start
+from incidentry.functions.clock import age_in_years, delay_days, hour_of_text, month_label, month_start
 from incidentry.functions.common import count_if
 from incidentry.functions.wording import factor_label
 from incidentry.operators.joins import (
@@ -50,7 +50,7 @@ def executive_kpis(df: DataFrame) -> DataFrame:
     latest = F.col("month") == F.col("latest")
     before = F.col("month") == F.add_months("latest", -1)
     return (
-        months.join(F.broadcast(whole), latest | before, "right")  # one row
+        months.crossJoin(F.broadcast(whole))  # one row
         .groupBy("latest", "high_severity", "reportable")
         .agg(
             F.coalesce(F.sum(F.when(latest, F.col("n"))), F.lit(0)).alias("latest_month_count"),
@@ -88,7 +88,7 @@ def side_panel(df: DataFrame, keep: Column) -> DataFrame:
     return counts.agg(
         total.alias("filtered_rows"),
         F.sum("n").alias("total_rows"),
-        F.datediff(F.max(F.when(kept, F.col("last"))), F.min(F.when(kept, F.col("first")))).alias("days"),
+        delay_days(F.min(F.when(kept, F.col("first"))), F.max(F.when(kept, F.col("last")))).alias("days"),
         F.count_distinct(F.when(kept, F.col("location"))).alias("locations"),
         F.count_distinct(F.when(kept, F.col("incident_type"))).alias("incident_types"),
         F.try_divide(F.sum(F.when(kept, F.col("severe"))) * 100.0, total).alias("high_severity_pct"),
