@@ -61,6 +61,12 @@ def finite_or_zero(name: str) -> Column:
     return F.when(bad, 0.0).otherwise(value)
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table, read as a scalar subquery."""
+    packed = one_row.select(F.struct("*").alias("row")).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, "_row.*")
+
+
 def whole_number(value: str | Column) -> Column:
     """Integer part, or null when there is none."""
     return as_column(value).try_cast("double").try_cast("bigint")

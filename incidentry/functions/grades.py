@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.common import as_column, banded, pick
+from incidentry.functions.common import as_column, banded, beside, pick
 
 
 def normal_severity(value: str | Column) -> Column:
@@ -66,8 +66,7 @@ def with_flag(df: DataFrame, source: str, target: str, numeric: bool | None = No
     if numeric is not None:
         return df.withColumn(target, _number_flag(value) if numeric else _word_flag(value))
     probe = df.agg(F.coalesce(F.bool_or(value.try_cast("double").isNotNull()), F.lit(False)).alias("_numeric"))
-    flagged = df.crossJoin(F.broadcast(probe))  # one row
-    return flagged.withColumn(
+    return beside(df, probe).withColumn(
         target, F.when(F.col("_numeric"), _number_flag(value)).otherwise(_word_flag(value))
     ).drop("_numeric")
 

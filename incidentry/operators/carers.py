@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
 from incidentry.functions.clock import delay_days
-from incidentry.functions.common import count_if, share
+from incidentry.functions.common import beside, count_if, share
 from incidentry.functions.grades import compliance_band, delay_band, plain_flag, severity_rank, workload_band
 from incidentry.operators.joins import dense, severity_domain
 from incidentry.operators.ordered import exact_percentiles
@@ -120,7 +120,7 @@ def carer_profile(df: DataFrame) -> DataFrame:
     )
     severe = exact_percentiles(carers, "high_crit", {"high_crit_p80": 0.8})
     volume = exact_percentiles(carers, "incidents", {"incidents_p80": 0.8})
-    return carers.crossJoin(F.broadcast(severe)).crossJoin(F.broadcast(volume))  # one row each
+    return beside(beside(carers, severe), volume)
 
 
 def risk_profile(df: DataFrame, key: str = "incident_type") -> DataFrame:
@@ -262,7 +262,7 @@ def risk_network(df: DataFrame) -> DataFrame:
     )
     most = pairs.agg(F.greatest(F.max("incident_count"), F.lit(1)).alias("_most"))
     return (
-        pairs.crossJoin(F.broadcast(most))  # one row
+        beside(pairs, most)
         .withColumn(
             "risk_score",
             F.col("avg_severity") * 0.4
@@ -277,7 +277,7 @@ def high_risk_pairs(pairs: DataFrame, portion: float = 0.8) -> DataFrame:
     """Pairs above the percentile of the score, riskiest first."""
     cut = exact_percentiles(pairs, "risk_score", {"_cut": portion})
     return (
-        pairs.crossJoin(F.broadcast(cut))  # one row
+        beside(pairs, cut)
         .where(F.col("risk_score") > F.col("_cut"))
         .drop("_cut")
         .orderBy(F.desc("risk_score"), "carer_id", "participant_id")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incidentry.operators.joins import dense, fixed_table
 from incidentry.operators.ordered import BUCKETS, running_sums
 
 
-def confusion_matrix(scored: DataFrame) -> DataFrame:
+def confusion_matrix(scored: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Count per label and prediction, zero cells included."""
     cells = scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count"))
-    classes = cells.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
-    grid = classes.crossJoin(F.broadcast(classes.select(F.col("label").alias("prediction"))))  # one row per class
-    return grid.join(cells, ["label", "prediction"], "left").fillna(0, ["count"])
+    grid = fixed_table(scored.sparkSession, [(a, b) for a in classes for b in classes], "label int, prediction int")
+    return dense(grid, cells, ["label", "prediction"], ["count"])
 
 
 def _ratio(a: Column, b: Column) -> Column:

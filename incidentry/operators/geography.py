@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.common import count_if, title_case
+from incidentry.functions.common import beside, count_if, title_case
 from incidentry.functions.grades import map_severity, map_severity_rank
 from incidentry.functions.places import jitter, looks_like_address, looks_like_street, steady_uniform, suburb
 from incidentry.operators.joins import fixed_table, lookup_join, top_values
@@ -86,9 +86,7 @@ def map_kpis(points: DataFrame) -> DataFrame:
     longitude = exact_percentiles(points, "longitude", {"center_lon": 0.5})
     default_lat, default_lon = fixed.DEFAULT_CENTER
     return (
-        figures.join(F.broadcast(top), F.lit(True), "left")  # one row each
-        .crossJoin(F.broadcast(latitude))
-        .crossJoin(F.broadcast(longitude))
+        beside(beside(beside(figures, top), latitude), longitude)
         .withColumns(
             {
                 "center_lat": F.coalesce("center_lat", F.lit(default_lat)),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions.clock import MICROS_PER_HOUR, micros
-from incidentry.functions.common import as_column
+from incidentry.functions.common import as_column, beside
 
 BUCKETS = 65_536
 NULL_TIME_BASE = 1 << 40  # later than any hour number
@@ -78,7 +78,7 @@ def exact_percentiles(df: DataFrame, value: str | Column, shares: Mapping[str, f
     )
     ends = counts.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
     ranked = running_sums(
-        counts.crossJoin(F.broadcast(ends)),  # one row
+        beside(counts, ends),
         order=[F.col("_value")],
         bucket=value_bucket(F.col("_value"), F.col("_low"), F.col("_high")),
         sums={"_before": F.col("_n")},

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
 from incidentry.functions.clock import age_in_years, delay_days, hour_of_text, month_label, month_start
-from incidentry.functions.common import count_if
+from incidentry.functions.common import beside, count_if
 from incidentry.functions.wording import factor_label
 from incidentry.operators.joins import (
     dense,
@@ -50,13 +50,12 @@ def executive_kpis(df: DataFrame) -> DataFrame:
     latest = F.col("month") == F.col("latest")
     before = F.col("month") == F.add_months("latest", -1)
     return (
-        months.crossJoin(F.broadcast(whole))  # one row
-        .groupBy("latest", "high_severity", "reportable")
+        beside(beside(months, whole), top)
+        .groupBy("top_type", "latest", "high_severity", "reportable")
         .agg(
             F.coalesce(F.sum(F.when(latest, F.col("n"))), F.lit(0)).alias("latest_month_count"),
             F.coalesce(F.sum(F.when(before, F.col("n"))), F.lit(0)).alias("previous_month_count"),
         )
-        .join(F.broadcast(top), F.lit(True), "left")  # one row
         .select(
             F.coalesce("top_type", F.lit("N/A")).alias("top_type"),
             F.date_format("latest", "MMMM yyyy").alias("latest_month"),
@@ -105,7 +104,8 @@ def monthly_by_severity(df: DataFrame, zeros: bool = True) -> DataFrame:
     counts = df.groupBy(month_label("incident_date").alias("year_month"), "severity").agg(_rows())
     if not zeros:
         return counts
-    domain = counts.select("year_month").distinct().crossJoin(F.broadcast(severity_domain(df.sparkSession)))  # 4 rows
+    names = F.array(*[F.lit(name) for name in fixed.SEVERITY_ORDER])
+    domain = counts.select("year_month").distinct().withColumn("severity", F.explode(names))
     return dense(domain, counts, ["year_month", "severity"], ["count"])
 
 
@@ -151,8 +151,8 @@ def hour_by_cause(df: DataFrame, cause: str | None = None, k: int = 5) -> DataFr
     grouped = (
         others_relabelled(counts, top, "cause", "cause_group").groupBy("hour", "cause_group").agg(F.sum("n").alias("count"))
     )
-    groups = grouped.select("cause_group").distinct()  # k + 1 rows
-    domain = number_domain(df.sparkSession, "hour", 24).crossJoin(F.broadcast(groups))
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    domain = grouped.select("cause_group").distinct().withColumn("hour", hours)  # 24 rows for each of k + 1 groups
     filled = dense(domain, grouped, ["hour", "cause_group"], ["count"])
     return filled.withColumn("total", F.sum("count").over(Window.partitionBy("hour")))
 
@@ -199,7 +199,7 @@ def severe_age_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     place = F.floor((F.col("participant_age") - F.col("low")) / F.nullif(width, F.lit(0.0))) + 1
     return (
-        ages.crossJoin(F.broadcast(ends))  # one row
+        beside(ages, ends)
         .groupBy(F.coalesce(F.least(place, F.lit(bins)), F.lit(1)).cast("int").alias("bin"))
         .agg(
             F.first(F.col("low") * F.lit(1.0)).alias("_low"), F.first(width).alias("_width"), F.sum("n").alias("count")
@@ -217,7 +217,8 @@ def factors_by_month(df: DataFrame, k: int = 25) -> DataFrame:
     labels = texts.groupBy(factor_label("contributing_factors").alias("factor"), "month").agg(F.sum("n").alias("count"))
     top = top_values(labels, "factor", k, F.col("count"))
     kept = keep_top(labels, top, "factor")
-    domain = kept.select("month").distinct().crossJoin(F.broadcast(top.select("factor")))  # k rows
+    names = top.agg(F.collect_list("factor").alias("_factors"))  # k labels
+    domain = beside(kept.select("month").distinct(), names).select("month", F.explode("_factors").alias("factor"))
     return dense(domain, kept, ["factor", "month"], ["count"])
 
 
@@ -263,9 +264,7 @@ def largest_histories(df: DataFrame) -> DataFrame:
         counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("incident_id").alias("n"))
         return counts.agg(F.max("n").alias(name))
 
-    return most("participant_id", "max_participant_incidents").crossJoin(
-        F.broadcast(most("carer_id", "max_carer_incidents"))  # one row
-    )
+    return beside(most("participant_id", "max_participant_incidents"), most("carer_id", "max_carer_incidents"))
 
 
 def locations_by_count(df: DataFrame) -> DataFrame:
