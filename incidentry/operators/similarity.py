@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions.common import beside
-from incidentry.operators.joins import is_small
+from incidentry.operators.joins import is_small, lookup_join
+from incidentry.session import settle
 
 DIGITS = 6  # similarities are compared and returned at this precision, so ties do not depend on summation order
 BLOCK_ROWS = 4096
@@ -46,7 +47,7 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     those are shuffled.
     """
     if not is_small(queries):
-        raise ValueError("query batch too large for one pass: split it, or use similar_to_all")
+        raise ValueError("query batch too large to send to every task: split it, or use similar_to_all")
     batch = queries.toPandas()
     query_ids = batch["id"].to_numpy()
     query_matrix = np.array(batch["vector"].tolist(), dtype=float).reshape(len(batch), -1)
@@ -66,3 +67,63 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     kept = corpus.mapInPandas(search, "query_id bigint, id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _block_search(k: int):
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+        scores = np.array(left["vector"].tolist(), dtype=float) @ np.array(right["vector"].tolist(), dtype=float).T
+        scores = np.round(scores, DIGITS) + 0.0
+        ids = right["group_id"].to_numpy()
+        found = []
+        for group, row in zip(left["group_id"], scores):
+            best = _best(ids, row, k + 1)
+            found.append(pd.DataFrame({"left_id": group, "right_id": ids[best], "similarity": row[best]}))
+        return pd.concat(found)
+
+    return search
+
+
+def similar_to_all(corpus: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k most similar rows for every row of (id, vector).
+
+    Equal vectors are compared once: each distinct vector keeps its k + 1 smallest ids, and no other id of it can be in an
+    answer. Distinct vectors are compared block against block, which is quadratic in their number, but a comparison keeps only
+    k + 1 vectors for each vector, so pairs are neither shuffled nor written.
+    """
+    copies = Window.partitionBy("vector").orderBy("id")
+    groups = settle(
+        corpus.withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= k + 1)
+        .groupBy("vector")
+        .agg(F.min("id").alias("group_id"), F.array_sort(F.collect_list("id")).alias("ids"))
+    )
+    blocks = max(1, -(-groups.count() // block_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64("group_id"), F.lit(blocks)).cast("int")
+    left = groups.select("group_id", "vector", own.alias("i"), every.alias("j"))
+    right = groups.select("group_id", "vector", own.alias("j"), every.alias("i"))
+    compared = (
+        left.groupBy("i", "j")
+        .cogroup(right.groupBy("i", "j"))
+        .applyInPandas(_block_search(k), "left_id bigint, right_id bigint, similarity double")
+    )
+    best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
+    near = compared.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k + 1)
+    candidates = near.join(groups.select(F.col("group_id").alias("right_id"), "ids"), "right_id").select(
+        "left_id", "similarity", F.explode("ids").alias("id")
+    )
+    nearest = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "id")
+    answers = (
+        candidates.withColumn("_rank", F.row_number().over(nearest))
+        .where(F.col("_rank") <= k + 1)
+        .groupBy("left_id")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "id"))).alias("_near"))
+    )
+    by_vector = answers.join(groups.select(F.col("group_id").alias("left_id"), "vector"), "left_id").drop("left_id")
+    rows = lookup_join(corpus.withColumnRenamed("id", "query_id"), by_vector, "vector", "query_id")
+    others = F.slice(F.filter("_near", lambda c: c["id"] != F.col("query_id")), 1, k)
+    return rows.select("query_id", F.posexplode(others).alias("_place", "_hit")).select(
+        "query_id", F.col("_hit.id").alias("id"), (0.0 - F.col("_hit.order")).alias("similarity"), (F.col("_place") + 1).alias("rank")
+    )
