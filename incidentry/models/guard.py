@@ -66,7 +66,8 @@ class LeakageGuard(Estimator):
             correlations = None
         else:
             report, correlations = self._examine(dataset)
-        kept = list(dict.fromkeys(row[0] for row in report if row[1] is None and all(r[1] is None for r in report if r[0] == row[0])))
+        dropped = {name for name, category, *_ in report if category}
+        kept = [name for name in (self.columns_out or self.candidates) if name in dataset.columns and name not in dropped]
         if not kept:
             if correlations is None:
                 correlations = self._statistics(dataset)[1]

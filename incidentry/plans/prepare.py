@@ -21,22 +21,21 @@ from incidentry.sources.incidents import load
 
 
 def with_incident_ids(df: DataFrame) -> DataFrame:
-    """Ids 1..n in date order when the table has none.
+    """Ids 1..n in date order when the table has none; ties by the other columns.
 
-    Rows of a day are ordered by a hash of the whole row, so the ids do not depend on how the input was split, and no single
-    task sorts the table. Rows alike in every column may trade ids.
+    No single task sorts the table, and the ids do not depend on how the input was split. Rows alike in every column may
+    trade ids.
     """
     if "incident_id" in df.columns:
         return df
-    columns = df.columns
-    hashed = df.withColumn("_hash", F.xxhash64(*columns))
+    others = [name for name in df.columns if name != "incident_date"]
     counted = running_sums(
-        hashed,
-        order=[F.col("incident_date").asc_nulls_last(), F.col("_hash")] + [F.col(name) for name in columns],
-        bucket=time_bucket("incident_date", F.shiftright("_hash", 24) + F.lit(1 << 39)),
+        df,
+        order=[F.col(name).asc_nulls_last() for name in ["incident_date", *others]],
+        bucket=time_bucket("incident_date", F.lit(0)),
         sums={"_before": F.lit(1).cast("bigint")},
     )
-    return counted.select((F.col("_before") + 1).alias("incident_id"), *columns)
+    return counted.select((F.col("_before") + 1).alias("incident_id"), *df.columns)
 
 
 def with_person_ids(df: DataFrame) -> DataFrame:
