@@ -300,7 +300,7 @@ on("w5_seasonal_change", raw, lambda d: forecast.forecast(d, 14))
 on("w7_cooldown", events, lambda d: gate.with_gate(
     d, ["user_id", "event_type"], "ts", "event_id", 86_400
 ).select("event_id", "allowed"))
-on("w7_cooldown_per_type", events, lambda d: gate.with_gate(d, ["event_type"], "ts", "event_id", 3600, 6).select("event_id", "allowed"))
+on("w7_cooldown_per_type", events, lambda d: gate.with_gate(d, ["event_type"], "ts", "event_id", 3600, 6, calm_times=100).select("event_id", "allowed"))
 
 # --- sorting, limits, reshaping ----------------------------------------------------------------------------------------
 on("t1_t3_worst_delays", derived, lambda d: carers.worst_delay(carers.delay_by_carer(d), 10, "over_1", 15))

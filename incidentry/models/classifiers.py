@@ -109,7 +109,7 @@ def cross_validated(stages: list, train: DataFrame, rows: int, seed: int) -> tup
         foldCol="fold",
     )
     model = validator.fit(with_folds(train, folds, seed=seed))
-    return model.avgMetrics[0], model.stdMetrics[0]
+    return float(model.avgMetrics[0]), float(model.stdMetrics[0])
 
 
 def compare_models(

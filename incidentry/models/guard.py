@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from incidentry import fixed_values as fixed
 
 REPORT = "feature string, category string, reason string, value double, kept boolean"
-ROUGH = 0.01  # relative error of the approximate distinct counts
-MARGIN = 0.05
+SKETCH_BITS = 12  # relative error about 1.6 %
+MARGIN = 0.1
 
 
 def first_pattern(name: str, patterns: Sequence[str]) -> str | None:
@@ -85,7 +85,9 @@ class LeakageGuard(Estimator):
                 F.count(value).alias(f"n{i}"),
                 F.stddev_pop(value).alias(f"s{i}"),
                 F.abs(F.corr(value, label)).alias(f"c{i}"),
-                F.approx_count_distinct(value, ROUGH).alias(f"d{i}"),
+                F.hll_sketch_estimate(
+                    F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(SKETCH_BITS))
+                ).alias(f"d{i}"),
             ]
         row = dataset.agg(F.count(F.lit(1)).alias("rows"), *cells).first()
         finite = {

@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.functions.clock import micros
+from incidentry.operators.joins import lookup_join
+from incidentry.session import settle
 
 CHUNK_COOLDOWNS = 24
+CALM_TIMES = 1000
 
 
 def alert_key(*parts: str) -> Column:
@@ -72,30 +75,49 @@ def _chunk_starts(cooldown: int):
     return starts
 
 
-def passing_times(alerts: DataFrame, cooldown_seconds: int, chunk_cooldowns: int = CHUNK_COOLDOWNS) -> DataFrame:
-    """``alerts(key, at)`` with times in microseconds -> the times at which the gate lets an alert through."""
-    cooldown = cooldown_seconds * 1_000_000
+def _fold(times: str, cooldown: int, opens: Column) -> Column:
+    """Times that pass out of a sorted list, the first one not before ``opens``."""
+    begin = F.struct(opens.alias("opens"), F.array().cast("array<bigint>").alias("passed"))
+
+    def step(state: Column, at: Column) -> Column:
+        passed = F.struct((at + cooldown).alias("opens"), F.concat(state["passed"], F.array(at)).alias("passed"))
+        return F.when(at >= state["opens"], passed).otherwise(state)
+
+    return F.aggregate(times, begin, step, lambda state: state["passed"])
+
+
+def _listed(times: DataFrame, *keys: str) -> DataFrame:
+    return times.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("times"))
+
+
+def _busy_passing(times: DataFrame, cooldown: int, chunk_cooldowns: int) -> DataFrame:
     length = cooldown * chunk_cooldowns
-    times = alerts.select("key", F.floor(F.col("at") / F.lit(length)).cast("bigint").alias("chunk"), "at").distinct()
-    candidates = times.groupBy("key", "chunk").applyInPandas(
+    cut = times.withColumn("chunk", F.floor(F.col("at") / F.lit(length)).cast("bigint"))
+    candidates = cut.groupBy("key", "chunk").applyInPandas(
         _chunk_exits(cooldown, length), "key string, chunk bigint, entry bigint, exit bigint"
     )
     starts = candidates.groupBy("key").applyInPandas(_chunk_starts(cooldown), "key string, chunk bigint, start bigint")
-    begin = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("passed"))
+    replayed = _listed(cut, "key", "chunk").join(starts, ["key", "chunk"])
+    return replayed.select("key", F.explode(_fold("times", cooldown, F.col("start"))).alias("at"))
 
-    def step(state: Column, at: Column) -> Column:
-        passes = F.when(state["last"].isNull(), at >= F.col("start")).otherwise(at - state["last"] >= cooldown)
-        return F.when(
-            passes, F.struct(at.alias("last"), F.concat(state["passed"], F.array(at)).alias("passed"))
-        ).otherwise(state)
-
-    replayed = (
-        times.groupBy("key", "chunk")
-        .agg(F.array_sort(F.collect_list("at")).alias("times"))
-        .join(starts, ["key", "chunk"])
-        .select("key", F.explode(F.aggregate("times", begin, step, lambda state: state["passed"])).alias("at"))
-    )
-    return replayed
+
+def passing_times(
+    alerts: DataFrame, cooldown_seconds: int, chunk_cooldowns: int = CHUNK_COOLDOWNS, calm_times: int = CALM_TIMES
+) -> DataFrame:
+    """``alerts(key, at)`` with times in microseconds -> the times at which the gate lets an alert through.
+
+    A key with at most ``calm_times`` distinct times is one short list; the others are counted first and cut into chunks.
+    """
+    cooldown = cooldown_seconds * 1_000_000
+    times = alerts.select("key", "at").distinct()
+    counts = times.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    busy = settle(counts.where(F.col("n") > calm_times).select("key", F.lit(True).alias("busy")))
+    always = F.lit(-(1 << 62)).cast("bigint")
+    if busy.isEmpty():
+        return _listed(times, "key").select("key", F.explode(_fold("times", cooldown, always)).alias("at"))
+    marked = lookup_join(times, busy, "key", "at")
+    calm = _listed(marked.where("busy is null"), "key").select("key", F.explode(_fold("times", cooldown, always)).alias("at"))
+    return calm.unionByName(_busy_passing(marked.where("busy").drop("busy"), cooldown, chunk_cooldowns))
 
 
 def with_gate(
@@ -105,13 +127,14 @@ def with_gate(
     tie: str,
     cooldown_seconds: int = 3600,
     chunk_cooldowns: int = CHUNK_COOLDOWNS,
+    calm_times: int = CALM_TIMES,
 ) -> DataFrame:
     """Add ``allowed``: whether the gate lets the alert through."""
     keyed = df.withColumns({"_key": alert_key(*key_parts), "_at": micros(time)})
     if cooldown_seconds <= 0:
         return keyed.withColumn("allowed", F.lit(True)).drop("_key", "_at")
     alerts = keyed.select(F.col("_key").alias("key"), F.col("_at").alias("at"))
-    passed = passing_times(alerts, cooldown_seconds, chunk_cooldowns)
+    passed = passing_times(alerts, cooldown_seconds, chunk_cooldowns, calm_times)
     first = keyed.groupBy("_key", "_at").agg(F.min(tie).alias("_first"))
     winners = passed.join(first, (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))).select(
         "_key", "_at", F.col("_first").alias(tie), F.lit(True).alias("allowed")
