@@ -500,8 +500,7 @@ def cl1_embeddings(spark, folder):
 
 
 def embedding_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    table = embedding_columns(spark, folder)
-    return similarity.unit_vectors(table, "vec_id", [name for name in table.columns if name.startswith("e")])
+    return similarity.unit_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", ["embedding"])
 
 
 @register("si1_similar_rows")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import statistics
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,15 +100,14 @@ def cross_validated(stages: list, train: DataFrame, rows: int, seed: int) -> tup
     folds = min(3, rows // 10)
     if rows <= 10 or folds < 2:
         return None, None
-    validator = CrossValidator(
-        estimator=Pipeline(stages=stages),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-    )
-    model = validator.fit(with_folds(train, folds, seed=seed))
-    return float(model.avgMetrics[0]), float(model.stdMetrics[0])
+    numbered = with_folds(train, folds, seed=seed).persist()
+    scores = []
+    for fold in range(folds):
+        model = Pipeline(stages=stages).fit(numbered.where(F.col("fold") != fold))
+        right = F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))
+        scores.append(scored(model, numbered.where(F.col("fold") == fold)).agg(right).first()[0] or 0.0)
+    numbered.unpersist()
+    return statistics.fmean(scores), statistics.pstdev(scores)
 
 
 def compare_models(
@@ -131,18 +129,21 @@ def compare_models(
     table = split(features.frame, strategy, time, group, test_size, seed).persist()
     train, test = table.where("not is_test"), table.where("is_test")
     weighted, weight_sum = balanced_weights(train)
+    guard = LeakageGuard(features.names, corr_threshold=corr_threshold)
+    guarded = guard.fit(weighted)
     results = {}
     for name, tail in (
         ("RandomForest", random_forest(seed)),
         ("LogisticRegression", logistic_regression(weight_sum)),
     ):
-        stages = [LeakageGuard(features.names, corr_threshold=corr_threshold), *tail]
-        model = Pipeline(stages=stages).fit(weighted)
+        model = Pipeline(stages=[guarded, *tail]).fit(weighted)
         predictions = scored(model, test)
         right = F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))
         accuracy = predictions.agg(right).first()[0] or 0.0
-        mean, deviation = cross_validated(stages, weighted, int(weight_sum), seed) if cross_validate else (None, None)
-        results[name] = TrainedModel(name, model, accuracy, mean, deviation, model.stages[0].kept, predictions)
+        mean, deviation = None, None
+        if cross_validate:  # here the guard is fitted anew in every fold
+            mean, deviation = cross_validated([guard, *tail], weighted, int(weight_sum), seed)
+        results[name] = TrainedModel(name, model, accuracy, mean, deviation, guarded.kept, predictions)
     return results
 
 

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incidentry import fixed_values as fixed
 from incidentry.operators.joins import lookup_join
 from incidentry.operators.ordered import running_sums, time_bucket
 
 
-def with_counts(df: DataFrame, key: str, prior: str, total: str, time: str | Column = "incident_datetime") -> DataFrame:
+def with_counts(
+    df: DataFrame,
+    key: str,
+    prior: str,
+    total: str,
+    time: str | Column = "incident_datetime",
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Number of earlier incidents of the same key in time order (unknown times last), and of all incidents.
 
     Rows are shuffled by key and hour, never by the key alone, so a busy carer is spread over many tasks.
@@ -22,13 +30,15 @@ def with_counts(df: DataFrame, key: str, prior: str, total: str, time: str | Col
         sums={prior: F.lit(1).cast("bigint")},
         by=[key],
         totals={prior: total},
+        counted=None if counted is None else counted.withColumn("_time", time),
     )
     return ordered.drop("_time")
 
 
 def with_histories(df: DataFrame) -> DataFrame:
+    rows = df
     for key, prefix in (("participant_id", "participant"), ("carer_id", "carer")):
-        df = with_counts(df, key, f"{prefix}_prior_incidents", f"{prefix}_total_incidents")
+        df = with_counts(df, key, f"{prefix}_prior_incidents", f"{prefix}_total_incidents", counted=rows)
     return df
 
 
@@ -46,12 +56,10 @@ def with_location_risk(df: DataFrame, rated: DataFrame | None = None) -> DataFra
 
 def fallback_features(df: DataFrame) -> DataFrame:
     """The seven past-only features, for tables that did not pass the full preparation."""
-    from incidentry import fixed_values as fixed
-
     counted = df
     epoch = F.coalesce("incident_datetime", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     for key, prefix in (("participant_id", "participant"), ("carer_id", "carer")):
-        counted = with_counts(counted, key, f"{prefix}_incident_count", f"_{prefix}_total", epoch)
+        counted = with_counts(counted, key, f"{prefix}_incident_count", f"_{prefix}_total", epoch, counted=df)
     place = F.lower(F.coalesce("location", F.lit("")))
     kitchen = F.when(place.contains(fixed.KITCHEN_PATTERN), 1.0).otherwise(0.0)
     bathroom = F.when(place.rlike(fixed.BATHROOM_PATTERN_FALLBACK), 1.0).otherwise(0.0)

@@ -26,10 +26,12 @@ def running_sums(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add, for every row, the sums over the rows before it in ``order``; ``totals`` names columns for the whole-key sums.
 
-    ``bucket`` must never be null and must not decrease along ``order``. Rows with a null key get nulls.
+    ``bucket`` must never be null and must not decrease along ``order``. Rows with a null key get nulls. ``counted`` may be an
+    earlier table with the same rows, which is cheaper to read for the bucket sums.
     """
     by, totals = list(by), dict(totals or {})
     part = [*by, "_bucket"]
@@ -37,7 +39,8 @@ def running_sums(
     before_row = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before_bucket = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole_key = Window.partitionBy(*by)
-    bucket_sums = keyed.groupBy(*part).agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
+    source = keyed if counted is None else counted.withColumn("_bucket", bucket)
+    bucket_sums = source.groupBy(*part).agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
     starts = bucket_sums.select(
         *part,
         *[F.coalesce(F.sum(f"_sum_{name}").over(before_bucket), F.lit(0)).alias(f"_start_{name}") for name in sums],

@@ -15,7 +15,6 @@ from incidentry.functions.wording import factor_label
 from incidentry.operators.joins import (
     dense,
     fixed_table,
-    keep_top,
     month_domain,
     number_domain,
     others_relabelled,
@@ -214,12 +213,16 @@ def factors_by_month(df: DataFrame, k: int = 25) -> DataFrame:
     Labels are made from counted factor texts, so the patterns run once per text and month rather than once per row.
     """
     texts = df.groupBy("contributing_factors", month_label("incident_date").alias("month")).agg(_rows("n"))
-    labels = texts.groupBy(factor_label("contributing_factors").alias("factor"), "month").agg(F.sum("n").alias("count"))
-    top = top_values(labels, "factor", k, F.col("count"))
-    kept = keep_top(labels, top, "factor")
-    names = top.agg(F.collect_list("factor").alias("_factors"))  # k labels
-    domain = beside(kept.select("month").distinct(), names).select("month", F.explode("_factors").alias("factor"))
-    return dense(domain, kept, ["factor", "month"], ["count"])
+    labels = texts.groupBy(factor_label("contributing_factors").alias("factor"), "month").agg(F.sum("n").alias("n"))
+    by_factor = labels.groupBy("factor").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("counts")
+    )
+    top = by_factor.orderBy(F.desc("total"), "factor").limit(k)
+    all_kept = Window.partitionBy(F.lit(0))  # k rows at most
+    months = F.array_distinct(F.flatten(F.collect_list(F.map_keys("counts")).over(all_kept)))
+    return top.withColumn("month", months).select("factor", "counts", F.explode("month").alias("month")).select(
+        "factor", "month", F.coalesce(F.try_element_at("counts", F.col("month")), F.lit(0)).alias("count")
+    )
 
 
 def monthly_counts(df: DataFrame, date: str = "incident_date") -> DataFrame:

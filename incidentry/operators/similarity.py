@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Normalizer, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from incidentry.functions.common import beside
 from incidentry.operators.joins import is_small, lookup_join
 from incidentry.session import settle
 
@@ -18,21 +20,18 @@ BLOCK_ROWS = 4096
 
 
 def unit_vectors(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """(id, vector): columns scaled by mean and population deviation, then to length one; a zero row stays zero."""
-    stats = df.agg(
-        *[F.avg(name).alias(f"_m{i}") for i, name in enumerate(columns)],
-        *[F.stddev_pop(name).alias(f"_s{i}") for i, name in enumerate(columns)],
-    )
-    scaled = [
-        (F.col(f"`{name}`").cast("double") - F.col(f"_m{i}"))
-        / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)
-        for i, name in enumerate(columns)
-    ]
-    rows = beside(df, stats).select(F.col(row_id).alias("id"), F.array(*scaled).alias("_v"))
-    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda total, v: total + v * v))
-    return rows.withColumn("_l", length).select(
-        "id", F.transform("_v", lambda v: F.when(F.col("_l") > 0, v / F.col("_l")).otherwise(0.0)).alias("vector")
-    )
+    """(id, vector): number columns, or one array column, scaled by mean and deviation and then to length one.
+
+    The choice between sample and population deviation cancels in the second step. A zero row stays zero.
+    """
+    if len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, T.ArrayType):
+        packed = F.col(columns[0]).cast("array<double>")
+    else:
+        packed = F.array(*[F.col(f"`{name}`").cast("double") for name in columns])
+    rows = df.select(F.col(row_id).alias("id"), array_to_vector(packed).alias("_raw"))
+    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(rows)
+    unit = Normalizer(inputCol="_scaled", outputCol="_unit", p=2.0).transform(scaler.transform(rows))
+    return unit.select("id", vector_to_array("_unit").alias("vector"))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
