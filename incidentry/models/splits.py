@@ -24,7 +24,7 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.25, seed: int =
     ranked = running_sums(
         groups,
         order=[F.col("_hash"), F.col(group)],
-        bucket=hash_bucket("_hash"),
+        buckets=[hash_bucket("_hash")],
         sums={"_before": F.lit(1).cast("bigint")},
         totals={"_before": "_groups"},
     )
@@ -37,7 +37,7 @@ def _ranked_by_class(df: DataFrame, label: str, row_id: str, seed: int) -> DataF
     return running_sums(
         df.withColumn("_hash", F.xxhash64(row_id, F.lit(seed))),
         order=[F.col("_hash"), F.col(row_id)],
-        bucket=hash_bucket("_hash"),
+        buckets=[hash_bucket("_hash")],
         sums={"_before": F.lit(1).cast("bigint")},
         by=[label],
         totals={"_before": "_class_rows"},

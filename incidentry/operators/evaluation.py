@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.operators.joins import dense, fixed_table
-from incidentry.operators.ordered import BUCKETS, running_sums
+from incidentry.operators.ordered import running_sums, share_buckets
 
 
 def confusion_matrix(scored: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
@@ -59,11 +59,10 @@ def score_steps(scored: DataFrame) -> DataFrame:
         F.sum(F.col("label").cast("bigint")).alias("positives"),
         F.sum(1 - F.col("label").cast("bigint")).alias("negatives"),
     )
-    high_to_low = (F.lit(BUCKETS - 1) - F.floor(F.col("probability") * F.lit(BUCKETS - 1.0))).cast("bigint")
     return running_sums(
         steps,
         order=[F.desc("probability")],
-        bucket=high_to_low,
+        buckets=[-level for level in share_buckets(F.col("probability"))],
         sums={"tp_before": F.col("positives"), "fp_before": F.col("negatives")},
         totals={"tp_before": "all_positives", "fp_before": "all_negatives"},
     )

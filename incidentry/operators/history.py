@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
 from incidentry.operators.joins import lookup_join
-from incidentry.operators.ordered import running_sums, time_bucket
+from incidentry.operators.ordered import running_sums, time_buckets
 
 
 def with_counts(
@@ -20,13 +20,13 @@ def with_counts(
 ) -> DataFrame:
     """Number of earlier incidents of the same key in time order (unknown times last), and of all incidents.
 
-    Rows are shuffled by key and hour, never by the key alone, so a busy carer is spread over many tasks.
+    Rows are shuffled by key, time and a block of ids, never by the key alone, so a busy carer is spread over many tasks.
     """
     time = F.col(time) if isinstance(time, str) else time
     ordered = running_sums(
         df.withColumn("_time", time),
         order=[F.col("_time").asc_nulls_last(), F.col("incident_id")],
-        bucket=time_bucket("_time", "incident_id"),
+        buckets=time_buckets("_time", "incident_id"),
         sums={prior: F.lit(1).cast("bigint")},
         by=[key],
         totals={prior: total},

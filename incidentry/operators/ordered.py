@@ -1,8 +1,8 @@
 """Running sums and percentiles over any number of rows.
 
-A window over a whole key, or over no key at all, is read by one task. Here an order-preserving bucket splits each key:
-running sums are taken inside a bucket, and the sum of the buckets before it is added. The bucket table holds one row per
-key and bucket, so its size depends on the number of buckets and not on the number of rows.
+A window over a whole key, or over no key at all, is read by one task. Here order-preserving buckets split each key: running
+sums are taken inside a bucket, and the sum of the buckets before it is added. Buckets come in levels, a fine one inside each
+coarse one, so that a coarse bucket with very many rows is split again and no level gathers more than its own bucket sums.
 """
 
 from __future__ import annotations
@@ -16,13 +16,33 @@ from incidentry.functions.clock import MICROS_PER_HOUR, micros
 from incidentry.functions.common import as_column, beside
 
 BUCKETS = 65_536
-NULL_TIME_BASE = 1 << 40  # later than any hour number
+NULL_TIME_HOUR = 1 << 40  # later than any hour number
+TIE_BLOCK_BITS = 20
+
+
+def _starts(sums: DataFrame, by: list[str], levels: list[str], names: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """Bucket sums -> sums over all earlier buckets of the same key, level by level."""
+    outer, last = [*by, *levels[:-1]], levels[-1]
+    earlier = Window.partitionBy(*outer).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}") for name in names]
+    if len(levels) == 1:
+        whole_key = Window.partitionBy(*by)
+        whole = [F.sum(f"_sum_{name}").over(whole_key).alias(total) for name, total in totals.items()]
+        return sums.select(*by, last, *within, *whole)
+    coarse = sums.groupBy(*outer).agg(*[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in names])
+    before = _starts(coarse, by, levels[:-1], names, totals)
+    for name in names:
+        before = before.withColumnRenamed(f"_start_{name}", f"_outer_{name}")
+    joined = sums.select(*outer, last, *within).join(before, outer)
+    return joined.withColumns({f"_start_{name}": F.col(f"_start_{name}") + F.col(f"_outer_{name}") for name in names}).drop(
+        *[f"_outer_{name}" for name in names]
+    )
 
 
 def running_sums(
     df: DataFrame,
     order: Sequence[Column],
-    bucket: Column,
+    buckets: Sequence[Column],
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
@@ -30,35 +50,40 @@ def running_sums(
 ) -> DataFrame:
     """Add, for every row, the sums over the rows before it in ``order``; ``totals`` names columns for the whole-key sums.
 
-    ``bucket`` must never be null and must not decrease along ``order``. Rows with a null key get nulls. ``counted`` may be an
-    earlier table with the same rows, which is cheaper to read for the bucket sums.
+    ``buckets`` are the levels, coarse first. None may be null, and along ``order`` none may decrease inside the level above.
+    Rows with a null key get nulls. ``counted`` may be an earlier table with the same rows, which is cheaper to read for the
+    bucket sums.
     """
-    by, totals = list(by), dict(totals or {})
-    part = [*by, "_bucket"]
-    keyed = df.withColumn("_bucket", bucket)
-    before_row = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before_bucket = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole_key = Window.partitionBy(*by)
-    source = keyed if counted is None else counted.withColumn("_bucket", bucket)
+    by, names = list(by), list(sums)
+    levels = [f"_bucket{i}" for i in range(len(buckets))]
+    part = [*by, *levels]
+    placed = dict(zip(levels, buckets))
+    keyed = df.withColumns(placed)
+    source = keyed if counted is None else counted.withColumns(placed)
     bucket_sums = source.groupBy(*part).agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
-    starts = bucket_sums.select(
-        *part,
-        *[F.coalesce(F.sum(f"_sum_{name}").over(before_bucket), F.lit(0)).alias(f"_start_{name}") for name in sums],
-        *[F.sum(f"_sum_{name}").over(whole_key).alias(total) for name, total in totals.items()],
-    )
+    starts = _starts(bucket_sums, by, levels, names, dict(totals or {}))
+    before_row = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = keyed.withColumns(
         {name: F.coalesce(F.sum(value).over(before_row), F.lit(0)) for name, value in sums.items()}
     )
     joined = inside.join(starts, part, "left")
-    return joined.withColumns({name: F.col(name) + F.col(f"_start_{name}") for name in sums}).drop(
-        "_bucket", *[f"_start_{name}" for name in sums]
+    return joined.withColumns({name: F.col(name) + F.col(f"_start_{name}") for name in names}).drop(
+        *levels, *[f"_start_{name}" for name in names]
     )
 
 
-def time_bucket(time: str | Column, tie: str | Column) -> Column:
-    """Hour number of a time; rows without a time come last and are spread by the whole-number tie breaker."""
-    hour = F.floor(micros(time) / F.lit(float(MICROS_PER_HOUR))).cast("bigint")
-    return F.coalesce(hour, F.lit(NULL_TIME_BASE) + F.shiftright(as_column(tie).cast("bigint"), 20))
+def time_buckets(time: str | Column, tie: str | Column) -> list[Column]:
+    """Levels for the order time, tie: the hour, then the exact time with a block of the whole-number tie breaker.
+
+    Rows without a time come last.
+    """
+    at = micros(time)
+    hour = F.floor(at / F.lit(float(MICROS_PER_HOUR))).cast("bigint")
+    block = F.shiftright(as_column(tie).cast("bigint"), TIE_BLOCK_BITS)
+    return [
+        F.coalesce(hour, F.lit(NULL_TIME_HOUR)),
+        F.struct(F.coalesce(at, F.lit(0).cast("bigint")).alias("at"), F.coalesce(block, F.lit(0).cast("bigint")).alias("block")),
+    ]
 
 
 def hash_bucket(hashed: str | Column) -> Column:
@@ -66,9 +91,10 @@ def hash_bucket(hashed: str | Column) -> Column:
     return F.shiftright(as_column(hashed), 48).cast("bigint")
 
 
-def value_bucket(value: Column, low: Column, high: Column, buckets: int = BUCKETS) -> Column:
-    place = F.floor((value - low) / (high - low) * F.lit(buckets - 1.0))
-    return F.when(high > low, place).otherwise(0).cast("bigint")
+def share_buckets(portion: Column) -> list[Column]:
+    """Two levels for a number between 0 and 1."""
+    place = portion * F.lit(BUCKETS - 1.0)
+    return [F.floor(place).cast("bigint"), F.floor((place - F.floor(place)) * F.lit(float(BUCKETS))).cast("bigint")]
 
 
 def exact_percentiles(df: DataFrame, value: str | Column, shares: Mapping[str, float]) -> DataFrame:
@@ -80,10 +106,12 @@ def exact_percentiles(df: DataFrame, value: str | Column, shares: Mapping[str, f
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ends = counts.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    portion = F.when(width > 0, (F.col("_value") - F.col("_low")) / width).otherwise(0.0)
     ranked = running_sums(
         beside(counts, ends),
         order=[F.col("_value")],
-        bucket=value_bucket(F.col("_value"), F.col("_low"), F.col("_high")),
+        buckets=share_buckets(portion),
         sums={"_before": F.col("_n")},
         totals={"_before": "_total"},
     )

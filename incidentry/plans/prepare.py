@@ -15,7 +15,7 @@ from incidentry.functions.clock import combine_date_time, day_of_week, delay_hou
 from incidentry.functions.common import title_case
 from incidentry.functions.grades import normal_severity, severity_rank, with_flag
 from incidentry.operators.history import with_histories, with_location_risk
-from incidentry.operators.ordered import running_sums, time_bucket
+from incidentry.operators.ordered import running_sums, time_buckets
 from incidentry.operators.rules import with_investigation_rules
 from incidentry.sources.incidents import load
 
@@ -29,10 +29,11 @@ def with_incident_ids(df: DataFrame) -> DataFrame:
     if "incident_id" in df.columns:
         return df
     others = [name for name in df.columns if name != "incident_date"]
+    first = F.coalesce(F.col(others[0]).cast("string"), F.lit(""))
     counted = running_sums(
         df,
-        order=[F.col(name).asc_nulls_last() for name in ["incident_date", *others]],
-        bucket=time_bucket("incident_date", F.lit(0)),
+        order=[F.col("incident_date"), first] + [F.col(name).asc_nulls_last() for name in others],
+        buckets=[time_buckets("incident_date", F.lit(0))[0], F.struct("incident_date", first.alias("first"))],
         sums={"_before": F.lit(1).cast("bigint")},
     )
     return counted.select((F.col("_before") + 1).alias("incident_id"), *df.columns)
