@@ -86,7 +86,7 @@ over_incidents("s1_read_csv", f"""SELECT incident_id, {stamp('incident_date')} A
   {stamp('notification_date')} AS notification_date, trim(severity) AS severity, trim(location) AS location,
   CAST(reportable AS INT) AS reportable, participant_age, {stamp('dob')} AS dob, {r6('latitude')} AS latitude,
   dayname(incident_date) AS incident_weekday FROM incidents""")
-over_incidents("s2_drop_undated", f"SELECT incident_id, {stamp('incident_date')} AS incident_date FROM incidents WHERE incident_id % 9 <> 0")
+over_incidents("s2_drop_undated", f"SELECT incident_id, {stamp('notification_date')} AS incident_date FROM incidents WHERE notification_date IS NOT NULL")
 over_incidents("s3_weekday", "SELECT incident_id, dayname(incident_date) AS incident_weekday FROM incidents")
 over_incidents("s4_surrogate_ids", f"""SELECT row_number() OVER (ORDER BY incident_date, incident_time, participant_id, carer_id, incident_type)
   AS incident_id, {stamp('incident_date')} AS incident_date, incident_time, participant_id, carer_id, incident_type FROM incidents""")
@@ -223,7 +223,7 @@ over_incidents("j3_suburb_centroid", f"""SELECT i.incident_id, i.suburb, {r6('c.
 over_incidents("j4_keyword_centroid", f"""SELECT incident_id, {r6('arg_min(c.lat, c.place)')} AS lat, {r6('arg_min(c.lon, c.place)')} AS lon
   FROM incidents LEFT JOIN centroids c ON contains(lower(address), lower(c.suburb)) GROUP BY incident_id""", CENTROIDS)
 over_derived("j6_dense_hours", """SELECT CAST(h AS INT) AS hour, count(d.incident_id) AS count FROM range(24) r(h) LEFT JOIN d
-  ON d.hour = h AND location = 'Kitchen' AND severity = 'High' AND carer_id = 'C010' GROUP BY 1""")
+  ON d.hour = h GROUP BY 1""")
 over_derived("j7_top_types_or_other", """SELECT CASE WHEN incident_type IN (SELECT incident_type FROM d GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
   THEN incident_type ELSE 'Other' END AS category, count(*) AS count FROM d GROUP BY 1""")
 
@@ -242,7 +242,7 @@ SEVERITIES = "(VALUES ('Low'), ('Medium'), ('High'), ('Critical')) v(severity)"
 over_derived("a3_severity_distribution", f"SELECT v.severity, count(d.incident_id) AS count FROM {SEVERITIES} LEFT JOIN d USING (severity) GROUP BY 1")
 over_derived("a4_monthly_by_severity", f"""SELECT year_month, v.severity, count(c.incident_id) AS count
   FROM (SELECT DISTINCT month_label AS year_month FROM c0) m CROSS JOIN {SEVERITIES}
-  LEFT JOIN c0 c ON c.month_label = m.year_month AND c.severity = v.severity GROUP BY 1, 2""", "c0 AS (SELECT * FROM d WHERE carer_id = 'C040')")
+  LEFT JOIN c0 c ON c.month_label = m.year_month AND c.severity = v.severity GROUP BY 1, 2""", "c0 AS (SELECT * FROM d)")
 over_derived("a5_top_types", "SELECT incident_type, count(*) AS count FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 over_derived("a5_top_locations", "SELECT location, count(*) AS count FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 over_derived("a6_daily", f"SELECT {day('incident_date')} AS date, count(*) AS incidents FROM d GROUP BY 1")
@@ -338,7 +338,7 @@ over_derived("a17_factors_by_month", """SELECT t.factor, m.month, count(f.factor
   f"f AS (SELECT {factor('contributing_factors')} AS factor, month_label AS month FROM d)")
 over_derived("a18_monthly_counts", f"""SELECT {day('m')} AS month, count(k.incident_id) AS incidents FROM (SELECT unnest(generate_series(min(month),
   max(month), INTERVAL 1 MONTH)) AS m FROM k) LEFT JOIN k ON k.month = m GROUP BY 1""",
-  "k AS (SELECT * FROM d WHERE carer_id = 'C045' AND location = 'Kitchen')")
+  "k AS (SELECT * FROM d)")
 over_derived("a19_weekday_hour", "SELECT day_of_week, " + ", ".join(f"count(*) FILTER (WHERE hour = {h}) AS h{h:02d}" for h in range(24))
              + " FROM d GROUP BY 1")
 over_derived("a20_monthly_by_type", f"""SELECT {day("date_trunc('month', incident_datetime)")} AS month,
@@ -374,7 +374,7 @@ points AS (SELECT *,
     CAST(('0x' || substr(md5(address), 17, 8)) AS BIGINT) / 4294967296.0 AS u1 FROM m))"""
 over_derived("a27_map_kpis", f"""SELECT count(*) AS incidents_shown, count(*) FILTER (WHERE severity = 'Critical') AS critical_incidents,
   (SELECT upper(s[1]) || lower(s[2:]) FROM (SELECT suburb AS s FROM points WHERE point_lat IS NOT NULL AND suburb IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS top_suburb,
-  {r6('median(CASE WHEN suburb IS NULL THEN latitude END)')} AS center_lat, {r6('median(CASE WHEN suburb IS NULL THEN longitude END)')} AS center_lon
+  {r6('median(point_lat)')} AS center_lat, {r6('median(point_lon)')} AS center_lon
   FROM points WHERE point_lat IS NOT NULL""", CENTROIDS, POINTS)
 over_derived("g3_coordinates", f"SELECT incident_id, {r6('point_lat')} AS latitude, {r6('point_lon')} AS longitude FROM points", CENTROIDS, POINTS)
 CELLS = """cells AS (SELECT CAST(floor(point_lat / 0.01) AS BIGINT) AS cell_lat, CAST(floor(point_lon / 0.01) AS BIGINT) AS cell_lon,
@@ -414,8 +414,7 @@ ORACLES["st2_st3_s6_stream_outbox"] = cooldown("user_id || event_type", 86_400_0
 
 # --- text --------------------------------------------------------------------------------------------------------------
 over_incidents("x1_factor_labels", f"SELECT incident_id, {factor('contributing_factors')} AS factor FROM incidents")
-ORACLES["x1_document_labels"] = f"""SELECT {factor('text')} AS factor, count(*) AS count FROM documents
-  WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') GROUP BY 1"""
+ORACLES["x1_document_labels"] = f"SELECT {factor('text')} AS factor, count(*) AS count FROM documents GROUP BY 1"
 over_incidents("x1b_simple_labels", """SELECT incident_id, substr(CASE WHEN split_part(s, ';', 1) = '' THEN s ELSE split_part(s, ';', 1) END, 1, 30) AS factor
   FROM (SELECT incident_id, concat_ws(';', contributing_factors, location) AS s FROM incidents)""")
 SUMMARY = f"""'On ' || {day('incident_date')} || ' at ' || trim(location) || ', a ' || {title('trim(incident_type)')} || ' occurred (severity: ' || severity || ')'

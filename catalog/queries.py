@@ -76,7 +76,7 @@ def s1(spark, folder):
 
 
 on("s2_drop_undated", raw, lambda d: source.drop_undated(
-    d.withColumn("incident_date", F.when(F.col("incident_id") % 9 != 0, F.col("incident_date")))
+    d.withColumn("incident_date", F.col("notification_date"))  # a date column with nulls
 ).select("incident_id", "incident_date"))
 on("s3_weekday", raw, lambda d: source.load(d).select("incident_id", "incident_weekday"))
 on("s4_surrogate_ids", raw, lambda d: prepare.with_incident_ids(
@@ -219,7 +219,7 @@ on("j4_keyword_centroid", raw, lambda d: d.select(
 on("j5_actual_and_forecast", raw, lambda d: forecast.forecast(d.where("incident_date < timestamp_ntz'1997-01-01'"), 8))
 on("j6_dense_hours", derived, lambda d: joins.dense(
     joins.number_domain(d.sparkSession, "hour", 24),
-    d.where("location = 'Kitchen' and severity = 'High' and carer_id = 'C010'").groupBy("hour").agg(F.count(F.lit(1)).alias("count")),
+    d.groupBy("hour").agg(F.count(F.lit(1)).alias("count")),
     ["hour"], ["count"],
 ))
 on("j7_top_types_or_other", derived, lambda d: joins.others_relabelled(
@@ -239,7 +239,7 @@ on("a2_side_panel", derived, lambda d: reports.side_panel(
     d, rules.IncidentFilter(start="1996-01-01", end=LAST_DAY, ages=(20, 60)).condition()
 ))
 on("a3_severity_distribution", derived, reports.severity_distribution)
-on("a4_monthly_by_severity", derived, lambda d: reports.monthly_by_severity(d.where("carer_id = 'C040'")))
+on("a4_monthly_by_severity", derived, reports.monthly_by_severity)
 on("a5_top_types", derived, reports.top_incident_types)
 on("a5_top_locations", derived, reports.top_locations)
 on("a6_daily", derived, reports.daily_counts)
@@ -267,7 +267,7 @@ on("a16_stages_by_severity", derived, lambda d: carers.stage_counts(d, "severity
 on("a16_stages_by_dates", derived, lambda d: carers.stage_counts(d, "incident_type", by_time_frame=False))
 on("v2_stages_long", derived, lambda d: carers.stages_long(carers.stage_counts(d, "location"), "location"))
 on("a17_factors_by_month", derived, reports.factors_by_month)
-on("a18_monthly_counts", derived, lambda d: reports.monthly_counts(d.where("carer_id = 'C045' and location = 'Kitchen'")))
+on("a18_monthly_counts", derived, reports.monthly_counts)
 on("a19_weekday_hour", derived, reports.weekday_hour_matrix)
 on("a20_monthly_by_type", derived, reports.monthly_by_cause)
 on("a20_monthly_by_factor", derived, lambda d: reports.monthly_by_cause(d, by="contributing_factors", k=3))
@@ -284,10 +284,7 @@ on("a25_leakage_screen", derived, lambda d: correlation.leakage_screen(
 on("a25_target_distribution", derived, lambda d: correlation.target_distribution(d, "reportable_bin"))
 on("a26_largest_histories", derived, reports.largest_histories)
 on("a26_locations_by_count", derived, reports.locations_by_count)
-on("a27_map_kpis", derived, lambda d: geography.map_kpis(
-    geography.map_points(d).withColumn("latitude", F.when(F.col("suburb").isNull(), F.col("latitude")))
-    .withColumn("longitude", F.when(F.col("suburb").isNull(), F.col("longitude")))
-))
+on("a27_map_kpis", derived, lambda d: geography.map_kpis(geography.map_points(d)))
 on("a28_monthly_trend", derived, reports.monthly_trend)
 
 # --- windows -----------------------------------------------------------------------------------------------------------
@@ -320,7 +317,7 @@ on("x1_factor_labels", raw, lambda d: d.select("incident_id", wording.factor_lab
 
 @register("x1_document_labels")
 def x1_documents(spark, folder):
-    documents = spark.read.parquet(f"{folder}/documents.parquet").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     return documents.groupBy(wording.factor_label("text").alias("factor")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -475,10 +472,9 @@ on("e2_curve_areas", scored, evaluation.curve_areas)
 on("w6_score_steps", scored, lambda d: evaluation.score_steps(d).select(
     "probability", "positives", "negatives", "tp_before", "fp_before", "all_positives", "all_negatives"
 ))
-on("q21_exact_percentiles", derived, lambda d: common.beside(
-    ordered.exact_percentiles(d, "participant_age", {"age_p80": 0.8, "age_median": 0.5}),
-    ordered.exact_percentiles(d, "report_delay_hours", {"delay_p90": 0.9}),
-))
+on("q21_exact_percentiles", derived, lambda d: ordered.exact_percentiles(d, {
+    "age_p80": ("participant_age", 0.8), "age_median": ("participant_age", 0.5), "delay_p90": ("report_delay_hours", 0.9),
+}))
 
 
 @register("cl1_clusters")

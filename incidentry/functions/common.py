@@ -13,6 +13,11 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def strip(value: str | Column) -> Column:
+    """Without white space of any kind at both ends; ``trim`` alone removes blanks only."""
+    return F.trim(as_column(value), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def title_case(value: str | Column) -> Column:
     """Capital after every non-letter ('Self-Harm'), where ``initcap`` looks at blanks only."""
     pieces = F.split(as_column(value), "(?<=[^A-Za-z])")
@@ -20,7 +25,7 @@ def title_case(value: str | Column) -> Column:
 
 
 def clean_label(value: str | Column) -> Column:
-    return title_case(F.trim(F.translate(as_column(value), "_", " ")))
+    return title_case(strip(F.translate(as_column(value), "_", " ")))
 
 
 def pick(value: Column, table: Mapping, otherwise=None) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.common import as_column, banded, beside, pick
+from incidentry.functions.common import as_column, banded, beside, pick, strip
 
 
 def normal_severity(value: str | Column) -> Column:
-    return pick(F.lower(F.trim(as_column(value))), fixed.SEVERITY_WORDS, "Medium")
+    return pick(F.lower(strip(as_column(value))), fixed.SEVERITY_WORDS, "Medium")
 
 
 def severity_rank(value: str | Column, unknown: int | None = None) -> Column:
@@ -42,7 +42,7 @@ def plain_flag(value: str | Column) -> Column:
 
 
 def _word_flag(value: Column) -> Column:
-    return F.when(F.lower(F.trim(value)).isin(fixed.TRUE_WORDS), 1).otherwise(0)
+    return F.when(F.lower(strip(value)).isin(fixed.TRUE_WORDS), 1).otherwise(0)
 
 
 def _number_flag(value: Column) -> Column:

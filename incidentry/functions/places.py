@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.common import as_column
+from incidentry.functions.common import as_column, strip
 
 
 def suburb(address: str | Column) -> Column:
     """Upper-case suburb before ', NSW 9999'; null when the address has none."""
-    found = F.upper(F.trim(F.regexp_extract(as_column(address), fixed.SUBURB_PATTERN, 1)))
+    found = F.upper(strip(F.regexp_extract(as_column(address), fixed.SUBURB_PATTERN, 1)))
     return F.when(found != "", found)
 
 
@@ -22,7 +22,7 @@ def postcode(address: str | Column) -> Column:
 
 def looks_like_address(location: str | Column) -> Column:
     """A digit and a comma."""
-    text = F.coalesce(F.trim(as_column(location)), F.lit(""))
+    text = F.coalesce(strip(as_column(location)), F.lit(""))
     return text.rlike("[0-9]") & text.contains(",")
 
 

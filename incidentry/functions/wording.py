@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
-from incidentry.functions.common import as_column, pick, title_case, whole_number
+from incidentry.functions.common import as_column, pick, strip, title_case, whole_number
 
 
 def factor_label(text: str | Column, mode: str = "full") -> Column:
@@ -15,7 +15,7 @@ def factor_label(text: str | Column, mode: str = "full") -> Column:
     if mode == "simple":
         first = F.split_part(text, F.lit(";"), F.lit(1))
         return F.coalesce(F.substring(F.when(first == "", text).otherwise(first), 1, 30), F.lit(""))
-    low = F.lower(F.trim(text))
+    low = F.lower(strip(text))
     buckets = None
     for pattern, label in fixed.FACTOR_PATTERNS:
         buckets = F.when(low.rlike(pattern), label) if buckets is None else buckets.when(low.rlike(pattern), label)
@@ -25,7 +25,7 @@ def factor_label(text: str | Column, mode: str = "full") -> Column:
     )
     words = F.array_join(F.transform(F.slice(tokens, 1, 2), title_case), " ")
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), "Unknown")
+        F.when(text.isNull() | (strip(text) == ""), "Unknown")
         .otherwise(
             F.coalesce(
                 pick(low, dict(fixed.FACTOR_PHRASES)),
@@ -46,14 +46,14 @@ def _date_text(name: str = "incident_date") -> Column:
 
 
 def incident_summary(ruleset: str = "basic") -> Column:
-    kind = title_case(F.trim(_text("incident_type", "incident")))
+    kind = title_case(strip(_text("incident_type", "incident")))
     delay = whole_number("notification_delay_days")
     carer = F.when(F.col("carer_id") != "", F.concat(F.lit("Carer "), F.col("carer_id"))).otherwise("Carer")
     return F.concat(
         F.lit("On "), _date_text(),
-        F.lit(" at "), F.trim(_text("location", "Unknown")),
+        F.lit(" at "), strip(_text("location", "Unknown")),
         F.lit(", a "), F.when(kind == "", "Incident").otherwise(kind),
-        F.lit(" occurred (severity: "), F.trim(_text("severity", "Unknown")), F.lit(")"),
+        F.lit(" occurred (severity: "), strip(_text("severity", "Unknown")), F.lit(")"),
         F.when(delay.isNotNull(), F.concat(F.lit(", notified after "), delay, F.lit(" day(s)"))).otherwise(""),
         F.lit(". "), carer, F.lit(fixed.SUMMARY_CLOSING[ruleset]),
     )

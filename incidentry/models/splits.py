@@ -12,7 +12,7 @@ from incidentry.operators.ordered import exact_percentiles, hash_bucket, running
 
 def time_split(df: DataFrame, time: str = "incident_datetime", portion: float = 0.75) -> DataFrame:
     """``is_test``: later than the percentile of time; rows without a time are in neither part."""
-    cut = exact_percentiles(df.select(micros(time).alias("_at")), "_at", {"cut": portion}).first()["cut"]
+    cut = exact_percentiles(df.select(micros(time).alias("_at")), {"cut": ("_at", portion)}).first()["cut"]
     at = micros(time)
     return df.where(at.isNotNull()).withColumn("is_test", at > F.lit(cut))
 

@@ -118,9 +118,8 @@ def carer_profile(df: DataFrame) -> DataFrame:
             medical_share(df).alias("med_rate"),
         )
     )
-    severe = exact_percentiles(carers, "high_crit", {"high_crit_p80": 0.8})
-    volume = exact_percentiles(carers, "incidents", {"incidents_p80": 0.8})
-    return beside(beside(carers, severe), volume)
+    lines = exact_percentiles(carers, {"high_crit_p80": ("high_crit", 0.8), "incidents_p80": ("incidents", 0.8)})
+    return beside(carers, lines)
 
 
 def risk_profile(df: DataFrame, key: str = "incident_type") -> DataFrame:
@@ -275,7 +274,7 @@ def risk_network(df: DataFrame) -> DataFrame:
 
 def high_risk_pairs(pairs: DataFrame, portion: float = 0.8) -> DataFrame:
     """Pairs above the percentile of the score, riskiest first."""
-    cut = exact_percentiles(pairs, "risk_score", {"_cut": portion})
+    cut = exact_percentiles(pairs, {"_cut": ("risk_score", portion)})
     return (
         beside(pairs, cut)
         .where(F.col("risk_score") > F.col("_cut"))

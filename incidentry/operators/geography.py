@@ -82,11 +82,10 @@ def map_kpis(points: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("incidents_shown"), count_if(F.col("severity") == "Critical").alias("critical_incidents")
     )
     top = top_values(points, "suburb", 1).select(title_case("suburb").alias("top_suburb"))
-    latitude = exact_percentiles(points, "latitude", {"center_lat": 0.5})
-    longitude = exact_percentiles(points, "longitude", {"center_lon": 0.5})
+    center = exact_percentiles(points, {"center_lat": ("latitude", 0.5), "center_lon": ("longitude", 0.5)})
     default_lat, default_lon = fixed.DEFAULT_CENTER
     return (
-        beside(beside(beside(figures, top), latitude), longitude)
+        beside(beside(figures, top), center)
         .withColumns(
             {
                 "center_lat": F.coalesce("center_lat", F.lit(default_lat)),

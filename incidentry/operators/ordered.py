@@ -97,29 +97,35 @@ def share_buckets(portion: Column) -> list[Column]:
     return [F.floor(place).cast("bigint"), F.floor((place - F.floor(place)) * F.lit(float(BUCKETS))).cast("bigint")]
 
 
-def exact_percentiles(df: DataFrame, value: str | Column, shares: Mapping[str, float]) -> DataFrame:
-    """One row with linearly interpolated percentiles of a whole column."""
+def exact_percentiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """One row with linearly interpolated percentiles of whole columns: output name -> (column, share).
+
+    All columns are counted in one pass over the rows.
+    """
+    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    cells = [F.struct(F.lit(i).alias("_column"), F.col(name).cast("double").alias("_value")) for i, name in enumerate(columns)]
     counts = (
-        df.select(as_column(value).cast("double").alias("_value"))
+        df.select(F.inline(F.array(*cells)))
         .where("_value is not null")
-        .groupBy("_value")
+        .groupBy("_column", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ends = counts.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    ends = counts.groupBy("_column").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
     width = F.col("_high") - F.col("_low")
     portion = F.when(width > 0, (F.col("_value") - F.col("_low")) / width).otherwise(0.0)
     ranked = running_sums(
-        beside(counts, ends),
+        counts.join(F.broadcast(ends), "_column"),  # one row per column asked for
         order=[F.col("_value")],
         buckets=share_buckets(portion),
         sums={"_before": F.col("_n")},
+        by=["_column"],
         totals={"_before": "_total"},
     )
     outputs = []
-    for name, portion in shares.items():
-        place = F.lit(float(portion)) * (F.col("_total") - 1)
-        low = F.max(F.when(F.col("_before") <= F.floor(place), F.col("_value")))
-        high = F.max(F.when(F.col("_before") <= F.ceil(place), F.col("_value")))
-        part = F.max(place - F.floor(place))
-        outputs.append((low + (high - low) * part).alias(name))
+    for name, (column, share) in wanted.items():
+        mine = F.col("_column") == columns.index(column)
+        place = F.lit(float(share)) * (F.col("_total") - 1)
+        low = F.max(F.when(mine & (F.col("_before") <= F.floor(place)), F.col("_value")))
+        high = F.max(F.when(mine & (F.col("_before") <= F.ceil(place)), F.col("_value")))
+        outputs.append((low + (high - low) * F.max(F.when(mine, place - F.floor(place)))).alias(name))
     return ranked.agg(*outputs)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from incidentry import fixed_values as fixed
 from incidentry.functions.clock import delay_hours, is_prompt_time_frame, time_frame_hours, within
+from incidentry.functions.common import strip
 from incidentry.functions.wording import alert_message, alert_reason
 from incidentry.operators.joins import keep_top, top_values
 
@@ -22,7 +23,7 @@ def truth(df: DataFrame, name: str, null_is_true: bool = True) -> Column:
     if isinstance(kind, T.NumericType):
         value = value > 0
     elif isinstance(kind, T.StringType):
-        value = F.when(value.isNotNull(), F.lower(F.trim(value)).isin(fixed.TRUE_WORDS))
+        value = F.when(value.isNotNull(), F.lower(strip(value)).isin(fixed.TRUE_WORDS))
     return F.coalesce(value, F.lit(null_is_true))
 
 
@@ -36,11 +37,11 @@ def with_investigation_rules(df: DataFrame, null_is_true: bool = True) -> DataFr
     required = (
         (_lower("severity") == "high")
         | truth(df, "reportable", null_is_true)
-        | F.trim(_lower("incident_type")).isin(fixed.SERIOUS_TYPES)
+        | strip(_lower("incident_type")).isin(fixed.SERIOUS_TYPES)
         | medical
     )
     complete = (
-        (F.trim(_lower("medical_outcome")) == "recovered")
+        (strip(_lower("medical_outcome")) == "recovered")
         | ((_lower("severity") == "low") & ~medical)
         | truth(df, "actions_documented", null_is_true)
     )

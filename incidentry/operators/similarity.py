@@ -42,8 +42,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k corpus rows most similar to each query row, itself excluded by id; both are (id, vector).
 
-    The query batch goes to every task, so its size is counted first. Each task keeps k rows per query and block, and only
-    those are shuffled.
+    The query batch goes to every task, so its size is counted first. Each task keeps k rows per query, and only those
+    are shuffled.
     """
     if not is_small(queries):
         raise ValueError("query batch too large to send to every task: split it, or use similar_to_all")
@@ -52,16 +52,20 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     query_matrix = np.array(batch["vector"].tolist(), dtype=float).reshape(len(batch), -1)
 
     def search(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_ids = [np.empty(0, dtype=np.int64)] * len(query_ids)
+        best_scores = [np.empty(0)] * len(query_ids)
         for block in blocks:
             ids = block["id"].to_numpy()
             scores = np.round(query_matrix @ np.array(block["vector"].tolist(), dtype=float).T, DIGITS) + 0.0
-            found = []
-            for query, row in zip(query_ids, scores):
+            for place, (query, row) in enumerate(zip(query_ids, scores)):
                 others = ids != query
-                best = _best(ids[others], row[others], k)
-                found.append(pd.DataFrame({"query_id": query, "id": ids[others][best], "similarity": row[others][best]}))
-            if found:
-                yield pd.concat(found)
+                known = np.append(best_ids[place], ids[others])
+                values = np.append(best_scores[place], row[others])
+                best = _best(known, values, k)
+                best_ids[place], best_scores[place] = known[best], values[best]
+        for query, ids, scores in zip(query_ids, best_ids, best_scores):
+            if len(ids):
+                yield pd.DataFrame({"query_id": query, "id": ids, "similarity": scores})
 
     kept = corpus.mapInPandas(search, "query_id bigint, id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
 from incidentry.functions.clock import combine_date_time, day_of_week, delay_hours, hour_of, within
-from incidentry.functions.common import title_case
+from incidentry.functions.common import strip, title_case
 from incidentry.functions.grades import normal_severity, severity_rank, with_flag
 from incidentry.operators.history import with_histories, with_location_risk
 from incidentry.operators.ordered import running_sums, time_buckets
@@ -59,7 +59,7 @@ def with_datetime(df: DataFrame) -> DataFrame:
 def with_location(df: DataFrame) -> DataFrame:
     if "location" not in df.columns:
         return df.withColumn("location", F.lit("Unknown"))
-    return df.withColumn("location", title_case(F.trim(F.coalesce("location", F.lit("Unknown")))))
+    return df.withColumn("location", title_case(strip(F.coalesce("location", F.lit("Unknown")))))
 
 
 def with_severity(df: DataFrame) -> DataFrame:

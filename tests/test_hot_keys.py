@@ -56,7 +56,7 @@ def test_history_of_one_hot_instant(spark):
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 50 + [1e9], list(np.random.default_rng(3).normal(size=400))])
 def test_percentiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
-    got = ordered.exact_percentiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.8, "d": 1.0}).first()
+    got = ordered.exact_percentiles(df, {"a": ("v", 0.1), "b": ("v", 0.5), "c": ("v", 0.8), "d": ("v", 1.0)}).first()
     assert np.allclose([got[n] for n in "abcd"], np.percentile(values, [10, 50, 80, 100]))
 
 
