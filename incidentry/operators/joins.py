@@ -77,8 +77,13 @@ def dense(domain: DataFrame, counts: DataFrame, keys: Sequence[str], fill: Seque
     return domain.join(counts, list(keys), "left").fillna(0, list(fill))
 
 
-def month_domain(counts: DataFrame, month: str) -> DataFrame:
-    """Gap-free months between the first and the last one."""
-    ends = counts.agg(F.min(month).alias("_first"), F.max(month).alias("_last"))
-    months = F.sequence("_first", "_last", F.expr("interval 1 month"))
-    return ends.select(F.explode(months).alias(month))
+def dense_within(counts: DataFrame, key: str, inner: str, values: Column, count: str) -> DataFrame:
+    """For every key that occurs, all ``values`` of the inner column, zero where nothing was counted.
+
+    ``counts`` holds one row per key and inner value and is read once: no domain has to be derived from it a second time.
+    """
+    packed = counts.where(F.col(inner).isNotNull()).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(inner, count))).alias("_counts")
+    )
+    every = packed.select(key, "_counts", F.explode(values).alias(inner))
+    return every.select(key, inner, F.coalesce(F.try_element_at("_counts", F.col(inner)), F.lit(0)).alias(count))

@@ -12,15 +12,18 @@ from incidentry import fixed_values as fixed
 from incidentry.functions.clock import age_in_years, delay_days, hour_of_text, month_label, month_start
 from incidentry.functions.common import beside, count_if
 from incidentry.functions.wording import factor_label
+from incidentry.operators.forecast import monthly_series
 from incidentry.operators.joins import (
     dense,
+    dense_within,
     fixed_table,
-    month_domain,
     number_domain,
     others_relabelled,
     severity_domain,
     top_values,
 )
+from incidentry.session import settle
+
 
 def _rows(name: str = "count") -> Column:
     return F.count(F.lit(1)).alias(name)
@@ -38,8 +41,10 @@ def trend(current: Column, previous: Column) -> tuple[Column, Column]:
 
 
 def executive_kpis(df: DataFrame) -> DataFrame:
-    counts = df.groupBy(month_start("incident_date").alias("month"), "incident_type").agg(
-        _rows("n"), count_if(is_high()).alias("high"), F.sum("reportable_bin").alias("reported")
+    counts = settle(  # shaped three ways below: the rows are read once
+        df.groupBy(month_start("incident_date").alias("month"), "incident_type").agg(
+            _rows("n"), count_if(is_high()).alias("high"), F.sum("reportable_bin").alias("reported")
+        )
     )
     top = top_values(counts, "incident_type", 1, F.col("n")).select(F.col("incident_type").alias("top_type"))
     whole = counts.agg(
@@ -104,8 +109,7 @@ def monthly_by_severity(df: DataFrame, zeros: bool = True) -> DataFrame:
     if not zeros:
         return counts
     names = F.array(*[F.lit(name) for name in fixed.SEVERITY_ORDER])
-    domain = counts.select("year_month").distinct().withColumn("severity", F.explode(names))
-    return dense(domain, counts, ["year_month", "severity"], ["count"])
+    return dense_within(counts, "year_month", "severity", names, "count")
 
 
 def top_incident_types(df: DataFrame, k: int = 10) -> DataFrame:
@@ -150,9 +154,7 @@ def hour_by_cause(df: DataFrame, cause: str | None = None, k: int = 5) -> DataFr
     grouped = (
         others_relabelled(counts, top, "cause", "cause_group").groupBy("hour", "cause_group").agg(F.sum("n").alias("count"))
     )
-    hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
-    domain = grouped.select("cause_group").distinct().withColumn("hour", hours)  # 24 rows for each of k + 1 groups
-    filled = dense(domain, grouped, ["hour", "cause_group"], ["count"])
+    filled = dense_within(grouped, "cause_group", "hour", F.sequence(F.lit(0), F.lit(23)), "count")
     return filled.withColumn("total", F.sum("count").over(Window.partitionBy("hour")))
 
 
@@ -227,8 +229,8 @@ def factors_by_month(df: DataFrame, k: int = 25) -> DataFrame:
 
 def monthly_counts(df: DataFrame, date: str = "incident_date") -> DataFrame:
     """Incidents per month, without gaps."""
-    counts = df.where(F.col(date).isNotNull()).groupBy(month_start(date).alias("month")).agg(_rows("incidents"))
-    return dense(month_domain(counts, "month"), counts, ["month"], ["incidents"])
+    series = monthly_series(df, (), date).select("first_month", F.posexplode("y").alias("_place", "_n"))
+    return series.select(F.add_months("first_month", F.col("_place")).alias("month"), F.col("_n").cast("bigint").alias("incidents"))
 
 
 def monthly_trend(df: DataFrame, date: str = "incident_date") -> DataFrame:

@@ -131,8 +131,18 @@ class IncidentFilter:
             parts.append(F.col("incident_type").isin(list(self.incident_types)))
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
+    def months(self) -> Column:
+        """The same period in terms of the month folders of a stored prepared table."""
+        parts = [F.lit(True)]
+        if self.start is not None:
+            parts.append(F.col("incident_month") >= self.start[:7])
+        if self.end is not None:
+            parts.append(F.col("incident_month") <= self.end[:7])
+        return reduce(lambda a, b: a & b, parts)
+
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(self.condition())
+        rows = df.where(self.condition())
+        return rows.where(self.months()) if "incident_month" in df.columns else rows
 
 
 def options(df: DataFrame, column: str) -> DataFrame:

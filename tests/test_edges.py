@@ -92,6 +92,16 @@ def test_date_filter_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(incident_date), GreaterThanOrEqual(incident_date" in plan
 
 
+def test_date_filter_skips_month_folders(spark, tmp_path):
+    days = [(i, datetime(2024, 1 + i, 5)) for i in range(6)]
+    source.write_prepared(rows(spark, "incident_id int, incident_date timestamp_ntz", *days), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    kept = rules.IncidentFilter(start="2024-02-01", end="2024-03-31").apply(stored)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(incident_month" in plan
+    assert column(kept.orderBy("incident_id"), "incident_id") == [1, 2]
+
+
 def test_alert_rules_in_order_and_pharmacy_hits(spark):
     schema = "severity string, incident_type string, notification_delay_days double, reportable_bin int"
     df = rows(spark, schema, ("4", "Fall", None, 0), ("low", "Pharmacy", 9.0, 1), ("low", "Fall", 2.0, 1),
