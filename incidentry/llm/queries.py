@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import exact, sharding, simhash, urls, warc
+from incidentry.llm import exact, quality, sharding, simhash, urls, warc
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
+KEEP_SCORE = 0.3
 
 RULES = [
     urls.Rule("allow", "com", "/"),
@@ -32,6 +33,19 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(spark, sf_dir)
+    rows = quality.with_scores(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id")))
+    return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= KEEP_SCORE, 1).otherwise(0).alias("predicted"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labelled documents outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out(F.col("doc_id")))
+    return quality.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
 def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -59,6 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_shards": op2_shards,
+    "op3_quality": op3_quality,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_exact_groups": op5_exact_groups,
     "op8_warc": op8_warc,
