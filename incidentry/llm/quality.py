@@ -127,14 +127,18 @@ def fit_texts(texts: list[bytes], labels: list[int], rank: int = RANK) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = FIT_ROWS) -> Model:
-    """A model from at most ``most`` rows, chosen by the hash of their key; rows with a null label are left out.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = FIT_ROWS) -> Model:
+    """A model from at most ``most`` labelled rows, chosen by the hash of their key; rows with a null label are left out.
 
-    Without any labelled row every score is 0.5.
+    The choice is made among the labels, so that the documents are read past a broadcast of ``most`` keys and never exchanged. Without any
+    labelled row every score is 0.5.
     """
-    rows = labelled.where(F.col(f"`{label}`").isNotNull()).select(key, text, F.col(f"`{label}`").cast("int").alias("label"))
-    chosen = rows.orderBy(F.xxhash64(key), key).limit(most).select(F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"), "label").collect()
-    return fit_texts([bytes(row["text"] or b"") for row in chosen], [row["label"] for row in chosen])
+    known = labels.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("key"), "key").limit(most)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "key").select("text", "label", "key").limit(most).collect()
+    rows.sort(key=lambda row: (row["key"], row["text"] or b"", row["label"]))
+    return fit_texts([bytes(row["text"] or b"") for row in rows], [row["label"] for row in rows])
 
 
 def score(model: Model, text: Column, spark) -> Column:

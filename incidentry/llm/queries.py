@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import exact, quality, sharding, simhash, urls, warc
+from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, urls, warc
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
@@ -43,7 +43,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """Fitted on labelled documents outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out(F.col("doc_id")))
-    return quality.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
 
 
 def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op5_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.sha2("normalised", 256).alias("text_sha256"))
 
 
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document at least once, no source more than twice over; all copies with their places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, repetitions=2.0).select("doc_id", "source", "copy", "weight", "position")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(table(spark, sf_dir, "pages"))
     return records.select(
@@ -71,11 +77,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, keep_text=False).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.judged(docs, table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "contaminated", "coverage", "item_id", "tiles", "items")
+
+
 QUERIES = {
     "op2_shards": op2_shards,
     "op3_quality": op3_quality,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_exact_groups": op5_exact_groups,
+    "op7_mixture": op7_mixture,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
