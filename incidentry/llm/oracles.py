@@ -4,6 +4,27 @@ from __future__ import annotations
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SUBSTRINGS = """
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+windows AS (
+    SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS run FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM split)
+),
+firsts AS (SELECT run, min(doc_id) AS earliest FROM windows GROUP BY run HAVING count(*) > 1),
+covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN firsts USING (run) WHERE earliest < doc_id
+),
+gone AS (SELECT doc_id, list(place) AS places FROM covered GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
+           CASE WHEN places IS NULL THEN words
+                ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda p: NOT list_contains(places, p[2])), lambda p: p[1]) END AS left_words
+    FROM split LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
+"""
+
 EXACT = f"""
 WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') AS normalised FROM documents)
 SELECT doc_id,
@@ -30,6 +51,7 @@ FROM firsts
 """
 
 ORACLES = {
+    "op1_substrings": SUBSTRINGS,
     "op5_exact_groups": EXACT,
     "op8_warc": WARC,
 }

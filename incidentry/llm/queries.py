@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, urls, warc
+from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
@@ -20,6 +20,11 @@ RULES = [
 ]
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return rows.select(
@@ -55,6 +60,14 @@ def op5_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.sha2("normalised", 256).alias("text_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document at least once, no source more than twice over; all copies with their places."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -84,10 +97,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_shards": op2_shards,
     "op3_quality": op3_quality,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_exact_groups": op5_exact_groups,
+    "op6_token_files": op6_token_files,
     "op7_mixture": op7_mixture,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
