@@ -2,7 +2,7 @@
 
 Terms are words, word shapes (letters, digits and signs, runs shortened) and marks for length, repetition and repeated lines. A bounded,
 stated number of labelled rows is reduced to latent dimensions by a singular value decomposition; their vectors and labels are what is
-broadcast. Every document is projected and compared with all of them in blocks of exact cosine products; the nearest ones vote,
+broadcast. The decomposition is found by subspace iteration over the sparse rows. Every document is projected and compared with all of them in blocks of exact cosine products; the nearest ones vote,
 weighted by similarity. Every document is scored as a whole.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,9 @@ SLOTS = WORD_SLOTS + SHAPE_SLOTS + MARK_SLOTS
 WEIGHTS = (0.5, 1.0, 1.0)
 RANK, NEIGHBOURS, SHARPNESS = 64, 15, 4.0
 FIT_ROWS, SCORE_BLOCK = 4096, 1024
+SPARE, ITERATIONS = 16, 6
+
+Terms = tuple[np.ndarray, np.ndarray]  # slots and weights
 
 
 def _shapes() -> bytes:
@@ -51,7 +55,7 @@ def _scaled(counts: Counter, first: int, slots: int, weight: float, damp: bool)
     return places, values * np.float32(weight / norm) if norm else values
 
 
-def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def terms(text: bytes) -> Terms:
     """Slots and weights of a text's terms; each of the three kinds has a length of its own. Empty texts have marks only."""
     words = text.translate(TO_LOWER).split()
     shapes = Counter(RUN.sub(rb"\1", b" ".join(text.translate(SHAPES).split())).split(b" ")) if words else Counter()
@@ -83,11 +87,8 @@ class Model:
     labels: np.ndarray
     prior: float
 
-    def project(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
-        for i, text in enumerate(texts):
-            places, weights = terms(text)
-            out[i] = weights @ self.basis[places]
+    def project(self, rows: Iterable[Terms]) -> np.ndarray:
+        out = np.array([weights @ self.basis[places] for places, weights in rows], np.float32).reshape(-1, self.basis.shape[1])
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
@@ -95,7 +96,7 @@ class Model:
         """Share of label 1 among the nearest labelled rows, weighted by similarity; the share of all where nothing is similar."""
         found = np.full(len(texts), self.prior)
         for start in range(0, len(texts), SCORE_BLOCK):
-            block = self.project(texts[start : start + SCORE_BLOCK])
+            block = self.project(map(terms, texts[start : start + SCORE_BLOCK]))
             cosine = block @ self.vectors.T
             k = min(NEIGHBOURS, cosine.shape[1])
             if not k:
@@ -108,22 +109,32 @@ class Model:
         return np.clip(found, 0.0, 1.0)
 
 
-def fit_texts(texts: list[bytes], labels: list[int], rank: int = RANK) -> Model:
-    """Inverse document frequencies and a truncated decomposition of the term matrix, from its Gram matrix over documents."""
-    rows = [terms(text) for text in texts]
+def _subspace(rows: list[Terms], rank: int) -> np.ndarray:
+    """The leading right singular vectors, as columns, by subspace iteration with a few spare directions."""
+    width = min(rank + SPARE, len(rows))
+    found = np.random.default_rng(0).standard_normal((SLOTS, width))
+    for _ in range(ITERATIONS):
+        left = np.linalg.qr(np.array([weights @ found[places] for places, weights in rows]))[0]
+        found = np.zeros((SLOTS, left.shape[1]))
+        for i, (places, weights) in enumerate(rows):
+            found[places] += np.outer(weights, left[i])
+    right, sizes, _ = np.linalg.svd(found, full_matrices=False)
+    return right[:, : min(rank, int((sizes > 1e-6).sum()))]
+
+
+def fit_terms(rows: list[Terms], labels: list[int], rank: int = RANK) -> Model:
+    """Inverse document frequencies, the latent basis and the labelled vectors."""
     seen = np.zeros(SLOTS)
-    for places, _ in rows:
-        seen[np.unique(places)] += 1
-    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
-    matrix = np.zeros((len(rows), SLOTS), np.float32)
-    for i, (places, weights) in enumerate(rows):
-        np.add.at(matrix[i], places, weights * idf[places])
-    values, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
-    best = np.argsort(values)[::-1][:rank]
-    best = best[values[best] > 1e-9]
-    right = (matrix.T @ left[:, best].astype(np.float32)) / np.sqrt(values[best]).astype(np.float32)
-    model = Model(idf[:, None] * right, np.zeros((0, len(best)), np.float32), np.array(labels, np.float64), float(np.mean(labels)) if labels else 0.5)
-    model.vectors = model.project(texts)
+    merged = []
+    for places, weights in rows:
+        unique, where = np.unique(places, return_inverse=True)
+        merged.append((unique, np.bincount(where, weights, len(unique))))
+        seen[unique] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    right = _subspace([(places, weights * idf[places]) for places, weights in merged], rank) if rows else np.zeros((SLOTS, 0))
+    basis = (idf[:, None] * right).astype(np.float32)
+    model = Model(basis, np.zeros((0, basis.shape[1]), np.float32), np.array(labels, np.float64), float(np.mean(labels)) if labels else 0.5)
+    model.vectors = model.project(rows)
     return model
 
 
@@ -135,10 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     """
     known = labels.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(most)
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select("text", "label", "key").limit(most).collect()
-    rows.sort(key=lambda row: (row["key"], row["text"] or b"", row["label"]))
-    return fit_texts([bytes(row["text"] or b"") for row in rows], [row["label"] for row in rows])
+
+    @F.arrow_udf("struct<places:array<int>, weights:array<float>>")
+    def found(values: pa.Array) -> pa.Array:
+        rows = [terms(data or b"") for data in bytes_of(values)]
+        columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))]
+        return pa.StructArray.from_arrays(columns, ["places", "weights"])
+
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "key").select(found("text").alias("terms"), "label", "key").limit(most).collect()
+    rows.sort(key=lambda row: (row["key"], row["label"], row["terms"]["places"]))
+    vectors = [(np.array(row["terms"]["places"], np.int64), np.array(row["terms"]["weights"], np.float32)) for row in rows]
+    return fit_terms(vectors, [row["label"] for row in rows])
 
 
 def score(model: Model, text: Column, spark) -> Column:
