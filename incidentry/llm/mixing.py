@@ -21,10 +21,14 @@ SECTIONS, ROUNDS = 64, 5
 SEED = 7
 
 
-@F.arrow_udf("bigint")
-def word_count(values: pa.Array) -> pa.Array:
+def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; none for null."""
-    return pa.array([len((data or b"").split()) for data in bytes_of(values)], pa.int64())
+
+    @F.arrow_udf("bigint")
+    def counted(values: pa.Array) -> pa.Array:
+        return pa.array([len((data or b"").split()) for data in bytes_of(values)], pa.int64())
+
+    return counted(text)
 
 
 def _group(source: Column) -> Column:
@@ -107,9 +111,9 @@ def weights(narrow: DataFrame, entropy: float | None, repetitions: float | None,
 
 
 def _cuts(narrow: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """One row per source: _g, cut_turn, cut_low. The last pass takes blocks before ``cut_turn``, and of that block rows below ``cut_low``."""
+    """One row per source with a part of a pass: _g, cut_turn, cut_low. The last pass takes blocks before ``cut_turn``, and of that block rows below ``cut_low``."""
     turns = narrow.groupBy("_g", "_block").agg(F.sum("tokens").alias("part"), F.count(F.lit(1)).alias("n"))
-    turns = turns.join(sources.select("_g", "passes", "rest"), "_g").withColumn("turn", _turn("_g", "passes", "_block", seed))
+    turns = turns.join(sources.where("rest > 0").select("_g", "passes", "rest"), "_g").withColumn("turn", _turn("_g", "passes", "_block", seed))
     cut = _boundary(turns, "turn").select("_g", F.col("turn").alias("cut_turn"), "_block", F.lit(0).cast("bigint").alias("cut_low"), "rest", "n")
     cut = store(cut, "cuts")
     for done in range(STEP_BITS, LOW_BITS + 1, STEP_BITS):

@@ -88,7 +88,8 @@ class Model:
     prior: float
 
     def project(self, rows: Iterable[Terms]) -> np.ndarray:
-        out = np.array([weights @ self.basis[places] for places, weights in rows], np.float32).reshape(-1, self.basis.shape[1])
+        found = [weights @ self.basis[places] for places, weights in rows]
+        out = np.array(found, np.float32).reshape(len(found), self.basis.shape[1])
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 

@@ -76,8 +76,6 @@ def _keys(value: Column, distance: int) -> list[tuple[int, Column, list[tuple[in
     """
     ring = _ring(distance)
     m, made = len(ring), []
-    if m == 1:
-        return [(0, value, [])]
     for i, (shift, width) in enumerate(ring):
         after, span = ring[(i + 1) % m]
         pieces = 2 * distance // m + 1  # the chain's second budget, as its first is 0
@@ -116,6 +114,8 @@ def links(prints: DataFrame, distance: int = 2, crowded: int = CROWDED) -> DataF
     if not 0 <= distance <= 2:
         raise ValueError("distances over 2 have no pair-free way for crowded keys")
     value = F.col("fp")
+    if distance == 0:
+        return prints.select(value.alias("u"), value.alias("v")).where(F.lit(False))
     keys = _keys(value, distance)
     rows = prints.select("fp", F.inline(F.array(*[F.struct(F.lit(n).alias("slot"), key.alias("key")) for n, key, _ in keys])))
     counts = rows.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
