@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -41,7 +42,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write once to the shared folder and read back, so that later jobs and lost executors start from the files; with the path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -55,9 +57,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver's context cleaner drop the shuffle files of plans that are no longer held, before the next large exchange."""
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside remove their shuffle files when they end; what they have written replaces these."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def bytes_of(column: pa.Array) -> list:
@@ -65,28 +74,6 @@ def bytes_of(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield work(batch)
-
-    return run
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, every other character unchanged; null stays null."""
-
-    @F.arrow_udf("string")
-    def lowered(values: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
-        return pc.ascii_lower(values)
-
-    return lowered(text)
-
-
 def text_bytes(text: Column) -> Column:
     """UTF-8 length, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import bytes_of, free_shuffles, fresh, store, without
+from incidentry.llm.common import bytes_of, fresh, store, without
 
 WINDOW, MINIMISER = 50, 4
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -27,7 +27,7 @@ CHUNK_BYTES = 2 << 20
 SPACE = 32
 
 
-PLACE = (pa.int64(), pa.int64(), pa.int32())  # document, mark of its text, number of the first word
+PLACE = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("start", "<i4")])  # mark of the text; number of the first word
 
 
 class Powers:
@@ -166,7 +166,7 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, crowded: np.ndarray, cro
 def _packed(
     words: Words, keys: np.ndarray, marks: np.ndarray, size: int, crowded: np.ndarray, crowded_pairs: np.ndarray
 ) -> pa.RecordBatch:
-    places: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    places: dict[tuple[int, bytes], list[bytes]] = {}
     if (found := window_keys(words, size)) is not None:
         at, first, second, whole = found
         bucket = bucket_keys(first, second, whole, crowded, crowded_pairs)
@@ -175,20 +175,15 @@ def _packed(
         last = at[np.r_[begin[1:], len(at)] - 1]
         begin_word = at[begin]
         doc = words.doc[begin_word]
-        lows, highs = words.starts[begin_word], words.ends[last + size - 1]
-        data = words.data
-        where = zip(keys[doc].tolist(), marks[doc].tolist(), (begin_word - words.first[doc]).tolist())
-        for key, low, high, place in zip(bucket[begin].tolist(), lows.tolist(), highs.tolist(), where):
-            places.setdefault((key, data[low:high]), []).append(place)
+        where = np.empty(len(begin), PLACE)
+        where["doc"], where["mark"], where["start"] = keys[doc], marks[doc], begin_word - words.first[doc]
+        data, raw, step = words.data, where.tobytes(), PLACE.itemsize
+        lows, highs = words.starts[begin_word].tolist(), words.ends[last + size - 1].tolist()
+        for i, (key, low, high) in enumerate(zip(bucket[begin].tolist(), lows, highs)):
+            places.setdefault((key, data[low:high]), []).append(raw[i * step : (i + 1) * step])
     buckets = np.fromiter((key for key, _ in places), np.uint64, len(places)).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(buckets),
-            pa.array([text for _, text in places], pa.binary()),
-            *[pa.array([[p[i] for p in where] for where in places.values()], pa.list_(kind)) for i, kind in enumerate(PLACE)],
-        ],
-        ["bucket", "packed", "docs", "marks", "starts"],
-    )
+    texts, where = [text for _, text in places], [b"".join(p) for p in places.values()]
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(texts, pa.binary()), pa.array(where, pa.binary())], ["bucket", "packed", "places"])
 
 
 def _earliest(packed: list[bytes], least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,16 +244,17 @@ def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 def _spans(table: pa.Table, size: int) -> pa.RecordBatch:
     packed = table.column(1).to_pylist()
-    owners, marks, starts = (table.column(i).to_pylist() for i in (2, 3, 4))
     out: tuple[list, list, list, list] = ([], [], [], [])
     if packed:
-        least = np.array([min(docs) for docs in owners], np.int64)
+        counts = pc.binary_length(table.column(2)).to_numpy() // PLACE.itemsize
+        places = np.frombuffer(b"".join(table.column(2).to_pylist()), PLACE)
+        begin = np.cumsum(counts) - counts
+        least, most = (f.reduceat(places["doc"], begin) for f in (np.minimum, np.maximum))
         text, place, best = _earliest(packed, least, size)
-        most = np.array([max(docs) for docs in owners], np.int64)
         edges = np.searchsorted(text, np.arange(len(packed) + 1))
         for i in np.unique(text[best < most[text]]).tolist():
             mine, where = best[edges[i] : edges[i + 1]], place[edges[i] : edges[i + 1]]
-            for doc, mark, start in zip(owners[i], marks[i], starts[i]):
+            for doc, mark, start in places[begin[i] : begin[i] + counts[i]].tolist():
                 later = where[mine < doc]
                 if len(later):
                     breaks = np.flatnonzero(np.diff(later) > 1)
@@ -280,7 +276,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, id: str = "doc_id", text
         F.col(f"`{id}`").cast("bigint").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text")
     )
     crowded, crowded_pairs = _crowded(docs, text, size)
-    schema = "bucket bigint, packed binary, docs array<bigint>, marks array<bigint>, starts array<int>"
+    schema = "bucket bigint, packed binary, places binary"
     packed = given.mapInArrow(lambda batches: _pack(batches, size, crowded, crowded_pairs), schema)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -295,7 +291,6 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, id: str = "doc_id", tex
     """
     docs = without(docs, "kept_text", "n_words", "n_removed", "spans")
     spans = repeated_spans(docs, size, id, text)
-    free_shuffles(docs.sparkSession)
     key, mark, lows, highs = fresh(docs, "_key", "_mark", "_lows", "_highs")
     lists = spans.distinct().groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("all"))
     lists = lists.select(F.col("doc").alias(key), F.col("mark").alias(mark), F.col("all.low").alias(lows), F.col("all.high").alias(highs))
