@@ -6,10 +6,12 @@ into chunks. Whatever happened before a chunk matters only through the time at w
 inside the first cooldown of the chunk. Three steps follow from this:
 
 1. every chunk works out, for each alert it might start with, the last alert that would pass (``_chunk_exits``);
-2. every key walks over its chunks and picks the real start of each (``_chunk_starts``), reading the candidates of step 1;
+2. FAN chunks at a time are put together in the same way, level by level, until one is left for each key (``_group_exits``); back down the
+   levels the real start of each chunk follows from the start of its group (``_child_starts``);
 3. every chunk replays from its real start.
 
-Only distinct times take part: of several alerts with one key and one time, the first by id passes.
+Only distinct times take part, each with its first alert by the tie breaker: of several alerts with one key and one time exactly one
+passes, also where rows are repeated as a whole. An alert without a time never passes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions.clock import micros
@@ -27,10 +29,14 @@ from incidentry.session import settle
 
 CHUNK_COOLDOWNS = 24
 CALM_TIMES = 1000
+FAN = 64
 
 
 def alert_key(*parts: str) -> Column:
-    return F.sha2(F.concat(*[F.coalesce(F.col(part).cast("string"), F.lit("")) for part in parts]), 256)
+    """Hash of all parts, each with its length in front, so that no two lists of parts run together; null has a mark of its own."""
+    texts = [F.col(part).cast("string") for part in parts]
+    marked = [F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")) for text in texts]
+    return F.sha2(F.concat_ws(",", *marked), 256)
 
 
 def _chunk_exits(cooldown: int, length: int):
@@ -58,16 +64,44 @@ def _chunk_exits(cooldown: int, length: int):
     return exits
 
 
-def _chunk_starts(cooldown: int):
+def _by_chunk(group: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, entries, exits) of the chunks of one group, in order."""
+    group = group.sort_values(["chunk", "entry"])
+    chunks, first = np.unique(group["chunk"].to_numpy(), return_index=True)
+    entries, exits = group["entry"].to_numpy(), group["exit"].to_numpy()
+    ends = np.append(first[1:], len(entries))
+    return [(chunk, entries[low:high], exits[low:high]) for chunk, low, high in zip(chunks, first, ends)]
+
+
+def _group_exits(cooldown: int):
+    """Chunks of one group -> the group as one chunk: where it may be entered, and the last alert that passes then."""
+
+    def exits(group: pd.DataFrame) -> pd.DataFrame:
+        chunks = _by_chunk(group)
+        entry, last = chunks[0][1], chunks[0][2]
+        if len(chunks) > 1:  # the first chunk may have nothing after the gate reopens; the second is then entered at its start
+            entry = np.append(entry, chunks[1][1][0])
+            last = np.append(last, chunks[1][2][0])
+        for place, (_, entries, ends) in enumerate(chunks[1:], 1):
+            at = np.searchsorted(entries, last + cooldown)
+            moved = np.where(at < len(entries), ends[np.minimum(at, len(entries) - 1)], last)
+            if place == 1 and len(chunks) > 1:
+                moved[-1] = last[-1]
+            last = moved
+        key, number = group["key"].iloc[0], group["group"].iloc[0]
+        return pd.DataFrame({"key": key, "chunk": number, "entry": entry, "exit": last}).drop_duplicates("entry")
+
+    return exits
+
+
+def _child_starts(cooldown: int):
+    """Chunks of one group with the start of the group -> the start of each chunk in which an alert passes."""
+
     def starts(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["chunk", "entry"])
-        chunks, first = np.unique(group["chunk"].to_numpy(), return_index=True)
-        entries, exits = group["entry"].to_numpy(), group["exit"].to_numpy()
-        ends = np.append(first[1:], len(entries))
-        opens, found = np.iinfo(np.int64).min, []
-        for chunk, low, high in zip(chunks, first, ends):
-            place = low + np.searchsorted(entries[low:high], opens)
-            if place < high:
+        opens, found = int(group["start"].iloc[0]), []
+        for chunk, entries, exits in _by_chunk(group):
+            place = np.searchsorted(entries, opens)
+            if place < len(entries):
                 found.append((chunk, entries[place]))
                 opens = exits[place] + cooldown
         return pd.DataFrame(found, columns=["chunk", "start"]).assign(key=group["key"].iloc[0])[["key", "chunk", "start"]]
@@ -76,47 +110,57 @@ def _chunk_starts(cooldown: int):
 
 
 def _fold(times: str, cooldown: int, opens: Column) -> Column:
-    """Times that pass out of a sorted list, the first one not before ``opens``."""
-    begin = F.struct(opens.alias("opens"), F.array().cast("array<bigint>").alias("passed"))
+    """Alerts (at, first) that pass out of a sorted list, the first one not before ``opens``."""
+    none = F.array().cast("array<struct<at:bigint,first:string>>")
+    begin = F.struct(opens.alias("opens"), none.alias("passed"))
 
-    def step(state: Column, at: Column) -> Column:
-        passed = F.struct((at + cooldown).alias("opens"), F.concat(state["passed"], F.array(at)).alias("passed"))
-        return F.when(at >= state["opens"], passed).otherwise(state)
+    def step(state: Column, alert: Column) -> Column:
+        passed = F.struct((alert["at"] + cooldown).alias("opens"), F.concat(state["passed"], F.array(alert)).alias("passed"))
+        return F.when(alert["at"] >= state["opens"], passed).otherwise(state)
 
     return F.aggregate(times, begin, step, lambda state: state["passed"])
 
 
 def _listed(times: DataFrame, *keys: str) -> DataFrame:
-    return times.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("times"))
+    return times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("times"))
+
+
+def _grouped(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("group", F.floor(F.col("chunk") / F.lit(FAN)).cast("bigint"))
 
 
 def _busy_passing(times: DataFrame, cooldown: int, chunk_cooldowns: int) -> DataFrame:
     length = cooldown * chunk_cooldowns
     cut = times.withColumn("chunk", F.floor(F.col("at") / F.lit(length)).cast("bigint"))
-    candidates = cut.groupBy("key", "chunk").applyInPandas(
-        _chunk_exits(cooldown, length), "key string, chunk bigint, entry bigint, exit bigint"
-    )
-    starts = candidates.groupBy("key").applyInPandas(_chunk_starts(cooldown), "key string, chunk bigint, start bigint")
+    shape = "key string, chunk bigint, entry bigint, exit bigint"
+    levels = [settle(cut.groupBy("key", "chunk").applyInPandas(_chunk_exits(cooldown, length), shape))]
+    low, high = levels[0].agg(F.min("chunk"), F.max("chunk")).first()
+    while low != high:
+        levels.append(settle(_grouped(levels[-1]).groupBy("key", "group").applyInPandas(_group_exits(cooldown), shape)))
+        low, high = low // FAN, high // FAN
+    starts = levels[-1].groupBy("key", "chunk").agg(F.min("entry").alias("start"))
+    for below in reversed(levels[:-1]):
+        known = _grouped(below).join(starts.withColumnRenamed("chunk", "group"), ["key", "group"])
+        starts = known.groupBy("key", "group").applyInPandas(_child_starts(cooldown), "key string, chunk bigint, start bigint")
     replayed = _listed(cut, "key", "chunk").join(starts, ["key", "chunk"])
-    return replayed.select("key", F.explode(_fold("times", cooldown, F.col("start"))).alias("at"))
+    return replayed.select("key", F.inline(_fold("times", cooldown, F.col("start"))))
 
 
 def passing_times(
-    alerts: DataFrame, cooldown_seconds: int, chunk_cooldowns: int = CHUNK_COOLDOWNS, calm_times: int = CALM_TIMES
+    times: DataFrame, cooldown_seconds: int, chunk_cooldowns: int = CHUNK_COOLDOWNS, calm_times: int = CALM_TIMES
 ) -> DataFrame:
-    """``alerts(key, at)`` with times in microseconds -> the times at which the gate lets an alert through.
+    """``times(key, at, first)``, one row per key and time in microseconds -> the rows at which the gate lets an alert through.
 
-    A key with at most ``calm_times`` distinct times is one short list; the others are counted first and cut into chunks.
+    A key with at most ``calm_times`` times is one short list; the others are counted first and cut into chunks.
     """
     cooldown = cooldown_seconds * 1_000_000
-    times = alerts.select("key", "at").distinct()
     counts = times.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     busy = settle(counts.where(F.col("n") > calm_times).select("key", F.lit(True).alias("busy")))
     always = F.lit(-(1 << 62)).cast("bigint")
     if busy.isEmpty():
-        return _listed(times, "key").select("key", F.explode(_fold("times", cooldown, always)).alias("at"))
+        return _listed(times, "key").select("key", F.inline(_fold("times", cooldown, always)))
     marked = lookup_join(times, busy, "key", "at")
-    calm = _listed(marked.where("busy is null"), "key").select("key", F.explode(_fold("times", cooldown, always)).alias("at"))
+    calm = _listed(marked.where("busy is null"), "key").select("key", F.inline(_fold("times", cooldown, always)))
     return calm.unionByName(_busy_passing(marked.where("busy").drop("busy"), cooldown, chunk_cooldowns))
 
 
@@ -129,15 +173,17 @@ def with_gate(
     chunk_cooldowns: int = CHUNK_COOLDOWNS,
     calm_times: int = CALM_TIMES,
 ) -> DataFrame:
-    """Add ``allowed``: whether the gate lets the alert through."""
+    """Add ``allowed``: whether the gate lets the alert through. Of rows with one key and time the smallest ``tie`` passes, once."""
     keyed = df.withColumns({"_key": alert_key(*key_parts), "_at": micros(time)})
     if cooldown_seconds <= 0:
-        return keyed.withColumn("allowed", F.lit(True)).drop("_key", "_at")
-    alerts = keyed.select(F.col("_key").alias("key"), F.col("_at").alias("at"))
-    passed = passing_times(alerts, cooldown_seconds, chunk_cooldowns, calm_times)
-    first = keyed.groupBy("_key", "_at").agg(F.min(tie).alias("_first"))
-    winners = passed.join(first, (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))).select(
-        "_key", "_at", F.col("_first").alias(tie), F.lit(True).alias("allowed")
-    )
-    joined = keyed.join(winners, ["_key", "_at", tie], "left")
-    return joined.withColumn("allowed", F.coalesce("allowed", F.lit(False))).drop("_key", "_at")
+        return keyed.withColumn("allowed", F.col("_at").isNotNull()).drop("_key", "_at")
+    timed = keyed.where("_at is not null").groupBy(F.col("_key").alias("key"), F.col("_at").alias("at"))
+    times = settle(timed.agg(F.min(tie).cast("string").alias("first")))
+    passed = passing_times(times, cooldown_seconds, chunk_cooldowns, calm_times)
+    winners = passed.select(F.col("key").alias("_key"), F.col("at").alias("_at"), F.col("first").alias("_tie"), F.lit(True).alias("_passed"))
+    tied = keyed.withColumn("_tie", F.col(tie).cast("string")).alias("a")
+    same = [F.col(f"a.{name}").eqNullSafe(F.col(f"w.{name}")) for name in ("_key", "_at", "_tie")]
+    joined = tied.join(winners.alias("w"), same[0] & same[1] & same[2], "left").select("a.*", "_passed")
+    repeats = Window.partitionBy("_key", "_at", "_tie").orderBy(F.lit(1))
+    allowed = F.coalesce(F.col("_passed") & (F.row_number().over(repeats) == 1), F.lit(False))
+    return joined.withColumn("allowed", allowed).drop("_key", "_at", "_tie", "_passed")

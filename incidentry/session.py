@@ -30,12 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared folder, so that later jobs and lost executors read it instead of its inputs."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and keep as Parquet in the shared folder, so that later jobs and lost executors read it instead of its inputs."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process has written below the shared folder; call it when no result that reads from there is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,13 @@
-"""Routing alerts: policy, message, channels, cooldown gate and outbox, for tables and for streams."""
+"""Routing alerts: policy, message, channels, cooldown gate and outbox, the same for tables and for streams."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,7 +17,11 @@ from incidentry.operators.gate import alert_key, with_gate
 from incidentry.operators.rules import with_alerts
 
 CHANNEL_NAMES = {"sms": "SMS", "email": "Email"}
-GATED = "alert_key string, alert_id bigint, event_time timestamp, allowed boolean"
+ALERT = "alert_key string, alert_id bigint, channel string, reason string, message string, event_time timestamp"
+GATED = f"{ALERT}, allowed boolean"
+ROUTED = f"{GATED}, result string"
+ARRIVAL_DELAY = "1 hour"  # how far clocks may be apart
+INCIDENT_KEY = ("incident_id", "alert_reason", "channel")
 
 
 def _result(channel: Column, reason: Column, allowed: Column) -> Column:
@@ -36,78 +41,117 @@ def with_channels(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return df.select("*", F.explode_outer(chosen).alias("channel"))
 
 
+def planned(df: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Policy, message and channels of every incident; works on tables and on streams."""
+    return with_channels(with_alerts(df), channels)
+
+
 def route(df: DataFrame, channels: Sequence[str], time: str = "incident_datetime", cooldown_seconds: int = 3600) -> DataFrame:
-    """What happens to every incident of a table: reason, message, channel and result line."""
-    routed = with_channels(with_alerts(df), channels)
+    """What happens to every incident of a table: reason, message, channel and result line.
+
+    Of repeated incidents exactly one passes; an incident without a time is held back.
+    """
+    routed = planned(df, channels)
     due = routed.where("channel is not null")
-    gated = with_gate(due, ["incident_id", "alert_reason", "channel"], time, "incident_id", cooldown_seconds)
+    gated = with_gate(due, INCIDENT_KEY, time, "incident_id", cooldown_seconds)
     idle = routed.where("channel is null").withColumn("allowed", F.lit(False))
     return gated.unionByName(idle).withColumn(
         "result", _result(F.col("channel"), F.col("alert_reason"), F.col("allowed"))
     )
 
 
-def _gate_state(cooldown_seconds: int):
-    cooldown = pd.Timedelta(seconds=cooldown_seconds)
+def _gate_state(cooldown_seconds: int, idle_ms: int):
+    cooldown = cooldown_seconds * 1_000_000
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["event_time", "alert_id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        timed = rows["event_time"].notna().to_numpy()
+        times = rows["event_time"][timed].astype("datetime64[us]").astype("int64").to_numpy()
+        last = state.get[0] if state.exists else None
+        passed = []
+        place = 0 if last is None else int(np.searchsorted(times, last + cooldown))
+        while place < len(times):
+            passed.append(place)
+            last = int(times[place])
+            place = max(place + 1, int(np.searchsorted(times, last + cooldown)))
         allowed = np.zeros(len(rows), dtype=bool)
-        for place, at in enumerate(rows["event_time"]):
-            if last is None or at - last >= cooldown:
-                allowed[place], last = True, at
-        state.update((int(last.value // 1000),))
-        closing = int((last + cooldown).value // 1_000_000)
-        state.setTimeoutTimestamp(max(closing, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"alert_key": key[0], "alert_id": rows["alert_id"], "event_time": rows["event_time"], "allowed": allowed}
-        )
+        allowed[np.flatnonzero(timed)[passed]] = True
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + idle_ms)
+        yield rows.assign(alert_key=key[0], allowed=allowed)[[*ALERT_NAMES, "allowed"]]
 
     return decide
 
 
-def gate_stream(alerts: DataFrame, cooldown_seconds: int = 3600, delay: str = "1 hour") -> DataFrame:
-    """Stream of ``alert_key, alert_id, event_time`` -> the same rows with ``allowed``.
+ALERT_NAMES = [part.split(" ")[0] for part in ALERT.split(", ")]
 
-    State per key is the time of the last alert that passed; it is dropped once the watermark has left the cooldown behind.
-    A row older than that time is held back.
+
+def gate_stream(alerts: DataFrame, cooldown_seconds: int = 3600, idle_seconds: int | None = None) -> DataFrame:
+    """Stream of alerts (columns of ALERT) -> the same rows with ``allowed``. Every row comes out, however late it is.
+
+    State per key is the event time of the last alert that passed. A row of the key that is older, or within the cooldown after it, is held
+    back, like a row without a time. State is dropped when a key has been idle for ``idle_seconds``: four cooldowns, a day at least. The
+    watermark is on the time of arrival, as one on the event time would discard late rows before the gate sees them.
     """
-    return (
-        alerts.withWatermark("event_time", delay)
-        .groupBy("alert_key")
-        .applyInPandasWithState(
-            _gate_state(cooldown_seconds), GATED, "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
-        )
+    idle = max(86_400, 4 * cooldown_seconds) if idle_seconds is None else idle_seconds
+    arriving = alerts.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", ARRIVAL_DELAY)
+    return arriving.groupBy("alert_key").applyInPandasWithState(
+        _gate_state(cooldown_seconds, 1000 * idle), GATED, "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def keyed_alerts(df: DataFrame, key_parts: Sequence[str], time: str, alert_id: str) -> DataFrame:
-    """The three columns the gate reads; ``event_time`` as an instant, which watermarks need."""
+    """The columns the gate reads. ``channel``, ``alert_reason`` and ``alert_message`` are taken over where they are there."""
+    here = {name: F.col(name) if name in df.columns else F.lit(None).cast("string") for name in ("channel", "alert_reason", "alert_message")}
     return df.select(
         alert_key(*key_parts).alias("alert_key"),
         F.col(alert_id).cast("bigint").alias("alert_id"),
+        here["channel"].alias("channel"),
+        here["alert_reason"].alias("reason"),
+        here["alert_message"].alias("message"),
         F.timestamp_micros(micros(time)).alias("event_time"),
     )
 
 
-def deliver(gated: DataFrame, outbox: str, checkpoint: str) -> StreamingQuery:
-    """Write passed alerts to the outbox table and stop when the available input is used up.
+def route_stream(df: DataFrame, channels: Sequence[str], time: str = "incident_datetime", cooldown_seconds: int = 3600) -> DataFrame:
+    """``route`` for a stream of incidents: the columns of ROUTED, a row per incident and channel."""
+    keyed = planned(df, channels)
+    gated = gate_stream(keyed_alerts(keyed.where("channel is not null"), INCIDENT_KEY, time, "incident_id"), cooldown_seconds)
+    idle = keyed_alerts(keyed.where("channel is null"), INCIDENT_KEY, time, "incident_id").withColumn("allowed", F.lit(False))
+    return gated.unionByName(idle).withColumn("result", _result(F.col("channel"), F.col("reason"), F.col("allowed")))
 
-    Each batch owns one folder, which a replay overwrites, so an alert is not delivered twice. Sending is left to whatever
-    reads the outbox.
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """An id that is kept with the checkpoint, so that batch numbers of another checkpoint never meet those of this one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{checkpoint.rstrip('/')}-run")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        return files.listStatus(folder)[0].getPath().getName()
+    run = uuid.uuid4().hex
+    files.mkdirs(hadoop.Path(folder, run))
+    return run
+
+
+def deliver(routed: DataFrame, outbox: str, checkpoint: str) -> StreamingQuery:
+    """Append a gated or routed stream to the outbox table and stop when the available input is used up.
+
+    Each batch of each checkpoint owns one folder, which a replay overwrites, so an alert is not delivered twice and none of another
+    run is lost. Rows that were held back are kept too, with ``allowed`` false. Sending is left to whatever reads the outbox.
     """
+    spark = routed.sparkSession
+    run = _run_id(spark, checkpoint)
+    lines = routed if "result" in routed.columns else routed.withColumn("result", F.lit(None).cast("string"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.where("allowed").select("alert_key", "alert_id", "event_time").write.mode("overwrite").parquet(
-            f"{outbox}/batch={number}"
-        )
+        batch.write.mode("overwrite").parquet(f"{outbox}/run={run}/batch={number}")
 
     return (
-        gated.writeStream.foreachBatch(write)
+        lines.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
@@ -115,5 +159,13 @@ def deliver(gated: DataFrame, outbox: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def read_outbox(spark, outbox: str) -> DataFrame:
-    return spark.read.option("basePath", outbox).parquet(outbox)
+def read_results(spark: SparkSession, outbox: str) -> DataFrame:
+    """Every row that went through the gate; none for an outbox that is empty or not there yet."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(outbox)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    return spark.read.schema(f"{ROUTED}, run string, batch bigint").option("basePath", outbox).parquet(outbox).drop("run", "batch")
+
+
+def read_outbox(spark: SparkSession, outbox: str) -> DataFrame:
+    """The alerts to send: key, id, channel, reason, message and time."""
+    return read_results(spark, outbox).where("allowed").select(*ALERT_NAMES)

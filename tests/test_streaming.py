@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -38,10 +39,67 @@ def test_two_alerts_never_pass_within_the_cooldown(spark):
     assert min(gaps) >= timedelta(seconds=60)
 
 
+INCIDENT = ("incident_id bigint, severity string, incident_type string, location string, "
+            "incident_datetime timestamp_ntz, notification_delay_days double, reportable_bin int")
+
+
+def incidents(spark, rows):
+    made = [(i, "High", "Fall", "x", at, None, 0) for i, at in rows]
+    return spark.createDataFrame(made, INCIDENT).withColumn("incident_date", F.col("incident_datetime"))
+
+
+def hour(n):
+    return START + timedelta(hours=n)
+
+
 def test_route_reports_repeats(spark):
-    row = (1, "High", "Fall", "x", START, None, 0)
-    df = spark.createDataFrame([row, row], "incident_id bigint, severity string, incident_type string, location string, "
-                               "incident_datetime timestamp_ntz, notification_delay_days double, reportable_bin int")
-    df = df.withColumn("incident_date", F.col("incident_datetime"))
-    results = {r["result"] for r in alerts.route(df.limit(1), ["sms"]).collect()}
-    assert results == {"SMS queued."}
+    rows = [(1, hour(0)), (1, hour(0)), (1, hour(0)), (2, hour(0)), (1, hour(2)), (1, hour(2.5)), (3, None)]
+    results = sorted((r["incident_id"], r["result"]) for r in alerts.route(incidents(spark, rows), ["sms"]).collect())
+    held, sent = "SMS skipped: cooldown.", "SMS queued."
+    assert results == [(1, sent), (1, sent), (1, held), (1, held), (1, held), (2, sent), (3, held)]
+
+
+def test_late_alerts_are_delivered(spark, tmp_path):
+    folder, outbox, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    lines = []
+    for rows in ([(1, hour(10)), (1, hour(10))], [(2, hour(11))], [(3, hour(0)), (1, hour(9))], [(4, hour(12)), (1, hour(11)), (5, None)]):
+        incidents(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(incidents(spark, rows).schema).parquet(folder)
+        alerts.deliver(alerts.route_stream(stream, ["sms", "email"]), outbox, state).awaitTermination()
+    lines = sorted((r["alert_id"], r["result"]) for r in alerts.read_results(spark, outbox).where("channel = 'sms'").collect())
+    held, sent = "SMS skipped: cooldown.", "SMS queued."
+    assert lines == [(1, sent), (1, sent), (1, held), (1, held), (2, sent), (3, sent), (4, sent), (5, held)]
+    first = alerts.read_outbox(spark, outbox).where("alert_id = 3 and channel = 'email'").collect()
+    assert len(first) == 1 and first[0]["reason"] == "high_severity" and "Incident 3" in first[0]["message"] and len(first[0]["alert_key"]) == 64
+
+
+def test_another_checkpoint_keeps_what_was_delivered(spark, tmp_path):
+    outbox = str(tmp_path / "out")
+    assert alerts.read_outbox(spark, outbox).count() == 0
+    for number in (1, 2):
+        folder = str(tmp_path / f"in{number}")
+        incidents(spark, [(number, hour(0))]).write.parquet(folder)
+        stream = spark.readStream.schema(incidents(spark, [(1, hour(0))]).schema).parquet(folder)
+        alerts.deliver(alerts.route_stream(stream, ["sms"]), outbox, str(tmp_path / f"state{number}")).awaitTermination()
+    assert sorted(r["alert_id"] for r in alerts.read_outbox(spark, outbox).collect()) == [1, 2]
+
+
+def test_key_parts_do_not_run_together(spark):
+    rows = spark.createDataFrame([("1", "23"), ("12", "3"), ("1", "23"), (None, "-"), ("-", None), ("", "0:")], "a string, b string")
+    keys = [r[0] for r in rows.select(gate.alert_key("a", "b")).collect()]
+    assert keys[0] == keys[2] and len(set(keys)) == 5
+
+
+def test_levels_of_chunks(spark, monkeypatch):
+    """Many chunks, put together two at a time, with gaps between them."""
+    monkeypatch.setattr(gate, "FAN", 2)
+    dice = random.Random(4)
+    made = [(i, dice.choice("ab"), START + timedelta(seconds=dice.choice([0, 5000, 90_000]) + dice.randrange(3000))) for i in range(500)]
+    df = spark.createDataFrame(made, SCHEMA)
+    allowed = {r["id"] for r in gate.with_gate(df, ["k"], "t", "id", 60, 2, 10).where("allowed").collect()}
+    last, expected = {}, set()
+    for i, key, at in sorted(made, key=lambda row: (row[2], row[0])):
+        if key not in last or at - last[key] >= timedelta(seconds=60):
+            last[key] = at
+            expected.add(i)
+    assert allowed == expected
