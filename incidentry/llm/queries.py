@@ -64,7 +64,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    rows = token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

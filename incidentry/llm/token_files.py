@@ -30,8 +30,8 @@ from incidentry.llm.common import attempt_name, open_folder, scratch_path, store
 MAGIC = b"TOKFILE1"
 HEAD, TAIL = len(MAGIC) + 33, 16 + len(MAGIC)
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 112_640, 1024, 16_384
-FILE_BYTES, REMEMBERED = 256 << 20, 400_000
-LEVEL = 3
+FILE_BYTES, REMEMBERED = 256 << 20, 1_000_000
+LEVEL, GROUP = 3, 256
 TWO_SPACES = re.compile(r"\s\s|\0")
 
 
@@ -39,7 +39,8 @@ class Encoder:
     """Ids of whole texts as bytes. Pieces between white space are encoded once and remembered, up to a fixed number of them.
 
     A byte-level tokenizer never joins what follows a single space or line feed with what stands before it, so pieces that start at
-    these can be encoded apart; texts with other white space in a row are encoded as a whole.
+    these can be encoded apart; texts with other white space in a row are encoded as a whole. New pieces are encoded together as the
+    lines of one text, where the id of the line feed marks their ends.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,25 +51,51 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        feed = self._ids("\n")
+        if len(feed) != 1 or not np.array_equal(self._ids("a\n b\nc"), np.concatenate([self._ids(x) for x in ("a", "\n", " b", "\n", "c")])):
+            raise ValueError("the tokenizer joins words over white space")
+        self.feed = int(feed[0])
+        self.known: dict[str, bytes] = {"": b"", "\n": feed.tobytes()}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = self._ids("\n".join(pieces))
+        ends = np.append(np.flatnonzero(ids == self.feed), len(ids)) * self.width
+        data, starts = ids.tobytes(), [0, *(ends[:-1] + self.width).tolist()]
+        return {piece: data[a:b] for piece, a, b in zip(pieces, starts, ends.tolist(), strict=True)}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. One look-up for each piece; what is missing in any of the texts is encoded in one go."""
+        look_up, parts, gaps = self.known.get, [], []
+        missing: dict[str, bytes] = {}
+        for text in texts:
+            if TWO_SPACES.search(text):
+                parts.append([self._ids(text).tobytes()])
+                continue
+            pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            found = list(map(look_up, pieces))
+            at = -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    missing[pieces[at]] = b""
+                    gaps.append((found, at, pieces[at]))
+            except ValueError:
+                parts.append(found)
+        if " " in missing:  # at the end of a text; it would run into the next line
+            self.known[" "] = self._ids(" ").tobytes()
+        if rest := [piece for piece in missing if piece != " "]:
+            missing = self._encoded(rest)
+            if len(self.known) < REMEMBERED:
+                self.known.update(missing)
+        for found, at, piece in gaps:
+            found[at] = self.known[" "] if piece == " " else missing[piece]
+        return [b"".join(found) for found in parts]
 
     def encode(self, text: str) -> bytes:
-        if TWO_SPACES.search(text):
-            return self._encoded([text])[0]
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        known = self.known
-        try:
-            return b"".join([known[piece] for piece in pieces])
-        except KeyError:
-            missing = list({piece for piece in pieces if piece not in known})
-            found = dict(zip(missing, self._encoded(missing)))
-            if len(known) < REMEMBERED:
-                known.update(found)
-                return b"".join([known[piece] for piece in pieces])
-            return b"".join([known[piece] if piece in known else found[piece] for piece in pieces])
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,7 +113,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, id: str, text: str) -> b
     share = F.pmod(F.xxhash64(F.col(f"`{id}`")), F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0
     rows = docs.where(share).select(F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()
     tool = encoder(tokenizer)
-    samples = [tool.encode(row[0] or "") + np.array([end_id], tool.kind).tobytes() for row in rows]
+    samples = [data + np.array([end_id], tool.kind).tobytes() for data in tool.encode_all([row[0] or "" for row in rows])]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
         return b""
@@ -170,12 +197,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id: str
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         done, writer = [], None
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if writer is None or writer.at >= FILE_BYTES:
-                    done += [writer.close()] if writer else []
-                    writer = Writer(files, root, attempt_name("tokens", ".tok"), dictionary, tool.width)
-                data = tool.encode(value or "") + end
-                writer.add(key, packer.compress(data), len(data) // tool.width)
+            for at in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(at, GROUP)
+                arrays = tool.encode_all([value or "" for value in rows.column(2).to_pylist()])
+                for key, data in zip(rows.column(0).to_pylist(), arrays):
+                    if writer is None or writer.at >= FILE_BYTES:
+                        done += [writer.close()] if writer else []
+                        writer = Writer(files, root, attempt_name("tokens", ".tok"), dictionary, tool.width)
+                    data += end
+                    writer.add(key, packer.compress(data), len(data) // tool.width)
         done += [writer.close()] if writer else []
         yield pa.RecordBatch.from_pylist(
             [{"file": f, "part": part, "seq": i, "docs": n, "tokens": t} for i, (f, n, t) in enumerate(done)],
@@ -187,8 +217,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id: str
     return listed.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def read(spark: SparkSession, folder: str, listed: DataFrame, kind: str = "bigint") -> DataFrame:
-    """Documents of the listed files: key, start, n_tokens, ids_crc32, ids; ``start`` counts the ids of all documents before."""
+def read(spark: SparkSession, folder: str, listed: DataFrame, kind: str = "bigint", with_ids: bool = True) -> DataFrame:
+    """Documents of the listed files: key, start, n_tokens, ids_crc32, ids; ``start`` counts the ids of all documents before.
+
+    Without ``with_ids`` the ids are read and counted, but the column is empty.
+    """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(folder)
@@ -203,27 +236,29 @@ def read(spark: SparkSession, folder: str, listed: DataFrame, kind: str = "bigin
                     rows.append((key, start, len(ids), zlib.crc32(ids.tobytes()), ids))
                     start += len(ids)
                     if sum(row[2] for row in rows[-1:]) > 1 << 20 or len(rows) >= 1000:
-                        yield _documents(rows, key_kind)
+                        yield _documents(rows, key_kind, with_ids)
                         rows = []
                 if rows:
-                    yield _documents(rows, key_kind)
+                    yield _documents(rows, key_kind, with_ids)
 
     key_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     parts = 2 * spark.sparkContext.defaultParallelism
     source = listed.select("file", "start").repartition(parts, "file")
-    return source.mapInArrow(documents, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>")
+    return source.mapInArrow(documents, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
 
 
-def _documents(rows: list, key_kind: pa.DataType) -> pa.RecordBatch:
-    lengths = np.array([len(row[4]) for row in rows], np.int64)
-    values = np.concatenate([row[4] for row in rows]).astype(np.int64)
+def _documents(rows: list, key_kind: pa.DataType, with_ids: bool) -> pa.RecordBatch:
+    lengths = np.array([len(row[4]) if with_ids else 0 for row in rows], np.int64)
+    values = np.concatenate([row[4] for row in rows]).astype(np.int32) if with_ids else np.zeros(0, np.int32)
     ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
     columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((key_kind, pa.int64(), pa.int64(), pa.int64()))]
     return pa.RecordBatch.from_arrays([*columns, ids], ["key", "start", "n_tokens", "ids_crc32", "ids"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text", with_ids: bool = True
+) -> DataFrame:
     """Write ``docs`` to a new folder of the shared one and read the documents back from the files."""
     folder = scratch_path(docs.sparkSession, "tokens")
     listed = write(docs, folder, tokenizer, end_id, id, text)
-    return read(docs.sparkSession, folder, listed, docs.select(id).dtypes[0][1])
+    return read(docs.sparkSession, folder, listed, docs.select(id).dtypes[0][1], with_ids)
