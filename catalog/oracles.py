@@ -90,9 +90,6 @@ over_incidents("s2_drop_undated", f"SELECT incident_id, {stamp('notification_dat
 over_incidents("s3_weekday", "SELECT incident_id, dayname(incident_date) AS incident_weekday FROM incidents")
 over_incidents("s4_surrogate_ids", f"""SELECT row_number() OVER (ORDER BY incident_date, incident_time, participant_id, carer_id, incident_type)
   AS incident_id, {stamp('incident_date')} AS incident_date, incident_time, participant_id, carer_id, incident_type FROM incidents""")
-over_derived("s5_geocoded_csv", f"""SELECT incident_id, location, {r6('p.lat')} AS lat, {r6('p.lon')} AS lon FROM d JOIN (VALUES
-  ('Group Home', -33.8707, 151.2069), ('Transport Vehicle', -33.8688, 151.2093), ('Day Program', -33.8710, 151.2000)) p(location, lat, lon)
-  USING (location)""")
 over_derived("s5_prepared_by_month", "SELECT month_label AS incident_month, count(*) AS count FROM d GROUP BY 1")
 
 # --- normalising -------------------------------------------------------------------------------------------------------
@@ -462,6 +459,8 @@ over_derived("g4_place_points", rf"""SELECT incident_id,
   {r6("coalesce(p.lon, CASE WHEN street THEN 151.10 + (CAST(('0x' || substr(md5(location), 17, 8)) AS BIGINT) / 4294967296.0) * (151.26 - 151.10) END)")} AS lon
   FROM (SELECT *, coalesce(regexp_matches(location, '\d+ [\w ]+, [\w ]+ NSW \d+'), false) AS street FROM (SELECT incident_id,
     CASE WHEN incident_id % 2 = 0 THEN location ELSE replace(address, ', NSW', ' NSW') END AS location FROM d)) LEFT JOIN places p USING (location)""", PLACES)
+over_derived("s5_geocoded_csv", f"""SELECT incident_id, location, {r6('p.lat')} AS lat, {r6('p.lon')} AS lon
+  FROM d LEFT JOIN places p USING (location)""", PLACES)
 over_incidents("g6_geocode_requests", "SELECT DISTINCT address FROM incidents WHERE regexp_matches(address, '[0-9]') AND contains(address, ',')")
 
 # --- forecasts ---------------------------------------------------------------------------------------------------------
@@ -502,10 +501,11 @@ def forecast_sql(where: str, horizon: int, group: str | None = None, source: str
 
 over_incidents("m1_forecast", *forecast_sql("true", 6))
 over_incidents("w5_seasonal_change", *forecast_sql("true", 14))
-over_incidents("j5_actual_and_forecast", *forecast_sql("incident_date < TIMESTAMP '1997-01-01'", 8))
+over_incidents("j5_actual_and_forecast", *forecast_sql("true", 8, "participant_id"))
 over_derived("m1_forecast_by_location", *forecast_sql("true", 6, "location", "d"))
-over_incidents("m1_forecast_line", *forecast_sql("incident_date < TIMESTAMP '1995-09-01'", 6, "carer_id"))
-over_incidents("m1_forecast_mean", *forecast_sql("incident_date < TIMESTAMP '1995-03-01'", 6, "carer_id"))
+over_incidents("m1_forecast_line", *forecast_sql("true", 6, "participant_id"))
+over_incidents("m1_forecast_mean", *forecast_sql(
+    "true", 6, "pair", "(SELECT incident_date, concat_ws('/', participant_id, incident_type) AS pair FROM incidents)"))
 over_incidents("m1_forecast_flat", *forecast_sql("true", 6, "carer_id", flat=True))
 over_incidents("m2_forecast_log", *forecast_sql("true", 6, "carer_id", log=True))
 
@@ -579,8 +579,17 @@ over_derived("t5_si1_similar_incidents", NEAREST.format(
     ", rank FROM (SELECT a", ", CAST(rank AS INT) AS rank FROM (SELECT a"), INCIDENT_VECTORS)
 
 # --- alerts ------------------------------------------------------------------------------------------------------------
-over_derived("st1_route", f"""SELECT incident_id, reason AS alert_reason, c.channel, CASE WHEN reason IS NULL THEN 'No alert: policy not matched.'
-  WHEN c.channel = 'sms' THEN 'SMS queued.' ELSE 'Email queued.' END AS result FROM (SELECT *, {REASON} AS reason FROM d)
-  LEFT JOIN (VALUES ('sms'), ('email')) c(channel) ON reason IS NOT NULL""")
+ALERTS = f"""a AS (SELECT incident_id, incident_datetime AS moment, {REASON} AS reason, severity, location, incident_date FROM d)"""
+CHANNELS = "(VALUES ('sms', 'SMS'), ('email', 'Email')) c(channel, label)"
+over_derived("st1_route", f"""SELECT incident_id, reason AS alert_reason, c.channel, {stamp('moment + to_minutes(v.minutes)')} AS incident_datetime,
+  CASE WHEN reason IS NULL THEN 'No alert: policy not matched.' WHEN v.sent THEN label || ' queued.' ELSE label || ' skipped: cooldown.' END AS result
+  FROM a CROSS JOIN (VALUES (0, true), (0, false), (30, false), (120, true)) v(minutes, sent) LEFT JOIN {CHANNELS} ON reason IS NOT NULL""", ALERTS)
+over_derived("st1_st3_route_stream", f"""SELECT incident_id + v.shift AS alert_id, reason, c.channel,
+  CASE WHEN reason IS NOT NULL THEN '[NDIS Early Alert] Incident ' || (incident_id + v.shift) || ' flagged (' || reason || '). Severity: ' || severity
+    || ' | Location: ' || location || ' | Date: ' || {day('incident_date')} || '. Please review and escalate per SOP.' END AS message,
+  {stamp('moment + to_minutes(v.minutes)')} AS event_time,
+  CASE WHEN reason IS NULL THEN 'No alert: policy not matched.' WHEN v.sent THEN label || ' queued.' ELSE label || ' skipped: cooldown.' END AS result
+  FROM a CROSS JOIN (VALUES (0, 0, true), (0, 0, false), (120, 0, true), (-180, 0, false), (-6000, 1000000000, true)) v(minutes, shift, sent)
+  LEFT JOIN {CHANNELS} ON reason IS NOT NULL""", ALERTS)
 over_derived("st1_route_without_channels", f"""SELECT CASE WHEN reason IS NULL THEN 'No alert: policy not matched.' ELSE 'No channels configured.' END AS result,
   count(*) AS count FROM (SELECT {REASON} AS reason FROM d) GROUP BY 1""")

@@ -88,7 +88,7 @@ on("s4_surrogate_ids", raw, lambda d: prepare.with_incident_ids(
 def s5(spark, folder):
     path = scratch_path(spark, "geocoded-csv")
     table = geography.with_place_points(derived(spark, folder)).select("incident_id", "location", "lat", "lon")
-    source.write_csv(table.where("location in ('Group Home', 'Day Program', 'Transport Vehicle')"), path)
+    source.write_csv(table, path)
     return spark.read.csv(path, header=True, schema="incident_id bigint, location string, lat double, lon double")
 
 
@@ -216,7 +216,7 @@ on("j4_keyword_centroid", raw, lambda d: d.select(
     geography.keyword_point("address")[0].alias("lat"),
     geography.keyword_point("address")[1].alias("lon"),
 ))
-on("j5_actual_and_forecast", raw, lambda d: forecast.forecast(d.where("incident_date < timestamp_ntz'1997-01-01'"), 8))
+on("j5_actual_and_forecast", raw, lambda d: forecast.forecast(d, 8, ["participant_id"]))
 on("j6_dense_hours", derived, lambda d: joins.dense(
     joins.number_domain(d.sparkSession, "hour", 24),
     d.groupBy("hour").agg(F.count(F.lit(1)).alias("count")),
@@ -388,8 +388,10 @@ on("g6_geocode_requests", raw, lambda d: geography.geocode_requests(d, "address"
 # --- forecasts ---------------------------------------------------------------------------------------------------------
 on("m1_forecast", raw, lambda d: forecast.forecast(d, 6))
 on("m1_forecast_by_location", derived, lambda d: forecast.forecast(d, 6, ["location"]))
-on("m1_forecast_line", raw, lambda d: forecast.forecast(d.where("incident_date < timestamp_ntz'1995-09-01'"), 6, ["carer_id"]))
-on("m1_forecast_mean", raw, lambda d: forecast.forecast(d.where("incident_date < timestamp_ntz'1995-03-01'"), 6, ["carer_id"]))
+on("m1_forecast_line", raw, lambda d: forecast.forecast(d, 6, ["participant_id"]))
+on("m1_forecast_mean", raw, lambda d: forecast.forecast(
+    d.withColumn("pair", F.concat_ws("/", "participant_id", "incident_type")), 6, ["pair"]
+))
 on("m1_forecast_flat", raw, lambda d: forecast.forecast(d, 6, ["carer_id"], flat=True))
 on("m2_forecast_log", raw, lambda d: forecast.forecast(d, 6, ["carer_id"], log_space=True))
 
@@ -486,7 +488,7 @@ def cl1(spark, folder):
 @register("cl2_clusters_scaled")
 def cl2(spark, folder):
     frame = clustering.cluster_features(prepared(spark, folder))
-    return clustering.clusters(frame, k=4, components=3, scaled=True, sample=2000)
+    return clustering.clusters(frame, k=4, components=3, scaled=True)
 
 
 @register("cl1_embedding_clusters")
@@ -523,8 +525,14 @@ def si2(spark, folder):
 
 
 # --- alerts ------------------------------------------------------------------------------------------------------------
-on("st1_route", delayed, lambda d: alerts.route(d, ["sms", "email"]).select(
-    "incident_id", "alert_reason", "channel", "result"
+def with_repeats(table: DataFrame) -> DataFrame:
+    """Every incident twice at its own time, and again 30 minutes and 2 hours later."""
+    later = [table.withColumn("incident_datetime", F.col("incident_datetime") + F.expr(f"interval {n} minutes")) for n in (0, 30, 120)]
+    return table.unionByName(later[0]).unionByName(later[1]).unionByName(later[2])
+
+
+on("st1_route", delayed, lambda d: alerts.route(with_repeats(d), ["sms", "email"]).select(
+    "incident_id", "alert_reason", "channel", "incident_datetime", "result"
 ))
 on("st1_route_without_channels", delayed, lambda d: alerts.route(d, []).groupBy("result").agg(F.count(F.lit(1)).alias("count")))
 
@@ -538,3 +546,20 @@ def st3(spark, folder):
     query = alerts.deliver(alerts.gate_stream(keyed, 86_400), outbox, state)
     query.awaitTermination()
     return alerts.read_outbox(spark, outbox).select("alert_id", "event_time")
+
+
+@register("st1_st3_route_stream")
+def route_stream(spark, folder):
+    """Repeats at the same time in a first run; in a second one 2 hours later, 3 hours late, and early incidents that are new."""
+    table = delayed(spark, folder)
+    arrivals, outbox, state = (scratch_path(spark, name) for name in ("arrivals", "outbox", "outbox-state"))
+
+    def moved(minutes: int, shift: int = 0) -> DataFrame:
+        at = F.col("incident_datetime") + F.expr(f"interval {minutes} minutes")
+        return table.withColumn("incident_datetime", at).withColumn("incident_id", F.col("incident_id") + shift)
+
+    for batch in (table.unionByName(table), moved(120).unionByName(moved(-180)).unionByName(moved(-6000, 1_000_000_000))):
+        batch.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(table.schema).parquet(arrivals)
+        alerts.deliver(alerts.route_stream(stream, ["sms", "email"]), outbox, state).awaitTermination()
+    return alerts.read_results(spark, outbox).select("alert_id", "reason", "channel", "message", "event_time", "result")
