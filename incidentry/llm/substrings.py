@@ -4,7 +4,8 @@ A window is a run of ``size`` words of one document. Consecutive windows that sh
 MINIMISER words in them, travel as one packed string to the bucket of that minimiser; equal windows always meet in one bucket. There the
 windows are sorted by hash, neighbours with equal hashes are compared byte for byte, and every window learns the smallest id of a document that
 has it. Within a batch equal packed strings travel once with a list of their places. Minimisers that a planning sample finds in very
-many windows are split by a second minimiser of another order, and what is still crowded by the window itself.
+many windows are split by a second minimiser of another order, and what is still crowded by the window itself. Runs of
+repeated words come back for groups of places, which are dealt out before they are told apart by document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ WINDOW, MINIMISER = 50, 4
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
 SAMPLE_SHARE, CROWDED_WINDOWS, MOST_CROWDED = 16, 4000, 4096
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, GROUP_PLACES = 2 << 20, 64
 SPACE = 32
 
 
@@ -222,7 +223,7 @@ def _earliest(packed: list[bytes], least: np.ndarray, size: int) -> tuple[np.nda
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers in the order of their buckets -> runs of words (doc, mark, low, high) that a window of an earlier document covers."""
+    """Super-k-mers in the order of their buckets -> runs of their words that windows of earlier documents cover, and the places they hold for."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -243,8 +244,9 @@ def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _spans(table: pa.Table, size: int) -> pa.RecordBatch:
+    """Rows (places, lows, highs): word runs counted from the start of a super-k-mer, and at most GROUP_PLACES of the places where it stands."""
     packed = table.column(1).to_pylist()
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    out: tuple[list, list, list] = ([], [], [])
     if packed:
         counts = pc.binary_length(table.column(2)).to_numpy() // PLACE.itemsize
         places = np.frombuffer(b"".join(table.column(2).to_pylist()), PLACE)
@@ -254,16 +256,32 @@ def _spans(table: pa.Table, size: int) -> pa.RecordBatch:
         edges = np.searchsorted(text, np.arange(len(packed) + 1))
         for i in np.unique(text[best < most[text]]).tolist():
             mine, where = best[edges[i] : edges[i + 1]], place[edges[i] : edges[i + 1]]
-            for doc, mark, start in places[begin[i] : begin[i] + counts[i]].tolist():
-                later = where[mine < doc]
-                if len(later):
-                    breaks = np.flatnonzero(np.diff(later) > 1)
-                    out[0].extend([doc] * (len(breaks) + 1))
-                    out[1].extend([mark] * (len(breaks) + 1))
-                    out[2].extend((start + later[np.r_[0, breaks + 1]]).tolist())
-                    out[3].extend((start + later[np.r_[breaks, len(later) - 1]] + size).tolist())
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(out, kinds)], ["doc", "mark", "low", "high"])
+            own, values = places[begin[i] : begin[i] + counts[i]], np.unique(mine)
+            earlier = np.searchsorted(values, own["doc"])  # how many of the values lie before the document
+            for n in np.unique(earlier[earlier > 0]).tolist():
+                later = where[mine <= values[n - 1]]
+                breaks = np.flatnonzero(np.diff(later) > 1)
+                lows, highs = later[np.r_[0, breaks + 1]], later[np.r_[breaks, len(later) - 1]] + size
+                alike = own[earlier == n]
+                for at in range(0, len(alike), GROUP_PLACES):
+                    for values_of, value in zip(out, (alike[at : at + GROUP_PLACES].tobytes(), lows, highs)):
+                        values_of.append(value)
+    kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(out, kinds)], ["places", "lows", "highs"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_spans`` -> (doc, mark, low, high), counted from the start of the document."""
+    for batch in batches:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for raw, lows, highs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own = np.repeat(np.frombuffer(raw, PLACE), len(lows))
+            times = len(own) // len(lows)
+            parts.append((own["doc"], own["mark"], own["start"] + np.tile(lows, times), own["start"] + np.tile(highs, times)))
+        columns = [np.concatenate([part[i] for part in parts]) if parts else np.zeros(0) for i in range(4)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        arrays = [pa.array(column.astype(kind.to_pandas_dtype())) for column, kind in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc", "mark", "low", "high"])
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,7 +298,9 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, id: str = "doc_id", text
     packed = given.mapInArrow(lambda batches: _pack(batches, size, crowded, crowded_pairs), schema)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return store(grouped.mapInArrow(lambda batches: _repeated(batches, size), "doc bigint, mark bigint, low int, high int"), "spans")
+    found = store(grouped.mapInArrow(lambda batches: _repeated(batches, size), "places binary, lows array<int>, highs array<int>"), "spans")
+    # a bucket of a common passage has many places in few rows: these are dealt out before they are told apart by document
+    return found.repartition(parts).mapInArrow(_by_document, "doc bigint, mark bigint, low int, high int")
 
 
 def without_repeats(docs: DataFrame, size: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
