@@ -481,13 +481,13 @@ on("q21_exact_percentiles", derived, lambda d: ordered.exact_percentiles(d, {
 
 @register("cl1_clusters")
 def cl1(spark, folder):
-    frame = clustering.cluster_features(prepared(spark, folder))
+    frame = clustering.cluster_features(prepared(spark, folder), names_from=derived(spark, folder))
     return clustering.clusters(frame, k=4, components=2)
 
 
 @register("cl2_clusters_scaled")
 def cl2(spark, folder):
-    frame = clustering.cluster_features(prepared(spark, folder))
+    frame = clustering.cluster_features(prepared(spark, folder), names_from=derived(spark, folder))
     return clustering.clusters(frame, k=4, components=3, scaled=True)
 
 

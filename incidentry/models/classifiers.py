@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import statistics
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,8 +18,9 @@ from incidentry.functions.common import clean_label
 from incidentry.models.features import feature_frame
 from incidentry.models.guard import LeakageGuard
 from incidentry.models.splits import group_split, stratified_split, time_split, with_folds
+from incidentry.session import settle
 
-SUSPICIOUS_ACCURACY = 0.98
+SUSPICIOUS_ACCURACY, WEAK_CV_ACCURACY = 0.98, 0.9
 
 
 @dataclass
@@ -36,6 +38,11 @@ class TrainedModel:
         """So accurate that leakage is likely."""
         return self.accuracy >= SUSPICIOUS_ACCURACY
 
+    @property
+    def overfitted(self) -> bool:
+        """As accurate as that on its test rows, but not over the folds."""
+        return self.suspicious and self.cv_accuracy is not None and self.cv_accuracy < WEAK_CV_ACCURACY
+
     @property
     def guard_report(self) -> DataFrame:
         return self.model.stages[0].report(self.predictions.sparkSession)
@@ -74,11 +81,16 @@ def random_forest(seed: int) -> list:
     ]
 
 
-def logistic_regression(weight_sum: float, strength: float = 0.1) -> list:
+def logistic_regression(rows: float, strength: float = 0.1) -> list:
+    """Features are scaled by their population deviation.
+
+    The scaler uses the sample deviation, so scaled values are smaller by the root of (rows - 1) / rows; the same share of the penalty gives
+    the same model. The weights of balanced classes sum to the number of rows.
+    """
     return [
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
         LogisticRegression(
-            regParam=1.0 / (strength * weight_sum), standardization=False, maxIter=1000,
+            regParam=max(1.0, rows - 1) / (strength * rows * rows), standardization=False, maxIter=1000,
             weightCol="weight", labelCol="label", featuresCol="scaled",
         ),
     ]
@@ -95,18 +107,21 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def cross_validated(stages: list, train: DataFrame, rows: int, seed: int) -> tuple[float | None, float | None]:
-    """Mean and deviation of the accuracy over up to three stratified folds; none for ten rows or fewer."""
+def cross_validated(stages: Callable[[float], list], train: DataFrame, rows: int, seed: int) -> tuple[float | None, float | None]:
+    """Mean and deviation of the accuracy over up to three stratified folds; none for ten rows or fewer.
+
+    Class weights are those of the rows a fold is fitted on; ``stages`` builds the estimators for their number.
+    """
     folds = min(3, rows // 10)
     if rows <= 10 or folds < 2:
         return None, None
-    numbered = with_folds(train, folds, seed=seed).persist()
+    numbered = settle(with_folds(train.drop("weight"), folds, seed=seed))
     scores = []
     for fold in range(folds):
-        model = Pipeline(stages=stages).fit(numbered.where(F.col("fold") != fold))
+        weighted, count = balanced_weights(numbered.where(F.col("fold") != fold))
+        model = Pipeline(stages=stages(count)).fit(weighted)
         right = F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))
         scores.append(scored(model, numbered.where(F.col("fold") == fold)).agg(right).first()[0] or 0.0)
-    numbered.unpersist()
     return statistics.fmean(scores), statistics.pstdev(scores)
 
 
@@ -122,27 +137,24 @@ def compare_models(
     cross_validate: bool = True,
     names_from: DataFrame | None = None,
 ) -> dict[str, TrainedModel]:
-    """Train both classifiers on the same split. The feature table is kept in memory while they are fitted."""
+    """Train both classifiers on the same split. The feature table is stored once."""
     labelled = with_label(prepared, target)
     keep = tuple(dict.fromkeys(name for name in ("label", time, group) if name))
     features = feature_frame(labelled, keep, names_from)
-    table = split(features.frame, strategy, time, group, test_size, seed).persist()
+    table = settle(split(features.frame, strategy, time, group, test_size, seed))
     train, test = table.where("not is_test"), table.where("is_test")
     weighted, weight_sum = balanced_weights(train)
     guard = LeakageGuard(features.names, corr_threshold=corr_threshold)
     guarded = guard.fit(weighted)
     results = {}
-    for name, tail in (
-        ("RandomForest", random_forest(seed)),
-        ("LogisticRegression", logistic_regression(weight_sum)),
-    ):
-        model = Pipeline(stages=[guarded, *tail]).fit(weighted)
+    for name, tail in (("RandomForest", lambda rows: random_forest(seed)), ("LogisticRegression", logistic_regression)):
+        model = Pipeline(stages=[guarded, *tail(weight_sum)]).fit(weighted)
         predictions = scored(model, test)
         right = F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))
         accuracy = predictions.agg(right).first()[0] or 0.0
         mean, deviation = None, None
         if cross_validate:  # here the guard is fitted anew in every fold
-            mean, deviation = cross_validated([guard, *tail], weighted, int(weight_sum), seed)
+            mean, deviation = cross_validated(lambda rows, tail=tail: [guard, *tail(rows)], weighted, int(weight_sum), seed)
         results[name] = TrainedModel(name, model, accuracy, mean, deviation, guarded.kept, predictions)
     return results
 
@@ -153,10 +165,10 @@ def best_model(models: dict[str, TrainedModel]) -> TrainedModel:
 
 def model_table(models: dict[str, TrainedModel], spark) -> DataFrame:
     rows = [
-        (m.name, float(m.accuracy), m.cv_accuracy, m.cv_deviation, len(m.feature_names), m.suspicious) for m in models.values()
+        (m.name, float(m.accuracy), m.cv_accuracy, m.cv_deviation, len(m.feature_names), m.suspicious, m.overfitted) for m in models.values()
     ]
     return spark.createDataFrame(
-        rows, "model string, accuracy double, cv_accuracy double, cv_deviation double, features int, suspicious boolean"
+        rows, "model string, accuracy double, cv_accuracy double, cv_deviation double, features int, suspicious boolean, overfitted boolean"
     )
 
 

@@ -11,6 +11,7 @@ from incidentry.functions.common import beside, count_if, share
 from incidentry.functions.grades import compliance_band, delay_band, plain_flag, severity_rank, workload_band
 from incidentry.operators.joins import dense, severity_domain
 from incidentry.operators.ordered import exact_percentiles
+from incidentry.session import settle
 from incidentry.operators.reports import is_high
 from incidentry.operators.rules import stage_condition, with_stages
 
@@ -109,7 +110,7 @@ def rank_or_two(df: DataFrame) -> Column:
 
 def carer_profile(df: DataFrame) -> DataFrame:
     """Volume, severe share and medical share per carer, with the 80th percentiles of the first two over all carers."""
-    carers = (
+    carers = settle(  # read for the percentiles, too
         df.where("carer_id is not null")
         .groupBy("carer_id")
         .agg(
@@ -250,7 +251,7 @@ def stages_long(counts: DataFrame, key: str) -> DataFrame:
 
 def risk_network(df: DataFrame) -> DataFrame:
     """Carer-participant pairs; the means are rounded to three digits before the score is built."""
-    pairs = (
+    pairs = settle(  # the largest count, the score and its percentile are read from the counted pairs
         df.where("carer_id is not null and participant_id is not null")
         .groupBy("carer_id", "participant_id")
         .agg(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from incidentry.functions.common import finite_or_zero, numeric_columns
 from incidentry.models.features import feature_frame
 from incidentry.operators.rules import safe_cluster_columns
+from incidentry.session import settle
 
 
 def numeric_frame(df: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -22,10 +23,10 @@ def numeric_frame(df: DataFrame, row_id: str, columns: Sequence[str] | None = No
     return df.select(row_id, *[finite_or_zero(f"`{name}`").alias(name) for name in names])
 
 
-def cluster_features(df: DataFrame, row_id: str = "incident_id") -> DataFrame:
-    """Features a clustering may see. Raw incident rows get the full feature frame first."""
+def cluster_features(df: DataFrame, row_id: str = "incident_id", names_from: DataFrame | None = None) -> DataFrame:
+    """Features a clustering may see. Raw incident rows get the full feature frame first, its names from ``names_from`` if given."""
     if "incident_date" in df.columns:
-        df = feature_frame(df).frame
+        df = feature_frame(df, names_from=names_from).frame
     return numeric_frame(df, row_id, safe_cluster_columns([n for n in numeric_columns(df) if n != row_id]))
 
 
@@ -55,22 +56,17 @@ def clusters(
     components: int = 2,
     scaled: bool = False,
     starts: int = 10,
-    sample: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Cluster and principal components per row.
-
-    Everything is fitted on all rows; ``sample`` only limits how many rows are returned for a picture.
-    """
+    """Cluster and principal components of every row. The vectors are stored once, and all starts read them from there."""
     names = [name for name in frame.columns if name != row_id]
     vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(frame).select(row_id, "vector")
+    vectors = settle(vectors)
     if scaled:
-        vectors = standard_vectors(vectors)
-    vectors = vectors.persist()
+        vectors = settle(standard_vectors(vectors))
     model = best_kmeans(vectors, k, starts, seed)
     columns = [f"pc{i + 1}" for i in range(components)]
-    placed = model.transform(_components(vectors, components)).select(row_id, "cluster", *columns)
-    return placed.orderBy(F.xxhash64(F.col(row_id), F.lit(seed))).limit(sample) if sample else placed
+    return model.transform(_components(vectors, components)).select(row_id, "cluster", *columns)
 
 
 def standard_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:

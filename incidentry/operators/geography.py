@@ -11,6 +11,7 @@ from incidentry.functions.grades import map_severity, map_severity_rank
 from incidentry.functions.places import jitter, looks_like_address, looks_like_street, steady_uniform, suburb
 from incidentry.operators.joins import fixed_table, lookup_join, top_values
 from incidentry.operators.ordered import exact_percentiles
+from incidentry.session import settle
 
 
 def centroids(spark) -> DataFrame:
@@ -77,7 +78,8 @@ def hotspots(cells: DataFrame, k: int = 10) -> DataFrame:
 
 
 def map_kpis(points: DataFrame) -> DataFrame:
-    """Incidents shown, critical ones, most frequent suburb, and the centre of the map."""
+    """Incidents shown, critical ones, most frequent suburb, and the centre of the map. The points are placed once."""
+    points = settle(points.select("severity", "suburb", "latitude", "longitude"))
     figures = points.agg(
         F.count(F.lit(1)).alias("incidents_shown"), count_if(F.col("severity") == "Critical").alias("critical_incidents")
     )

@@ -7,15 +7,19 @@ coarse one, so that a coarse bucket with very many rows is split again and no le
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions.clock import MICROS_PER_HOUR, micros
-from incidentry.functions.common import as_column, beside
+from incidentry.functions.common import as_column
+from incidentry.session import settle
 
 BUCKETS = 65_536
+SKETCH_MARGIN, FEW_ROWS = 1e-4, 10_000
 NULL_TIME_HOUR = 1 << 40  # later than any hour number
 TIE_BLOCK_BITS = 20
 
@@ -97,35 +101,102 @@ def share_buckets(portion: Column) -> list[Column]:
     return [F.floor(place).cast("bigint"), F.floor((place - F.floor(place)) * F.lit(float(BUCKETS))).cast("bigint")]
 
 
+@dataclass
+class _Rank:
+    """The value with ``rank`` others before it in ``column``, known to lie from low to high."""
+
+    column: str
+    rank: int
+    low: float = float("-inf")
+    high: float = float("inf")
+    below: int = 0
+    inside: int = 0
+    value: float | None = None
+
+
+def _counted(values: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> list[tuple[int, int]]:
+    """Rows below and inside each range (column, low, high)."""
+    if not ranges:
+        return []
+    sums = []
+    for i, (column, low, high) in enumerate(ranges):
+        v = F.col(column)
+        sums += [F.count_if(v < low).alias(f"b{i}"), F.count_if((v >= low) & (v <= high)).alias(f"n{i}")]
+    row = values.agg(*sums).first()
+    return [(row[f"b{i}"], row[f"n{i}"]) for i in range(len(ranges))]
+
+
+def _brackets(values: DataFrame, ranks: Sequence[_Rank]) -> list[tuple[float, float]]:
+    """A narrow range around each rank, by mergeable sketches over what is left of its range."""
+    wanted = []
+    for i, r in enumerate(ranks):
+        v = F.col(r.column)
+        share = (r.rank - r.below) / max(1, r.inside - 1)
+        inside = F.when((v >= r.low) & (v <= r.high), v)
+        ends = [max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)]
+        wanted.append(F.percentile_approx(inside, ends, int(2 / SKETCH_MARGIN)).alias(f"p{i}"))
+    row = values.agg(*wanted).first()
+    return [(float(row[f"p{i}"][0]), float(row[f"p{i}"][1])) for i in range(len(ranks))]
+
+
+def _found(values: DataFrame, ranks: Sequence[_Rank]) -> None:
+    """Narrow all ranges until a few rows are left in each, then read these."""
+    for r, (below, inside) in zip(ranks, _counted(values, [(r.column, r.low, r.high) for r in ranks])):
+        r.below, r.inside = below, inside
+    while open_ranks := [r for r in ranks if r.inside > FEW_ROWS and r.low < r.high]:
+        brackets = _brackets(values, open_ranks)
+        for r, (low, high), (below, inside) in zip(open_ranks, brackets, _counted(values, [(r.column, *b) for r, b in zip(open_ranks, brackets)])):
+            v = F.col(r.column)
+            if (low, high) == (r.low, r.high):  # the ends are there too often for a sketch to tell them apart
+                ties, following = values.agg(F.count_if(v == low), F.min(F.when(v > low, v))).first()
+                if r.rank < r.below + ties:
+                    r.high = low
+                else:
+                    r.low, r.below, r.inside = following, r.below + ties, r.inside - ties
+            elif r.rank < below:
+                r.high = low
+                r.inside = _counted(values, [(r.column, r.low, r.high)])[0][1]
+            elif r.rank >= below + inside:
+                r.low = high
+                r.below, r.inside = _counted(values, [(r.column, r.low, r.high)])[0]
+            else:
+                r.low, r.high, r.below, r.inside = low, high, below, inside
+    for r in ranks:
+        if r.low == r.high:
+            r.value = r.low
+    few = [(i, r) for i, r in enumerate(ranks) if r.value is None]
+    picked = [F.when((F.col(r.column) >= r.low) & (F.col(r.column) <= r.high), F.struct(F.lit(i).alias("i"), F.col(r.column).alias("v"))) for i, r in few]
+    if picked:
+        rows = values.select(F.explode(F.array_compact(F.array(*picked))).alias("c")).select("c.i", "c.v").collect()  # FEW_ROWS a rank
+        for i, r in few:
+            r.value = sorted(row["v"] for row in rows if row["i"] == i)[r.rank - r.below]
+
+
 def exact_percentiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """One row with linearly interpolated percentiles of whole columns: output name -> (column, share).
 
-    All columns are counted in one pass over the rows.
+    Nothing is sorted or shuffled by value: sketches narrow a range around each rank, exact counts confirm it, and the last FEW_ROWS rows
+    are read. One row far from the others changes nothing. Null and NaN are left out; a column without values gives null.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
-    cells = [F.struct(F.lit(i).alias("_column"), F.col(name).cast("double").alias("_value")) for i, name in enumerate(columns)]
-    counts = (
-        df.select(F.inline(F.array(*cells)))
-        .where("_value is not null")
-        .groupBy("_column", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ends = counts.groupBy("_column").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    portion = F.when(width > 0, (F.col("_value") - F.col("_low")) / width).otherwise(0.0)
-    ranked = running_sums(
-        counts.join(F.broadcast(ends), "_column"),  # one row per column asked for
-        order=[F.col("_value")],
-        buckets=share_buckets(portion),
-        sums={"_before": F.col("_n")},
-        by=["_column"],
-        totals={"_before": "_total"},
-    )
-    outputs = []
-    for name, (column, share) in wanted.items():
-        mine = F.col("_column") == columns.index(column)
-        place = F.lit(float(share)) * (F.col("_total") - 1)
-        low = F.max(F.when(mine & (F.col("_before") <= F.floor(place)), F.col("_value")))
-        high = F.max(F.when(mine & (F.col("_before") <= F.ceil(place)), F.col("_value")))
-        outputs.append((low + (high - low) * F.max(F.when(mine, place - F.floor(place)))).alias(name))
-    return ranked.agg(*outputs)
+    names = {column: f"v{i}" for i, column in enumerate(columns)}
+    values = settle(df.select(*[F.nanvl(F.col(column).cast("double"), F.lit(None)).alias(names[column]) for column in columns]))
+    sizes = values.agg(*[F.count(name).alias(name) for name in names.values()]).first()
+    ranks: dict[tuple[str, int], _Rank] = {}
+    places = {}
+    for output, (column, share) in wanted.items():
+        name = names[column]
+        place = share * (sizes[name] - 1)
+        places[output] = (name, place)
+        for rank in {math.floor(place), math.ceil(place)} if sizes[name] else ():
+            ranks.setdefault((name, rank), _Rank(name, rank))
+    if ranks:
+        _found(values, list(ranks.values()))
+    row = []
+    for name, place in places.values():
+        if not sizes[name]:
+            row.append(None)
+            continue
+        low, high = ranks[name, math.floor(place)].value, ranks[name, math.ceil(place)].value
+        row.append(low + (high - low) * (place - math.floor(place)))
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{output}` double" for output in wanted))

@@ -60,6 +60,38 @@ def test_percentiles_match_numpy(spark, values):
     assert np.allclose([got[n] for n in "abcd"], np.percentile(values, [10, 50, 80, 100]))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_percentiles_of_large_columns(spark, monkeypatch, seed):
+    """Outliers, many ties and few distinct values; ranges are narrowed down to five rows."""
+    monkeypatch.setattr(ordered, "FEW_ROWS", 5)
+    monkeypatch.setattr(ordered, "SKETCH_MARGIN", [1e-4, 0.02, 0.2][seed])
+    dice = np.random.default_rng(seed)
+    wide = np.append(dice.normal(size=2999), 1e15)
+    ties = dice.choice([1.0, 2.0, 7.0], size=3000, p=[0.495, 0.5, 0.005])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(wide, ties)], "wide double, ties double")
+    shares = [0.0, 0.2, 0.4949, 0.495, 0.5, 0.9951, 1.0]
+    wanted = {f"{name}{i}": (name, share) for name in ("wide", "ties") for i, share in enumerate(shares)}
+    got = ordered.exact_percentiles(df, wanted).first()
+    for name, values in (("wide", wide), ("ties", ties)):
+        assert np.allclose([got[f"{name}{i}"] for i in range(len(shares))], np.quantile(values, shares))
+
+
+def test_nothing_is_left_behind(spark):
+    from catalog.queries import QUERIES
+    from incidentry import session
+
+    session.clear_scratch(spark)
+    for name in ("f15_high_risk_pairs", "cl1_embedding_clusters", "ml8_cross_validation", "w7_cooldown"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    made = list(session._MADE)
+    session.clear_scratch(spark)
+    assert made and not session._MADE
+    import os
+
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in made)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def folded(alerts, cooldown):
     last, passed = {}, set()
     for i, key, at in sorted(alerts, key=lambda r: (r[2], r[0])):
