@@ -35,12 +35,40 @@ def others_relabelled(df: DataFrame, top: DataFrame, value: str, target: str, ot
     return df.join(F.broadcast(names), value, "left").withColumn(target, F.coalesce(target, F.lit(other)))
 
 
-def is_small(table: DataFrame) -> bool:
-    """Counted, not estimated: rows and text bytes within the broadcast limits."""
-    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
-    size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in texts), F.lit(0)) + 16 * len(table.columns)
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the size of a value: texts and binaries by length, arrays, maps and structs by what they hold, others 16 bytes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            each = F.transform(value, lambda x: F.coalesce(value_bytes(x, kind.elementType), F.lit(16)).cast("bigint"))
+            size = F.aggregate(each, F.lit(16).cast("bigint"), lambda total, x: total + x)
+        else:
+            size = F.size(value) * 8 + 16
+    elif isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        size = value_bytes(F.map_keys(value), keys) + value_bytes(F.map_values(value), values)
+    elif isinstance(kind, T.StructType):
+        parts = [value_bytes(value.getField(field.name), field.dataType) for field in kind.fields]
+        size = sum((F.coalesce(part, F.lit(16)) for part in parts), F.lit(16))
+    elif isinstance(kind, T.UserDefinedType):
+        size = F.octet_length(value.cast("string"))
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("bigint"), F.lit(16).cast("bigint"))
+
+
+def counted_size(table: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their values, counted and not estimated."""
+    size = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(0).cast("bigint"))
     row = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES
+    return row["n"], row["bytes"]
+
+
+def is_small(table: DataFrame) -> bool:
+    """Within the broadcast limits."""
+    rows, size = counted_size(table)
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: str, spread: str | Column, how: str = "left") -> DataFrame:

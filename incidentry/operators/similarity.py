@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidentry.operators.joins import is_small, lookup_join
+from incidentry.operators.joins import counted_size, lookup_join
 from incidentry.session import settle
 
 DIGITS = 6  # similarities are compared and returned at this precision, so ties do not depend on summation order
 BLOCK_ROWS = 4096
+PASS_BYTES = 32 << 20
 
 
 def unit_vectors(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
@@ -39,14 +41,29 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def similar(corpus: DataFrame, queries: DataFrame, k: int = 5, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The k corpus rows most similar to each query row, itself excluded by id; both are (id, vector).
 
-    The query batch goes to every task, so its size is counted first. Each task keeps k rows per query, and only those
-    are shuffled.
+    The query batch is counted and cut into passes of at most about ``pass_bytes``. In each pass its part goes to every task as one matrix,
+    and each task keeps k rows per query; only those are shuffled. A pass is stored before the next one starts.
     """
-    if not is_small(queries):
-        raise ValueError("query batch too large to send to every task: split it, or use similar_to_all")
+    _, size = counted_size(queries)
+    passes = max(1, -(-size // pass_bytes))
+    if passes == 1:
+        return _nearest(_searched(corpus, queries, k), k)
+    queries = settle(queries)
+    part = F.pmod(F.xxhash64("id"), F.lit(passes))
+    found = [settle(_nearest(_searched(corpus, queries.where(part == number), k), k)) for number in range(passes)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(kept: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _searched(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows per query and task."""
     batch = queries.toPandas()
     query_ids = batch["id"].to_numpy()
     query_matrix = np.array(batch["vector"].tolist(), dtype=float).reshape(len(batch), -1)
@@ -67,9 +84,7 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if len(ids):
                 yield pd.DataFrame({"query_id": query, "id": ids, "similarity": scores})
 
-    kept = corpus.mapInPandas(search, "query_id bigint, id bigint, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return corpus.mapInPandas(search, "query_id bigint, id bigint, similarity double")
 
 
 def _block_search(k: int):

@@ -190,3 +190,24 @@ def test_several_geocoder_answers_do_not_multiply_rows(spark):
     answers = rows(spark, "location string, lat double, lon double", ("a", 2.0, 2.0), ("a", 1.0, 5.0))
     got = {r["incident_id"]: r["lat"] for r in geography.with_geocoded(df, answers).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: None}
+
+
+def test_sizes_count_what_values_hold(spark):
+    from incidentry.operators import joins
+
+    wide = spark.range(2000).select("id", F.array_repeat(F.lit(1.5), 1536).alias("vector"))
+    rows, size = joins.counted_size(wide)
+    assert rows == 2000 and size > 2000 * 1536 * 8
+    nested = spark.sql("select map('a', array(named_struct('t', repeat('x', 1000)))) m, cast(null as array<int>) n, binary('abc') b")
+    assert 1000 < joins.counted_size(nested)[1] < 1300
+    many = spark.range(4000).select("id", F.array_repeat(F.lit(1.5), 1536).alias("vector"))
+    assert joins.is_small(wide) and not joins.is_small(many)
+
+
+def test_similar_in_passes_equals_one_pass(spark):
+    from incidentry.operators import similarity
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(120)
+    vectors = similarity.unit_vectors(table, "vec_id", ["embedding"])
+    whole = sorted(map(tuple, similarity.similar(vectors, vectors, 3).collect()))
+    assert sorted(map(tuple, similarity.similar(vectors, vectors, 3, pass_bytes=20_000).collect())) == whole and len(whole) == 360
