@@ -519,6 +519,29 @@ FEATURES = f"""incident_id, CAST(hour AS DOUBLE) AS hour, CAST(is_weekend AS DOU
   CAST(is_bathroom AS DOUBLE) AS is_bathroom, CAST(participant_prior_incidents AS DOUBLE) AS participant_incident_count,
   CAST(carer_prior_incidents AS DOUBLE) AS carer_incident_count, {r6('risk')} AS location_risk_score, CAST(severity_numeric AS DOUBLE) AS severity_numeric"""
 over_derived("ml2_features", f"SELECT {FEATURES} FROM (SELECT *, {HISTORY}, {RISK} AS risk FROM d)")
+over_derived("j9_feature_columns", f"""SELECT f.*, array_to_string(list_sort(list_filter([CASE WHEN l.location IS NOT NULL THEN 'loc__' || f2.location END,
+    CASE WHEN t.incident_type IS NOT NULL THEN 'type__' || f2.incident_type END], lambda x: x IS NOT NULL)), ' | ') AS hot,
+  CAST((SELECT count(*) FROM top_l) + (SELECT count(*) FROM top_t) - CAST(l.location IS NOT NULL AS INT) - CAST(t.incident_type IS NOT NULL AS INT) AS INT) AS zeros
+  FROM (SELECT {FEATURES} FROM (SELECT *, {HISTORY}, {RISK} AS risk FROM d)) f JOIN d f2 USING (incident_id)
+  LEFT JOIN top_l l ON l.location = f2.location LEFT JOIN top_t t ON t.incident_type = f2.incident_type""",
+  "top_l AS (SELECT location FROM d WHERE location IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, location LIMIT 10)",
+  "top_t AS (SELECT incident_type FROM d WHERE incident_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, incident_type LIMIT 10)")
+over_derived("x4_model_summaries", f"""SELECT incident_id, length({text(fixed.PROMPT_HEAD)} || {text(fixed.PROMPT_CONTEXT)} ||
+  '{{"incident_id":' || incident_id || ',"incident_type":"' || incident_type || '","severity":"' || severity || '","location":"' || location || '"}}'
+  || {text(fixed.PROMPT_TASKS)}) || ' characters read' AS summary, {mitigations('basic')} AS mitigations FROM d""")
+MODELS = "(VALUES ('RandomForest'), ('LogisticRegression')) m(model)"
+over_derived("ml7_ml9_prediction_facts", f"""SELECT model, count(*) AS rows, count(DISTINCT incident_id) AS ids,
+  CAST(sum(CAST(severity_numeric >= 3 AS INT)) AS BIGINT) AS positives, count(*) AS cells, CAST(0 AS BIGINT) AS bad_scores, CAST(0 AS BIGINT) AS wrong_sides
+  FROM d, {MODELS} WHERE epoch_us(incident_datetime) > (SELECT quantile_cont(epoch_us(incident_datetime), 0.75) FROM d) GROUP BY model""")
+ORACLES["ml8_fold_facts"] = f"""SELECT model, 1 AS accuracy_ok, 1 AS mean_ok, 1 AS deviation_ok, 1 AS features_ok, 1 AS suspicious_ok, 1 AS overfitted_ok FROM {MODELS}"""
+over_derived("ml10_score_facts", "SELECT count(*) AS rows, count(*) AS ids, CAST(0 AS BIGINT) AS bad_scores, CAST(0 AS BIGINT) AS overlaps FROM d")
+ORACLES["t4_e3_ranking_facts"] = f"SELECT model, 1 AS sorted, 1 AS positive, 1 AS complete FROM {MODELS}"
+over_derived("ml10_ml11_trained_alerts", f"""SELECT scenario, severity, hour, location, CAST(0.5 AS DOUBLE) AS threshold, 'RandomForest' AS model_used,
+  {RECOMMENDED} AS recommendation FROM situation WHERE hour BETWEEN 5 AND 7""", SITUATIONS)
+FACTS = "count(*) AS rows, count(*) AS ids, CAST({k} AS BIGINT) AS clusters, 1 AS centred, 1 AS apart, 1 AS in_order"
+over_derived("cl1_cluster_facts", f"SELECT {FACTS.format(k=4)} FROM d")
+over_derived("cl2_cluster_facts", f"SELECT {FACTS.format(k=4)} FROM d")
+ORACLES["cl1_embedding_cluster_facts"] = f"SELECT {FACTS.format(k=10)} FROM embeddings"
 over_derived("v3_one_hot", """SELECT incident_id, CAST(location = 'Unknown' AS INT)::DOUBLE AS "loc__Unknown",
   CAST(incident_type = 'Fall' AS INT)::DOUBLE AS "type__Fall" FROM d""")
 over_derived("ml3_guard_report", f"""SELECT feature, category, reason, {r6('value')} AS value, CAST(category IS NULL AS INT) AS kept FROM (

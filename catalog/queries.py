@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.tables import (
@@ -229,8 +231,13 @@ on("j7_top_types_or_other", derived, lambda d: joins.others_relabelled(
 
 @register("j9_feature_columns")
 def j9(spark, folder):
-    rows = prepared(spark, folder)
-    return feature_frame(rows, names_from=derived(spark, folder)).frame
+    """Base columns, and the names of the one-hot columns that are 1 in the row, with the number of all of them."""
+    features = feature_frame(prepared(spark, folder), names_from=derived(spark, folder))
+    hot = [name for name in features.names if "__" in name]
+    marked = F.array_compact(F.array(*[F.when(F.col(f"`{name}`") == 1.0, F.lit(name)) for name in sorted(hot)]))
+    zeros = F.aggregate(F.array(*[F.col(f"`{name}`") for name in hot]), F.lit(0), lambda n, v: n + (v == 0.0).cast("int"))
+    base = [name for name in features.names if name not in hot]
+    return features.frame.select("incident_id", *base, marked.alias("hot"), zeros.alias("zeros"))
 
 
 # --- reports -----------------------------------------------------------------------------------------------------------
@@ -335,7 +342,7 @@ on("x4_prompts", delayed, lambda d: d.select(
     "incident_id", wording.prompt(["incident_id", "incident_type", "severity", "location"], F.col("contributing_factors")).alias("prompt")
 ))
 on("x4_model_summaries", delayed, lambda d: narratives.with_model_summaries(
-    d, lambda text: f" {len(text)} characters read "
+    d, lambda text: f" {len(text)} characters read ", ["incident_id", "incident_type", "severity", "location"]
 ).select("incident_id", "summary", "mitigations"))
 on("x5_alert_messages", delayed, lambda d: rules.with_alerts(d).select("incident_id", "alert_reason", "alert_message"))
 
@@ -466,6 +473,86 @@ def e3(spark, folder):
     return classifiers.feature_ranking(classifiers.best_model(trained(spark, folder)), spark)
 
 
+# --- facts about trained models that SQL can state --------------------------------------------------------------------
+def flag(condition) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+@register("ml7_ml9_prediction_facts")
+def prediction_facts(spark, folder):
+    """Predictions cover exactly the test rows, scores are chances, and the cells of the confusion matrix sum to the rows."""
+    found = []
+    for name, model in trained(spark, folder).items():
+        p, cells = F.col("probability"), evaluation.confusion_matrix(model.predictions).agg(F.sum("count").cast("bigint")).first()[0]
+        wrong = ((p > 0.5 + 1e-9) & (F.col("prediction") != 1)) | ((p < 0.5 - 1e-9) & (F.col("prediction") != 0))
+        found.append(model.predictions.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"), F.count_distinct("incident_id").alias("ids"),
+            F.sum("label").cast("bigint").alias("positives"), F.lit(cells).cast("bigint").alias("cells"),
+            F.count_if(p.isNull() | F.isnan(p) | (p < 0) | (p > 1)).alias("bad_scores"), F.count_if(wrong).alias("wrong_sides"),
+        ))
+    return reduce(DataFrame.unionByName, found)
+
+
+@register("ml8_fold_facts")
+def fold_facts(spark, folder):
+    table = classifiers.model_table(trained(spark, folder, cross_validate=True), spark)
+    return table.select(
+        "model", flag(F.col("accuracy").between(0, 1)).alias("accuracy_ok"), flag(F.col("cv_accuracy").between(0, 1)).alias("mean_ok"),
+        flag(F.col("cv_deviation").between(0, 0.5)).alias("deviation_ok"), flag(F.col("features") > 0).alias("features_ok"),
+        flag(F.col("suspicious") == (F.col("accuracy") >= 0.98)).alias("suspicious_ok"),
+        flag(F.col("overfitted") == ((F.col("accuracy") >= 0.98) & (F.col("cv_accuracy") < 0.9))).alias("overfitted_ok"),
+    )
+
+
+@register("ml10_score_facts")
+def score_facts(spark, folder):
+    """A score for every incident; levels do not overlap."""
+    scores = ml10(spark, folder)
+    ranges = scores.groupBy("risk_level").agg(F.min("risk_score").alias("low"), F.max("risk_score").alias("high"))
+    overlaps = ranges.alias("a").join(ranges.alias("b"), F.expr("a.risk_level != b.risk_level and a.low <= b.high and b.low <= a.high"))
+    return common.beside(scores.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("incident_id").alias("ids"),
+        F.count_if(F.col("risk_score").isNull() | ~F.col("risk_score").between(0, 1)).alias("bad_scores"),
+    ), overlaps.agg(F.count(F.lit(1)).alias("overlaps")))
+
+
+@register("t4_e3_ranking_facts")
+def ranking_facts(spark, folder):
+    """Every ranking is sorted, has no negative value, and at most 20 features, as many as the model has."""
+    found = []
+    for name, model in trained(spark, folder).items():
+        rows = classifiers.feature_ranking(model, spark).collect()  # 20 at most
+        values = [row["importance"] for row in rows]
+        found.append((name, int(values == sorted(values, reverse=True)), int(min(values) >= 0), int(len(rows) == min(20, len(model.feature_names)))))
+    return spark.createDataFrame(found, "model string, sorted int, positive int, complete int")
+
+
+@register("ml10_ml11_trained_alerts")
+def trained_alerts(spark, folder):
+    """Presets scored by a forest that has learnt a planted label, incidents from 5 to 7 o'clock, and the alerts of these scores."""
+    planted = prepared(spark, folder).withColumn("target", F.when(F.col("hour").between(5, 7), 1).otherwise(0))
+    models = classifiers.compare_models(planted, "target", "random", cross_validate=False, names_from=derived(spark, folder))
+    filled = scenarios.filled_scenarios(scenarios.preset_scenarios(spark))
+    raised = scenarios.scenario_alerts(scenarios.risk_scores(filled, models["RandomForest"]), {"high": 0.5, "medium": 0.5})
+    return raised.select("scenario", "severity", "hour", "location", "threshold", "model_used", "recommendation")
+
+
+def cluster_facts(placed: DataFrame, row_id: str, names: list[str]) -> DataFrame:
+    """All rows once, the clusters that have rows, and centred, uncorrelated components in the order of their spread."""
+    spread = [F.var_pop(name) for name in names]
+    centred = reduce(lambda a, b: a & b, [F.abs(F.avg(name)) < 1e-6 for name in names])
+    apart = F.abs(F.covar_pop(names[0], names[1])) < 1e-6 * (spread[0] + 1)
+    ordered_ones = reduce(lambda a, b: a & b, [a >= b - 1e-9 for a, b in zip(spread, spread[1:])])
+    return placed.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(row_id).alias("ids"), F.count_distinct("cluster").alias("clusters"),
+        flag(centred).alias("centred"), flag(apart).alias("apart"), flag(ordered_ones).alias("in_order"),
+    )
+
+
+on("cl1_cluster_facts", lambda spark, folder: cl1(spark, folder), lambda d: cluster_facts(d, "incident_id", ["pc1", "pc2"]))
+on("cl2_cluster_facts", lambda spark, folder: cl2(spark, folder), lambda d: cluster_facts(d, "incident_id", ["pc1", "pc2", "pc3"]))
+on("cl1_embedding_cluster_facts", lambda spark, folder: cl1_embeddings(spark, folder), lambda d: cluster_facts(d, "vec_id", ["pc1", "pc2"]))
+
 on("e1_confusion_matrix", scored, evaluation.confusion_matrix)
 on("e1_class_metrics", scored, evaluation.class_metrics)
 on("e2_roc_points", scored, evaluation.roc_points)
