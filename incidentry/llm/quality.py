@@ -148,16 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     known = labels.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(most)
 
-    @F.arrow_udf("struct<places:array<int>, weights:array<float>>")
+    @F.arrow_udf("struct<places:binary, weights:binary>")
     def found(values: pa.Array) -> pa.Array:
         rows = [terms(data or b"") for data in bytes_of(values)]
-        columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))]
-        return pa.StructArray.from_arrays(columns, ["places", "weights"])
+        columns = [pa.array([r[0].astype("<i4").tobytes() for r in rows]), pa.array([r[1].astype("<f4").tobytes() for r in rows])]
+        return pa.StructArray.from_arrays([c.cast(pa.binary()) for c in columns], ["places", "weights"])
 
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "key").select(found("text").alias("terms"), "label", "key").limit(most).collect()
-    rows.sort(key=lambda row: (row["key"], row["label"], row["terms"]["places"]))
-    vectors = [(np.array(row["terms"]["places"], np.int64), np.array(row["terms"]["weights"], np.float32)) for row in rows]
+    rows.sort(key=lambda row: (row["key"], row["label"], bytes(row["terms"]["places"])))
+    vectors = [(np.frombuffer(row["terms"]["places"], "<i4"), np.frombuffer(row["terms"]["weights"], "<f4")) for row in rows]
     return fit_terms(vectors, [row["label"] for row in rows])
 
 
