@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from incidentry.llm.common import fresh, store, text_bytes, without
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-PIECE_BYTES, MOST_PIECES, MOST_PROBES = 256 << 20, 16_384, 16_384
+PIECE_BYTES, MOST_PIECES, MOST_PROBES = 64 << 20, 16_384, 16_384
 
 Key = tuple[int, int]
 
@@ -165,5 +165,5 @@ def shard(
     piece, start = fresh(rows, "_piece", "_start")
     rows = rows.withColumns({piece: F.col(f"{place}.piece"), "shard": F.col(f"{place}.shard"), start: F.col(f"{place}.start")}).drop(place)
     order = Window.partitionBy(piece).orderBy(h, t)
-    rows = rows.repartition(shards * pieces, piece).withColumn("slot", F.col(start) + F.row_number().over(order) - 1)
+    rows = rows.repartitionById(shards * pieces, F.col(piece)).withColumn("slot", F.col(start) + F.row_number().over(order) - 1)
     return rows.drop(h, t, piece, start)
