@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SUBSTRINGS = """
@@ -35,6 +37,66 @@ SELECT doc_id,
 FROM texts WINDOW same AS (PARTITION BY normalised)
 """
 
+# How pages name their canonical url or redirect, and the rules, longest first.
+LINK_TAG, LINK_VALUE = r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>""", r"""(?is)\bhref\s*=\s*["'']?([^"''\s>]+)"""
+META_TAG, META_VALUE = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>""", r"""(?is)\burl\s*=\s*["'']?([^"''\s>]+)"""
+URL_RULES = [
+    ("www.example.com", "/en/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+    ("com", "/", "allow"),
+]
+
+
+def _rule(url: str, verdict: bool) -> str:
+    arms = "".join(
+        f" WHEN (host({url}) = '{host}' OR ends_with(host({url}), '.{host}')) AND starts_with(path({url}), '{path}') THEN '{said if verdict else host + path}'"
+        for host, path, said in URL_RULES
+    )
+    return f"CASE{arms} END"
+
+
+def _inlined(sql: str) -> str:
+    """host(x), path(x) and node(x) written out."""
+    small = f"translate(%s, '{CAPITALS}', '{SMALL}')"
+    known = {
+        "host": small % "coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), '')",
+        "path": "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')",
+        "node": "CASE WHEN contains({0}, '://') THEN "
+        + small % "regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^(.*?://[^/?]*)', 1)"
+        + " || regexp_replace(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?]*', '') END",
+    }
+    for name, value in known.items():
+        sql = re.sub(rf"\b{name}\((\w+)\)", lambda found: value.replace("{0}", found[1]), sql)
+    return sql
+
+
+URLS = _inlined(f"""
+WITH RECURSIVE named AS (
+    SELECT url, unnest([regexp_extract(regexp_extract(html, '{LINK_TAG}'), '{LINK_VALUE}', 1),
+                        regexp_extract(regexp_extract(html, '{META_TAG}'), '{META_VALUE}', 1)]) AS raw
+    FROM pages WHERE contains(url, '://')
+),
+links AS (SELECT url, replace(raw, '&amp;', '&') AS link FROM named WHERE raw <> ''),
+ends AS (
+    SELECT url, CASE WHEN contains(link, '://') THEN link
+                     WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+                     WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link END AS target
+    FROM links
+),
+ways AS (SELECT node(url) AS a, node(target) AS b FROM ends WHERE contains(target, '://')),
+edges AS (SELECT a, b FROM ways UNION SELECT b, a FROM ways),
+reach AS (SELECT a AS start, b AS reached FROM edges UNION SELECT start, b FROM reach JOIN edges ON reached = a),
+said AS (
+    SELECT start, bool_or({_rule('reached', True)} = 'allow') AS allowed, bool_or({_rule('reached', True)} = 'block') AS blocked
+    FROM reach GROUP BY start
+)
+SELECT page_id, host(url) AS host, path(url) AS path, {_rule('url', False)} AS rule,
+       coalesce({_rule('url', True)}, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN said ON start = node(url)
+""")
+
 # 20 bits of the digest, five hexadecimal digits, make four of the 32 characters
 WARC = """
 WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -52,6 +114,7 @@ FROM firsts
 
 ORACLES = {
     "op1_substrings": SUBSTRINGS,
+    "op4_url_verdicts": URLS,
     "op5_exact_groups": EXACT,
     "op8_warc": WARC,
 }

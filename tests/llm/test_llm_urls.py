@@ -73,5 +73,25 @@ def test_redirects_against_brute_force(spark):
         assert r["verdict"] == expected
 
 
+def test_sql_gives_the_same_verdicts(spark):
+    import duckdb
+    from incidentry.llm.oracles import URLS
+
+    pick = random.Random(11)
+    names = [f"http://H{i % 40}.{pick.choice(['org', 'org', 'net', 'net', 'example.com'])}/{pick.choice(['es', 'es', 'de', 'en'])}/{i}?q=1#f" for i in range(150)]
+    targets = [n.replace("#f", "") for n in names] + ["/de/1", "//x.net/fr/", "http://gone.net/es/?a=1&amp;b=2", "relative", ""]
+    tags = ["<LINK rel=\"canonical\" href='{}'>", "<meta http-equiv=refresh content='3; URL={}'>"] + ["<p>{}</p>"] * 4
+    rows = [(i, n, pick.choice(tags).format(pick.choice(targets)), "", "") for i, n in enumerate(names)]
+    rows += [(1000 + i, case[0], None, "", "") for i, case in enumerate(CASES)]
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    found = urls.judge(pages(spark, rows), RULES).select(*columns).collect()
+    with duckdb.connect() as duck:
+        duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", [row[:3] for row in rows])
+        expected = duck.execute(f"SELECT {', '.join(columns)} FROM ({URLS})").fetchall()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    assert {r["verdict"] for r in found if r["rule"] is None} == {"allow", "block"}
+
+
 def test_empty_table(spark):
     assert urls.judge(pages(spark, []), RULES).count() == 0
