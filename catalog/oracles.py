@@ -88,8 +88,9 @@ over_incidents("s1_read_csv", f"""SELECT incident_id, {stamp('incident_date')} A
   dayname(incident_date) AS incident_weekday FROM incidents""")
 over_incidents("s2_drop_undated", f"SELECT incident_id, {stamp('notification_date')} AS incident_date FROM incidents WHERE notification_date IS NOT NULL")
 over_incidents("s3_weekday", "SELECT incident_id, dayname(incident_date) AS incident_weekday FROM incidents")
-over_incidents("s4_surrogate_ids", f"""SELECT row_number() OVER (ORDER BY incident_date, incident_time, participant_id, carer_id, incident_type)
-  AS incident_id, {stamp('incident_date')} AS incident_date, incident_time, participant_id, carer_id, incident_type FROM incidents""")
+over_incidents("s4_surrogate_ids", f"""SELECT row_number() OVER (ORDER BY incident_date,
+  md5(coalesce(incident_time, '') || '|' || coalesce(participant_id, '') || '|' || coalesce(carer_id, '') || '|' || coalesce(incident_type, '')),
+  incident_time, participant_id, carer_id, incident_type) AS incident_id, {stamp('incident_date')} AS incident_date, incident_time, participant_id, carer_id, incident_type FROM incidents""")
 over_derived("s5_prepared_by_month", "SELECT month_label AS incident_month, count(*) AS count FROM d GROUP BY 1")
 
 # --- normalising -------------------------------------------------------------------------------------------------------

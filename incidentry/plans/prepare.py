@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry import fixed_values as fixed
@@ -20,20 +20,24 @@ from incidentry.operators.rules import with_investigation_rules
 from incidentry.sources.incidents import load
 
 
+def row_mark(names: list[str]) -> Column:
+    """MD5 of the columns as texts: an order for rows of one date that no single column, constant or null, can spoil."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in names]))
+
+
 def with_incident_ids(df: DataFrame) -> DataFrame:
-    """Ids 1..n in date order when the table has none; ties by the other columns.
+    """Ids 1..n in date order when the table has none; ties by the mark of the other columns, then by these.
 
-    No single task sorts the table, and the ids do not depend on how the input was split. Rows alike in every column may
+    No single task sorts the table or one day of it, and the ids do not depend on how the input was split. Rows alike in every column may
     trade ids.
     """
     if "incident_id" in df.columns:
         return df
     others = [name for name in df.columns if name != "incident_date"]
-    first = F.coalesce(F.col(others[0]).cast("string"), F.lit(""))
     counted = running_sums(
-        df,
-        order=[F.col("incident_date"), first] + [F.col(name).asc_nulls_last() for name in others],
-        buckets=[time_buckets("incident_date", F.lit(0))[0], F.struct("incident_date", first.alias("first"))],
+        df.withColumn("_mark", row_mark(others)),
+        order=[F.col("incident_date"), F.col("_mark")] + [F.col(name).asc_nulls_last() for name in others],
+        buckets=[time_buckets("incident_date", F.lit(0))[0], F.struct("incident_date", F.substring("_mark", 1, 4).alias("mark"))],
         sums={"_before": F.lit(1).cast("bigint")},
     )
     return counted.select((F.col("_before") + 1).alias("incident_id"), *df.columns)
