@@ -375,6 +375,9 @@ over_derived("a27_map_kpis", f"""SELECT count(*) AS incidents_shown, count(*) FI
   {r6('median(point_lat)')} AS center_lat, {r6('median(point_lon)')} AS center_lon
   FROM points WHERE point_lat IS NOT NULL""", CENTROIDS, POINTS)
 over_derived("g3_coordinates", f"SELECT incident_id, {r6('point_lat')} AS latitude, {r6('point_lon')} AS longitude FROM points", CENTROIDS, POINTS)
+over_derived("g3_location_names", f"""SELECT incident_id, {r6("coalesce(point_lat, CASE WHEN NOT given THEN CASE incident_id % 3 WHEN 0 THEN -33.8688 WHEN 1 THEN -33.7510 END END)")} AS latitude,
+  {r6("coalesce(point_lon, CASE WHEN NOT given THEN CASE incident_id % 3 WHEN 0 THEN 151.2093 WHEN 1 THEN 150.6920 END END)")} AS longitude FROM points""",
+  "moved AS (SELECT * REPLACE (CASE WHEN incident_id % 2 = 0 THEN address END AS address) FROM d)", CENTROIDS, POINTS.replace("AS given FROM d)", "AS given FROM moved)"))
 CELLS = """cells AS (SELECT CAST(floor(point_lat / 0.01) AS BIGINT) AS cell_lat, CAST(floor(point_lon / 0.01) AS BIGINT) AS cell_lon,
   CAST(sum(CASE severity WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High' THEN 2 ELSE 3 END) AS BIGINT) AS weight, count(*) AS incidents
   FROM points WHERE point_lat IS NOT NULL AND point_lon IS NOT NULL GROUP BY 1, 2)"""

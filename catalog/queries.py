@@ -384,6 +384,10 @@ on("g2_jitter", raw, lambda d: d.select(
     places.jitter("address", F.lit(-33.8915))[1].alias("shift_lon"),
 ))
 on("g3_coordinates", derived, lambda d: geography.with_coordinates(d).select("incident_id", "latitude", "longitude"))
+on("g3_location_names", derived, lambda d: geography.with_coordinates(d.withColumns({
+    "address": F.when(F.col("incident_id") % 2 == 0, F.col("address")),
+    "location": F.when(F.col("incident_id") % 3 == 0, "Near bondi or Sydney").when(F.col("incident_id") % 3 == 1, "PENRITH day centre").otherwise(F.col("location")),
+})).select("incident_id", "latitude", "longitude"))
 on("g4_place_points", derived, lambda d: geography.with_place_points(
     d.withColumn("location", F.when(F.col("incident_id") % 2 == 0, F.col("location")).otherwise(
         F.regexp_replace("address", ", NSW", " NSW")))
