@@ -1,6 +1,7 @@
 """Times the headline work at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
-Each entry is run once to warm up, then three times ($BENCH_RUNS); the median counts. Results are written to the noop sink. The
+Each entry is run once to warm up, then three times ($BENCH_RUNS); the median counts. Training, clusters, all-rows similarity and the stream are
+timed once and left out of the total. Results are written to the noop sink. The
 incident view over the order tables is stored once, as a raw table would be; preparation reads it, and reports read the prepared
 table.
 """
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.tables import events
-from incidentry.operators import carers, correlation, forecast, gate, geography, reports, similarity
+from incidentry.models import classifiers
+from incidentry.operators import carers, clustering, correlation, forecast, gate, geography, reports, similarity
 from incidentry.plans.prepare import prepare
-from incidentry.session import scratch_path
+from incidentry.session import clear_scratch, scratch_path
 from incidentry.sources.incidents import write_prepared
 from incidentry.sources.orders_view import incidents
-from incidentry.streaming.alerts import route
+from incidentry.streaming.alerts import deliver, read_outbox, route, route_stream
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -88,6 +90,27 @@ def work(spark: SparkSession, raw: DataFrame, table: DataFrame) -> dict:
     return jobs
 
 
+def long_work(spark: SparkSession, raw: DataFrame, table: DataFrame) -> dict:
+    """Work that is timed once: training, clusters, all-rows similarity, and the alert stream."""
+    alerts = table.withColumn("notification_delay_days", F.floor(F.col("report_delay_hours") / 24).cast("double"))
+
+    def all_similar() -> None:
+        use(similarity.similar_to_all(similarity.unit_vectors(spark.read.parquet(f"{FOLDER}/embeddings.parquet"), "vec_id", ["embedding"]), 3))
+
+    def stream() -> None:
+        arrivals, outbox, state = (scratch_path(spark, name) for name in ("arrivals", "outbox", "state"))
+        alerts.write.parquet(arrivals)
+        deliver(route_stream(spark.readStream.schema(alerts.schema).parquet(arrivals), ["sms", "email"]), outbox, state).awaitTermination()
+        use(read_outbox(spark, outbox))
+
+    return {
+        "ml6_ml7_train": lambda: classifiers.compare_models(table, cross_validate=False),
+        "cl1_clusters": lambda: use(clustering.clusters(clustering.cluster_features(table), starts=3)),
+        "si2_similar_to_all": all_similar,
+        "st3_stream": stream,
+    }
+
+
 def main() -> None:
     spark = session()
     stored, path = scratch_path(spark, "raw"), scratch_path(spark, "prepared")
@@ -95,6 +118,7 @@ def main() -> None:
     raw = spark.read.parquet(stored)
     started = time.perf_counter()
     write_prepared(prepare(raw), path)
+    once: dict[str, float] = {}
     seconds = {"write_prepared_cold": round(time.perf_counter() - started, 3)}
     table = spark.read.parquet(path)
     for name, job in work(spark, raw, table).items():
@@ -105,8 +129,13 @@ def main() -> None:
             job()
             times.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(times), 3)
+    for name, job in long_work(spark, raw, table).items():
+        started = time.perf_counter()
+        job()
+        once[name] = round(time.perf_counter() - started, 3)
     total = round(sum(value for name, value in seconds.items() if name != "write_prepared_cold"), 3)
-    print(json.dumps({"metric": "total_warm_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": FOLDER.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "total_warm_seconds", "value": total, "unit": "sec", "queries": seconds | once, "sf": FOLDER.rsplit("sf", 1)[-1]}))
+    clear_scratch(spark)
     spark.stop()
 
 
