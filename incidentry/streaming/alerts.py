@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -21,6 +22,7 @@ ALERT = "alert_key string, alert_id bigint, channel string, reason string, messa
 GATED = f"{ALERT}, allowed boolean"
 ROUTED = f"{GATED}, result string"
 ARRIVAL_DELAY = "1 hour"  # how far clocks may be apart
+KEY_GROUPS = 1024
 INCIDENT_KEY = ("incident_id", "alert_reason", "channel")
 
 
@@ -60,29 +62,41 @@ def route(df: DataFrame, channels: Sequence[str], time: str = "incident_datetime
     )
 
 
+def _passing(times: np.ndarray, last: int | None, cooldown: int) -> tuple[list[int], int | None]:
+    """Places in sorted times at which an alert passes, and the time of the last one that did."""
+    passed: list[int] = []
+    place = 0 if last is None else int(np.searchsorted(times, last + cooldown))
+    while place < len(times):
+        passed.append(place)
+        last = int(times[place])
+        place = max(place + 1, int(np.searchsorted(times, last + cooldown)))
+    return passed, last
+
+
 def _gate_state(cooldown_seconds: int, idle_ms: int):
     cooldown = cooldown_seconds * 1_000_000
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # no key of the group has had an alert for so long
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["event_time", "alert_id"])
-        timed = rows["event_time"].notna().to_numpy()
-        times = rows["event_time"][timed].astype("datetime64[us]").astype("int64").to_numpy()
-        last = state.get[0] if state.exists else None
-        passed = []
-        place = 0 if last is None else int(np.searchsorted(times, last + cooldown))
-        while place < len(times):
-            passed.append(place)
-            last = int(times[place])
-            place = max(place + 1, int(np.searchsorted(times, last + cooldown)))
+        now = state.getCurrentProcessingTimeMs()
+        known = {key: entry for key, entry in json.loads(state.get[0]).items() if entry[1] > now - idle_ms} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["alert_key", "event_time", "alert_id"])
+        keys, timed = rows["alert_key"].to_numpy(), rows["event_time"].notna().to_numpy()
+        times = np.where(timed, rows["event_time"].astype("datetime64[us]").astype("int64"), 0)
         allowed = np.zeros(len(rows), dtype=bool)
-        allowed[np.flatnonzero(timed)[passed]] = True
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + idle_ms)
-        yield rows.assign(alert_key=key[0], allowed=allowed)[[*ALERT_NAMES, "allowed"]]
+        starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            high = low + int(timed[low:high].sum())  # rows without a time come last
+            last = known[keys[low]][0] if keys[low] in known else None
+            passed, last = _passing(times[low:high], last, cooldown)
+            allowed[low + np.array(passed, dtype=int)] = True
+            if last is not None:
+                known[keys[low]] = (last, now)
+        state.update((json.dumps(known),))
+        state.setTimeoutTimestamp(now + idle_ms)
+        yield rows[ALERT_NAMES].assign(allowed=allowed)
 
     return decide
 
@@ -90,17 +104,23 @@ def _gate_state(cooldown_seconds: int, idle_ms: int):
 ALERT_NAMES = [part.split(" ")[0] for part in ALERT.split(", ")]
 
 
-def gate_stream(alerts: DataFrame, cooldown_seconds: int = 3600, idle_seconds: int | None = None) -> DataFrame:
+def gate_stream(
+    alerts: DataFrame, cooldown_seconds: int = 3600, idle_seconds: int | None = None, key_groups: int = KEY_GROUPS
+) -> DataFrame:
     """Stream of alerts (columns of ALERT) -> the same rows with ``allowed``. Every row comes out, however late it is.
 
     State per key is the event time of the last alert that passed. A row of the key that is older, or within the cooldown after it, is held
-    back, like a row without a time. State is dropped when a key has been idle for ``idle_seconds``: four cooldowns, a day at least. The
+    back, like a row without a time. A key is forgotten when it has been idle for ``idle_seconds``: four cooldowns, a day at least. The
     watermark is on the time of arrival, as one on the event time would discard late rows before the gate sees them.
+
+    Keys are handled ``key_groups`` hash groups at a time, as a call of a state function costs far more than a key. The state of a group is
+    written whenever one of its keys has an alert, so choose their number for some thousand live keys each, and keep it with the checkpoint.
     """
     idle = max(86_400, 4 * cooldown_seconds) if idle_seconds is None else idle_seconds
     arriving = alerts.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", ARRIVAL_DELAY)
-    return arriving.groupBy("alert_key").applyInPandasWithState(
-        _gate_state(cooldown_seconds, 1000 * idle), GATED, "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
+    grouped = arriving.withColumn("_group", F.pmod(F.xxhash64("alert_key"), F.lit(key_groups)))
+    return grouped.groupBy("_group").applyInPandasWithState(
+        _gate_state(cooldown_seconds, 1000 * idle), GATED, "lasts string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
