@@ -21,7 +21,7 @@ from incidentry.llm.common import fresh, store, without
 
 LEAST, COVERAGE = 4, 0.5
 FILTER_BITS = 1 << 24
-ROUNDING = 1e-9
+ROUNDING, GROUPS = 1e-9, 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SIGNS = re.compile(r"[\W_]+")
@@ -126,21 +126,21 @@ def tiles(item: list[str], doc: list[str], least: int = LEAST) -> list[tuple[int
 
 
 def _marked_items(batches: Iterator[pa.RecordBatch], least: int, coverage: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of a document's words and an item's words -> the pairs whose coverage is high enough."""
+    """A document's words and those of some items -> the items whose coverage is high enough."""
     names = ["key", "mark", "size", "item", "coverage", "tiles"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
-        held, doc = None, []
-        for key, mark, size, text, item, words in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-            if held != (key, mark, size):
-                held, doc = (key, mark, size), text.split(" ")
-            wanted = words.split(" ")
-            found = tiles(wanted, doc, least)
-            share = sum(n for n, _, _ in found) / len(wanted)
-            if share >= coverage - ROUNDING:
-                for values, value in zip(rows, (key, mark, size, item, share, len(found))):
-                    values.append(value)
-        arrays = [pa.array(v, batch.column(i).type) for i, v in zip((0, 1, 2, 4), rows[:4])]
+        for key, mark, size, text, items in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            doc = text.split(" ")
+            for one in items:
+                wanted = one["item_words"].split(" ")
+                found = tiles(wanted, doc, least)
+                share = sum(n for n, _, _ in found) / len(wanted)
+                if share >= coverage - ROUNDING:
+                    for values, value in zip(rows, (key, mark, size, one["item"], share, len(found))):
+                        values.append(value)
+        kinds = [*[batch.column(i).type for i in range(3)], batch.column(4).type.value_type.field("item").type]
+        arrays = [pa.array(values, kind) for values, kind in zip(rows, kinds)]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows[4], pa.float64()), pa.array(rows[5], pa.int32())], names)
 
 
@@ -201,8 +201,10 @@ def contaminated(
     pairs = shared.where(F.col("shared") >= F.col("n") * (coverage / least) - ROUNDING).select(*doc_key, "row")
     known = items.select(F.xxhash64("item", "words").alias("row"), "item", F.col("words").alias("item_words")).distinct()
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in doc_key]
-    texts = pairs.join(known, "row").alias("p").join(touched.alias("t"), same[0] & same[1] & same[2])
-    texts = texts.select("t.key", "t.mark", "t.size", "t.words", "p.item", "p.item_words")
+    # a document that holds many items meets them in GROUPS lists, so that its text is copied so many times at most
+    listed = pairs.join(known, "row").groupBy(*doc_key, F.pmod("row", F.lit(GROUPS)).alias("part")).agg(F.collect_list(F.struct("item", "item_words")).alias("items"))
+    texts = listed.alias("p").join(touched.alias("t"), same[0] & same[1] & same[2])
+    texts = texts.select("t.key", "t.mark", "t.size", "t.words", "p.items")
     schema = f"key {key_kind}, mark bigint, size bigint, item {item_kind}, coverage double, tiles int"
     return store(texts.mapInArrow(lambda batches: _marked_items(batches, least, coverage), schema), "contaminated")
 
