@@ -23,7 +23,7 @@ from incidentry.llm.common import bytes_of, fresh, store, without
 WINDOW, MINIMISER = 50, 4
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
-SAMPLE_SHARE, CROWDED_WINDOWS, MOST_CROWDED = 16, 4000, 4096
+SAMPLE_SHARE, CROWDED_WINDOWS, MOST_CROWDED = 16, 4000, 1 << 16
 CHUNK_BYTES, GROUP_PLACES = 2 << 20, 64
 SPACE = 32
 
