@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,33 @@ def test_similar_in_passes_equals_one_pass(spark):
     vectors = similarity.unit_vectors(table, "vec_id", ["embedding"])
     whole = sorted(map(tuple, similarity.similar(vectors, vectors, 3).collect()))
     assert sorted(map(tuple, similarity.similar(vectors, vectors, 3, pass_bytes=20_000).collect())) == whole and len(whole) == 360
+
+
+@pytest.mark.parametrize("spread", [0.02, 5.0])
+def test_all_rows_search_is_exact_and_prunes(spark, spread):
+    """Vectors around 12 centres, with copies, ties and a zero vector; blocks of 40 rows."""
+    from incidentry.operators import similarity
+
+    dice = np.random.default_rng(6)
+    centres = dice.normal(size=(12, 8))
+    made = [centres[i % 12] + spread * dice.normal(size=8) for i in range(600)]
+    made = [v / np.linalg.norm(v) for v in made] + [made[0] / np.linalg.norm(made[0])] * 5 + [np.zeros(8)] * 2
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "id bigint, vector array<double>")
+    got = {}
+    for r in similarity.similar_to_all(df, 3, block_rows=40).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+    scores = np.round(np.array(made) @ np.array(made).T, 6) + 0.0
+    for i in range(len(made)):
+        best = sorted((j for j in range(len(made)) if j != i), key=lambda j: (-scores[i, j], j))[:3]
+        assert [(n, j) for n, j, _ in sorted(got[i])] == [(n + 1, j) for n, j in enumerate(best)]
+    if spread < 1:
+        groups = df.groupBy("vector").agg(F.min("id").alias("group_id"))
+        seen = []
+        real = similarity._shipped
+        similarity._shipped = lambda *a: seen.append(real(*a)) or seen[-1]
+        try:
+            similarity._compared(groups, 3, 40)
+        finally:
+            similarity._shipped = real
+        n = groups.count()
+        assert seen[0].count() < 0.5 * n * (n / 40)
