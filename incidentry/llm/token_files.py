@@ -40,7 +40,8 @@ class Encoder:
 
     A byte-level tokenizer never joins what follows a single space or line feed with what stands before it, so pieces that start at
     these can be encoded apart; texts with other white space in a row are encoded as a whole. New pieces are encoded together as the
-    lines of one text, where the id of the line feed marks their ends.
+    lines of one text, where the id of the line feed marks their ends. Pieces of white space only, which could join these line feeds,
+    are encoded on their own, and so is every piece if a line feed is lost all the same.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,6 +64,8 @@ class Encoder:
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         ids = self._ids("\n".join(pieces))
         ends = np.append(np.flatnonzero(ids == self.feed), len(ids)) * self.width
+        if len(ends) != len(pieces):
+            return {piece: self._ids(piece).tobytes() for piece in pieces}
         data, starts = ids.tobytes(), [0, *(ends[:-1] + self.width).tolist()]
         return {piece: data[a:b] for piece, a, b in zip(pieces, starts, ends.tolist(), strict=True)}
 
@@ -84,14 +87,14 @@ class Encoder:
                     gaps.append((found, at, pieces[at]))
             except ValueError:
                 parts.append(found)
-        if " " in missing:  # at the end of a text; it would run into the next line
-            self.known[" "] = self._ids(" ").tobytes()
-        if rest := [piece for piece in missing if piece != " "]:
-            missing = self._encoded(rest)
+        if missing:
+            # at the end of a text, or all of it; it would run into the next line or the one before
+            spaces = {piece: self._ids(piece).tobytes() for piece in missing if piece.isspace()}
+            missing = spaces | self._encoded([piece for piece in missing if piece not in spaces])
             if len(self.known) < REMEMBERED:
                 self.known.update(missing)
         for found, at, piece in gaps:
-            found[at] = self.known[" "] if piece == " " else missing[piece]
+            found[at] = missing[piece]
         return [b"".join(found) for found in parts]
 
     def encode(self, text: str) -> bytes:

@@ -76,3 +76,18 @@ def plain_ids(text):
     if not _PLAIN:
         _PLAIN.append(plain())
     return _PLAIN[0](text)
+
+
+SPACES = ["foo", "\u00a0", "bar", "\t", "a\u00a0", "\u00a0b", " ", "\r", "\u3000", "x ", "\n", "\x85", "end"]
+
+
+def test_texts_of_white_space_only_among_others(spark):
+    check(spark.createDataFrame(list(enumerate(SPACES)), "doc_id bigint, text string").coalesce(1))
+    tool = token_files.Encoder(PATH)
+    assert [np.frombuffer(data, tool.kind).tolist() for data in tool.encode_all(SPACES)] == list(map(plain_ids, SPACES))
+
+
+def test_a_lost_line_feed_has_pieces_encoded_apart():
+    tool = token_files.Encoder(PATH)
+    pieces = ["foo", "\u00a0", "bar"]
+    assert [np.frombuffer(tool._encoded(pieces)[piece], tool.kind).tolist() for piece in pieces] == list(map(plain_ids, pieces))
