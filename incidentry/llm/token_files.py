@@ -41,7 +41,8 @@ class Encoder:
     A byte-level tokenizer never joins what follows a single space or line feed with what stands before it, so pieces that start at
     these can be encoded apart; texts with other white space in a row are encoded as a whole. New pieces are encoded together as the
     lines of one text, where the id of the line feed marks their ends. Pieces of white space only, which could join these line feeds,
-    are encoded on their own, and so is every piece if a line feed is lost all the same.
+    are encoded on their own, and so is every piece if a line feed is lost all the same. Texts that hold an added token of the vocabulary,
+    like <|endoftext|>, are encoded as a whole too: it becomes its one id, as by default in the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,7 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         feed = self._ids("\n")
@@ -74,7 +75,7 @@ class Encoder:
         look_up, parts, gaps = self.known.get, [], []
         missing: dict[str, bytes] = {}
         for text in texts:
-            if TWO_SPACES.search(text):
+            if TWO_SPACES.search(text) or any(token in text for token in self.added):
                 parts.append([self._ids(text).tobytes()])
                 continue
             pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")

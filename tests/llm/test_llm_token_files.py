@@ -91,3 +91,17 @@ def test_a_lost_line_feed_has_pieces_encoded_apart():
     tool = token_files.Encoder(PATH)
     pieces = ["foo", "\u00a0", "bar"]
     assert [np.frombuffer(tool._encoded(pieces)[piece], tool.kind).tolist() for piece in pieces] == list(map(plain_ids, pieces))
+
+
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y\n<|endoftext|>", "<|endoftext |>", "<|endoftext|", "|>", "plain words"]
+
+
+def test_added_tokens_are_one_id_as_by_default(spark):
+    encode = Tokenizer.from_file(PATH).encode
+    expected = [encode(text, add_special_tokens=False).ids for text in ADDED]
+    assert [ids.count(50256) for ids in expected] == [1, 1, 2, 0, 0, 0, 0]
+    tool = token_files.Encoder(PATH)
+    assert [np.frombuffer(data, tool.kind).tolist() for data in tool.encode_all(ADDED)] == expected
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id bigint, text string")
+    found = sorted(token_files.round_trip(docs, PATH).collect(), key=lambda r: r["start"])
+    assert [list(r["ids"]) for r in found] == [ids + [0] for ids in expected]
