@@ -7,9 +7,11 @@ one is blocked, else allow.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BASE_TAG = r"(?is)<base\s[^>]*\bhref\s*=[^>]*>"
+
+SCHEME, END = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:"), re.compile(r"[?#]")
+PARTS = re.compile(r"(?s)(.*?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
 class Rule(NamedTuple):
@@ -60,25 +66,58 @@ def node(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.translate(head, CAPITALS, SMALL), rest))
 
 
-def absolute(link: Column, base: Column) -> Column:
-    """A link as an absolute url: itself, or with the scheme or the scheme and host of its page in front."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    return (
-        F.when(F.instr(link, "://") > 0, link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(site, link))
-    )
+def without_dots(path: str) -> str:
+    """A path that starts with a slash or is empty, without its ``.`` and ``..`` parts."""
+    parts, kept = path.split("/")[1:], []
+    for part in parts:
+        if part == "..":
+            del kept[-1:]
+        elif part != ".":
+            kept.append(part)
+    if parts and parts[-1] in (".", ".."):
+        kept.append("")
+    return "/" + "/".join(kept) if path else ""
+
+
+def resolved(link: str, base: str) -> str | None:
+    """A link as an absolute url, as in RFC 3986; with a scheme of its own it is taken as it is. Null if ``base`` has no ``://``."""
+    if SCHEME.match(link):
+        return link
+    if (parts := PARTS.match(base)) is None:
+        return None
+    scheme, site, path, query = parts.groups("")
+    if link.startswith("//"):
+        scheme, site, path, query = PARTS.match(scheme + link).groups("")
+        return scheme + site + without_dots(path) + link[len(site) + len(path) :]
+    own = END.split(link, maxsplit=1)[0]
+    rest = link[len(own) :]
+    if not own:
+        return scheme + site + path + (rest if rest.startswith("?") else query + rest)
+    return scheme + site + without_dots(own if own.startswith("/") else (path[: path.rfind("/") + 1] or "/") + own) + rest
+
+
+def absolute(link: pa.Array, base: pa.Array, page: pa.Array) -> pa.Array:
+    """Links resolved against ``base``, which may itself be relative to the page's url, or else against the page's url."""
+    found = []
+    for one, inner, own in zip(link.to_pylist(), base.to_pylist(), page.to_pylist()):
+        start = resolved(inner, own) if inner else None
+        found.append(resolved(one, start if start and "://" in start else own))
+    return pa.array(found, pa.string())
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): a page's url and the url that its canonical link or refresh tag names."""
+    """(u, v): a page's url and the url that its canonical link or refresh tag names.
+
+    Relative links are resolved against the page's url, or against that of its first ``<base href>``.
+    """
     text, own = F.col(f"`{html}`"), F.col(f"`{url}`")
     canonical = F.when(text.rlike("(?i)<link"), F.regexp_extract(F.regexp_extract(text, CANONICAL_TAG, 0), HREF, 1))
     refresh = F.when(text.rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract(text, REFRESH_TAG, 0), REFRESH_URL, 1))
-    links = pages.select(node(own).alias("u"), own.alias("base"), F.explode(F.array(canonical, refresh)).alias("link"))
+    base = F.coalesce(F.when(text.rlike("(?i)<base"), F.regexp_extract(F.regexp_extract(text, BASE_TAG, 0), HREF, 1)), F.lit(""))
+    links = pages.select(node(own).alias("u"), own.alias("own"), base.alias("base"), F.explode(F.array(canonical, refresh)).alias("link"))
     links = links.where("u is not null and link is not null and link != ''")
-    ends = links.select("u", node(absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), F.col("base"))).alias("v"))
+    plain = [F.replace(name, F.lit("&amp;"), F.lit("&")) for name in ("link", "base")]
+    ends = links.select("u", F.arrow_udf(absolute, "string")(*plain, F.col("own")).alias("link")).select("u", node(F.col("link")).alias("v"))
     return ends.where("v is not null and u != v")
 
 

@@ -95,3 +95,32 @@ def test_sql_gives_the_same_verdicts(spark):
 
 def test_empty_table(spark):
     assert urls.judge(pages(spark, []), RULES).count() == 0
+
+
+LINKS = "index.html ?id=3 ../x ./ . .. ../../../y a/./b/../c/ a/.. #top x?q=1#f /r/../s /go?u=http://bad.net/es/ //h.org/b ..x/.y x/.. g;x=1/../y".split()
+BASES = ["http://a.org/es/d/1.html?q=1#f", "http://a.org", "https://a.org?x=/y", "http://a.org/", "http://a.org/es/", "http://a.org/a/../b/c"]
+
+
+def test_relative_links_are_resolved_as_in_the_library():
+    from urllib.parse import urljoin
+
+    for base in BASES:
+        for target in LINKS:
+            assert urls.resolved(target, base) == urljoin(base, target), (target, base)
+        assert urls.resolved("//h.org/a/../b?q#f", base) == base.split("//")[0] + "//h.org/b?q#f"
+        assert urls.resolved("mailto:a@b.org", base) == "mailto:a@b.org"
+    assert urls.resolved("x", "no scheme") is None
+
+
+def test_relative_refresh_hands_on_a_block(spark):
+    refresh = "<meta http-equiv=refresh content='0; url={}'>"
+    rows = [
+        (1, "http://a.net/en/d/1", refresh.format("../../es/2")),
+        (2, "http://a.net/de/1?x=1", refresh.format("?id=3")),
+        (3, "http://a.net/de/1?id=3", link("../fr/x")),
+        (4, "http://b.net/de/1", refresh.format("2")),
+        (5, "http://c.org/1", "<head><base target=_top><BASE href='//d.net/es/'></head>" + refresh.format("2")),
+        (6, "http://c.org/3", refresh.format("mailto:a@d.net")),
+    ]
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(*row, "n", "v") for row in rows]), RULES).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
