@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc
+from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc, whitening
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
@@ -96,6 +96,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "contaminated", "coverage", "item_id", "tiles", "items")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error"
+    )
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_shards": op2_shards,
@@ -107,4 +114,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
 }
