@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc, whitening
+from incidentry.llm import alignment, decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc, whitening
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
@@ -103,6 +103,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = alignment.align(docs, *paths, keep_text=False, as_text=False)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_shards": op2_shards,
@@ -115,4 +124,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
 }
