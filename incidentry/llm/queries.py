@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm import alignment, decontaminate, exact, mixing, quality, sharding, simhash, substrings, token_files, urls, warc, whitening
+from incidentry.llm import alignment, decontaminate, exact, lm, mixing, quality, sharding, simhash, substrings, token_files, urls, warc, whitening
 from incidentry.llm.common import table, text_bytes
 
 SHARDS = 24
@@ -112,6 +112,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 10 == 0, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    return lm.score_texts(docs, ~F.col("held_out"), keep_text=False)
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_shards": op2_shards,
@@ -125,4 +132,5 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
     "op12_alignment": op12_alignment,
+    "op13_lm_scores": op13_lm_scores,
 }
