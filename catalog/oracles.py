@@ -594,7 +594,7 @@ NEAREST = """SELECT query_id, id, similarity, rank FROM (SELECT a.id AS query_id
   row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.z, b.z), 6) DESC, b.id) AS rank
   FROM {queries} a JOIN z b ON a.id <> b.id) WHERE rank <= {k}"""
 ORACLES["si1_similar_rows"] = f"WITH {VECTORS} " + NEAREST.format(
-    queries="(SELECT * FROM z WHERE id IN (SELECT min(id) FROM z GROUP BY label))", k=5).replace(", rank FROM (SELECT a", ", CAST(rank AS INT) AS rank FROM (SELECT a")
+    queries="(SELECT * FROM z WHERE id % 20 = 0)", k=5).replace(", rank FROM (SELECT a", ", CAST(rank AS INT) AS rank FROM (SELECT a")
 ORACLES["si2_similar_to_all"] = f"WITH {VECTORS} " + NEAREST.format(queries="z", k=3).replace(
     ", rank FROM (SELECT a", ", CAST(rank AS INT) AS rank FROM (SELECT a")
 INCIDENT_VECTORS = """n AS (SELECT incident_id AS id, incident_datetime, CAST(hour AS DOUBLE) AS a, CAST(is_weekend AS DOUBLE) AS b, CAST(is_kitchen AS DOUBLE) AS c,
@@ -602,9 +602,21 @@ INCIDENT_VECTORS = """n AS (SELECT incident_id AS id, incident_datetime, CAST(ho
 z AS (SELECT id, incident_datetime, [""" + ", ".join(
     f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in "abcefg") + "] AS z FROM n)"
 over_derived("t5_si1_similar_incidents", NEAREST.format(
-    queries="(SELECT * FROM z ORDER BY incident_datetime DESC, id LIMIT 1)", k=5).replace(
+    queries="(SELECT * FROM z WHERE id % 20 = 0)", k=5).replace(
     ", rank FROM (SELECT a", ", CAST(rank AS INT) AS rank FROM (SELECT a"), INCIDENT_VECTORS)
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERMS = f"""w AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+f AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc_id) FROM c)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
+v AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS weight FROM c JOIN f USING (term))"""
+ORACLES["tx1_term_weights"] = f"WITH {TERMS} SELECT doc_id, count(*) AS terms, round(min(weight), 6) AS least, round(max(weight), 6) AS most FROM v GROUP BY doc_id"
+ORACLES["tx1_similar_texts"] = f"""WITH {TERMS},
+s AS (SELECT q.doc_id AS query_id, d.doc_id AS id, round(sum(q.weight * d.weight), 6) AS similarity
+  FROM v q JOIN v d ON q.term = d.term AND q.doc_id <> d.doc_id WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)
+SELECT query_id, id, similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
+
 # --- alerts ------------------------------------------------------------------------------------------------------------
 ALERTS = f"""a AS (SELECT incident_id, incident_datetime AS moment, {REASON} AS reason, severity, location, incident_date FROM d)"""
 CHANNELS = "(VALUES ('sms', 'SMS'), ('email', 'Email')) c(channel, label)"

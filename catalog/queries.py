@@ -34,6 +34,7 @@ from incidentry.operators import (
     history,
     joins,
     journeys,
+    narrative_search,
     narratives,
     ordered,
     reports,
@@ -595,8 +596,7 @@ def embedding_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @register("si1_similar_rows")
 def si1(spark, folder):
     vectors = embedding_vectors(spark, folder)
-    firsts = embedding_columns(spark, folder).groupBy("label").agg(F.min("vec_id").alias("id")).select("id")
-    return similarity.similar(vectors, vectors.join(firsts, "id", "left_semi"), 5)
+    return similarity.similar(vectors, vectors.where("id % 20 = 0"), 5)
 
 
 @register("t5_si1_similar_incidents")
@@ -606,8 +606,23 @@ def si1_incidents(spark, folder):
     )
     names = [name for name in table.columns if name != "incident_id"]
     vectors = similarity.unit_vectors(table, "incident_id", names)
-    latest = derived(spark, folder).orderBy(F.desc("incident_datetime"), "incident_id").limit(1)
-    return similarity.similar(vectors, vectors.join(F.broadcast(latest.select(F.col("incident_id").alias("id"))), "id", "left_semi"), 5)
+    return similarity.similar(vectors, vectors.where("id % 20 = 0"), 5)
+
+
+@register("tx1_similar_texts")
+def similar_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return narrative_search.similar_texts(docs, F.col("doc_id") % 20 == 0, 5, "doc_id", "text")
+
+
+@register("tx1_term_weights")
+def term_weights(spark, folder):
+    """Number of terms and the least and largest weight of every document, all terms kept."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    vectors = narrative_search.tfidf_vectors(docs, "doc_id", "text", F.lit(True))
+    return vectors.select(
+        F.col("id").alias("doc_id"), F.size("terms").cast("bigint").alias("terms"), F.array_min("weights").alias("least"), F.array_max("weights").alias("most")
+    )
 
 
 @register("si2_similar_to_all")
