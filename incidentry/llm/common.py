@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -69,6 +70,13 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Give back memory that a worker has used and freed, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def bytes_of(column: pa.Array) -> list:
     """Texts as UTF-8 bytes, nulls as None."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -14,17 +14,19 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from incidentry.llm import recurrent
-from incidentry.llm.chunks import CHUNK_BYTES, answered, by_place, chunk_number, cut, keys_of, packed, unpacked
-from incidentry.llm.common import TO_LOWER, bytes_of, store, without
+from incidentry.llm.chunks import answered, by_place, chunk_number, cut, keys_of, packed, unpacked
+from incidentry.llm.common import TO_LOWER, bytes_of, release, store, without
 from incidentry.llm.recurrent import HEAD, KINDS
 
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 SMALL = 0.1
+CHUNK_BYTES = 8 << 20
 SIGNS = b".,;:!?"
 LONGEST_HEAD = 64
 LEARN_IDS, SCORE_IDS = 1 << 20, 1 << 22
@@ -52,13 +54,14 @@ def _numbered(rows: DataFrame, most: int) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = 0
         for batch in batches:
-            texts = [value or b"" for value in bytes_of(batch.column("text"))]
+            texts = batch.column("text")
             learn = np.asarray(batch.column("learn").to_pylist(), bool)
-            for first, end in cut(np.array([len(text) for text in texts], np.int64), most):
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+            for first, end in cut(sizes, most):
                 numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
                 seqs = []
-                for text in texts[first:end]:
-                    words = text.translate(TO_LOWER).split()
+                for text in bytes_of(texts.slice(first, end - first)):
+                    words = (text or b"").translate(TO_LOWER).split()
                     words.append(b"")  # the end
                     seqs.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 learnt = np.zeros(len(numbers), np.int64)
@@ -79,6 +82,8 @@ def _numbered(rows: DataFrame, most: int) -> DataFrame:
                 ]
                 chunks += 1
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+                del numbers, seqs, columns
+            release()
 
     return rows.mapInArrow(number, schema)
 
@@ -175,13 +180,16 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep_text: b
         F.coalesce(learn, F.lit(False)).alias("learn"),
     )
     stored = store(_numbered(numbered, most), "numbered")
-    counts = keys_of(stored, "n", "kinds").groupBy("key").agg(F.sum("n").alias("count"), F.min("kinds").alias("kind"))
-    counts = store(counts.where("count > 0"), "word-counts")
-    frequent = counts.where((F.length("key") > 0) & (F.length("key") <= LONGEST_HEAD)).orderBy(F.desc("count"), "key").limit(HEAD - 1).collect()
+    same = Window.partitionBy("key")  # a key comes once per chunk
+    counted = keys_of(stored, "n", "kinds").select(
+        "chunk", "pos", "key", F.col("kinds").alias("kind"), F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")
+    )
+    counted = store(counted, "word-counts")
+    known = counted.where("first and count > 0").select("key", "kind", "count")
+    frequent = known.where((F.length("key") > 0) & (F.length("key") <= LONGEST_HEAD)).orderBy(F.desc("count"), "key").limit(HEAD - 1).collect()
     head = [(b"", 0), *[(bytes(row["key"]), i + 1) for i, row in enumerate(frequent)]]
     head = docs.sparkSession.createDataFrame(head, "key binary, id int")  # HEAD rows of at most LONGEST_HEAD bytes
-    with_codes = counts.join(F.broadcast(head), "key", "left")
-    totals = with_codes.groupBy("id", F.when(F.col("id").isNull(), F.col("kind")).alias("kind"))
+    totals = known.join(F.broadcast(head), "key", "left").groupBy("id", F.when(F.col("id").isNull(), F.col("kind")).alias("kind"))
     totals = totals.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("words")).collect()  # HEAD + KINDS rows
     rare, by_id = np.zeros((KINDS, 2), np.int64), np.zeros(HEAD + KINDS, np.int64)
     for row in totals:
@@ -189,8 +197,8 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keep_text: b
             rare[row["kind"]] = row["n"], row["words"]
         by_id[HEAD + row["kind"] if row["id"] is None else row["id"]] = row["n"]
     n, distinct = sum(row["n"] for row in totals), sum(row["words"] for row in totals)
-    values = keys_of(stored, "kinds").join(counts.select("key", "count"), "key", "left").join(F.broadcast(head), "key", "left")
-    values = values.select("chunk", "pos", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce(F.col("id"), F.col("kinds") + HEAD).alias("code"))
+    values = counted.join(F.broadcast(head), "key", "left")
+    values = values.select("chunk", "pos", "count", F.coalesce(F.col("id"), F.col("kind") + HEAD).alias("code"))
     documents = stored.drop("keys", "n", "kinds")
     looked_up = store(_looked_up(documents, values, n, distinct, rare), "word-ids")
     weights = trained(looked_up.where("learn").select("n_tokens", "ids"), recurrent.started(by_id))

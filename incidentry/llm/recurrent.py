@@ -2,7 +2,8 @@
 
 Ids: 0 is the end of a document, 1 to HEAD - 1 are frequent words, the rest stand for kinds of other words. SLOTS frequent words make a class, a kind
 is a class of its own. The state predicts the class of the next id, and within it the word; a window of steps is run at a time for many texts
-side by side, and the output layer sees all states of a window together, sorted by class.
+side by side, and the output layer sees all states of a window together, sorted by class. The recurrent unit has one gate: it decides for each
+part of the state how much is kept and how much gives way to a candidate.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ HEAD = SLOTS * CLASSES
 STEPS, LANES = 16, 512
 SCORE_ROWS = 1 << 14
 RATE, DECAYS, CLIP, FAR = 0.01, (0.9, 0.99), 1.0, 60.0
-RESET, UPDATE, OWN = 0, 1, 2  # parts of the recurrent layer
+UPDATE, OWN = 0, 1  # parts of the recurrent layer
 SHAPES = {
-    "inputs": (3, HEAD + KINDS, STATE),
-    "loops": (3, STATE, STATE),
+    "inputs": (2, HEAD + KINDS, STATE),
+    "loops": (2, STATE, STATE),
     "to_class": (STATE, CLASSES + KINDS),
     "class_bias": (CLASSES + KINDS,),
     "to_word": (CLASSES, STATE, SLOTS),
@@ -58,23 +59,18 @@ def shaped(values: np.ndarray) -> Weights:
     return found
 
 
-def _step(weights: Weights, given: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The next state, and the gates, candidate and loop part that its gradient needs."""
-    pre = weights["inputs"].take(given, axis=1)
-    loop = np.matmul(state, weights["loops"])
-    gates = pre[:OWN]
-    gates += loop[:OWN]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
-    gates += 1
-    gates *= 0.5
-    candidate = gates[RESET] * loop[OWN]
-    candidate += pre[OWN]
-    np.tanh(candidate, out=candidate)
-    after = state - candidate
-    after *= gates[UPDATE]
-    after += candidate
-    return after, gates, candidate, loop[OWN]
+def _step(weights: Weights, given: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next state, and the gate and the candidate that its gradient needs."""
+    parts = np.matmul(state, weights["loops"])
+    parts += weights["inputs"].take(given, axis=1)
+    parts[UPDATE] *= 0.5
+    np.tanh(parts, out=parts)
+    parts[UPDATE] += 1
+    parts[UPDATE] *= 0.5
+    after = state - parts[OWN]
+    after *= parts[UPDATE]
+    after += parts[OWN]
+    return after, parts
 
 
 def _by_class(targets: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
@@ -144,13 +140,12 @@ def gradients(weights: Weights, given: np.ndarray, targets: np.ndarray, counted:
     """
     steps, lanes = given.shape
     before = np.empty((steps, lanes, STATE), np.float32)
-    after, candidates, owns = np.empty_like(before), np.empty_like(before), np.empty_like(before)
-    gates = np.empty((2, steps, lanes, STATE), np.float32)
+    after, parts = np.empty_like(before), np.empty((2, steps, lanes, STATE), np.float32)
     fresh = given == 0
     for t in range(steps):
         before[t] = state
         before[t][fresh[t]] = 0
-        state, gates[:, t], candidates[t], owns[t] = _step(weights, given[t], before[t])
+        state, parts[:, t] = _step(weights, given[t], before[t])
         after[t] = state
     states, y, use = after.reshape(-1, STATE), targets.ravel(), counted.ravel()
     share = use * np.float32(1 / max(1.0, float(use.sum())))
@@ -178,33 +173,32 @@ def gradients(weights: Weights, given: np.ndarray, targets: np.ndarray, counted:
         out["to_word"][number], out["word_bias"][number] = some.T @ delta, np.ones(len(rows), np.float32) @ delta
     d_states = d_states.reshape(steps, lanes, STATE)
     # what each step's gradient is multiplied by, for all steps at once
-    reset, update = gates
-    by_candidate = (1 - update) * (1 - candidates * candidates)
-    by_reset = owns * reset * (1 - reset)
-    by_update = (before - candidates) * update * (1 - update)
-    d_input = np.empty((3, steps, lanes, STATE), np.float32)
-    d_loop = np.empty((steps, lanes, STATE), np.float32)
+    update, candidates = parts
+    give = 1 - update
+    by_update = before - candidates
+    by_update *= update
+    by_update *= give
+    candidates *= candidates
+    by_candidate = np.subtract(1, candidates, out=candidates)
+    by_candidate *= give
+    d_input = np.empty((2, steps, lanes, STATE), np.float32)
     back = np.ascontiguousarray(weights["loops"].transpose(0, 2, 1))
     carried = np.zeros((lanes, STATE), np.float32)
     for t in range(steps - 1, -1, -1):
         carried += d_states[t]
-        np.multiply(carried, by_candidate[t], out=d_input[OWN, t])
-        np.multiply(d_input[OWN, t], by_reset[t], out=d_input[RESET, t])
         np.multiply(carried, by_update[t], out=d_input[UPDATE, t])
-        np.multiply(d_input[OWN, t], reset[t], out=d_loop[t])
+        np.multiply(carried, by_candidate[t], out=d_input[OWN, t])
         carried *= update[t]
-        carried += d_input[RESET, t] @ back[RESET]
         carried += d_input[UPDATE, t] @ back[UPDATE]
-        carried += d_loop[t] @ back[OWN]
+        carried += d_input[OWN, t] @ back[OWN]
         carried[fresh[t]] = 0
-    flowed = before.reshape(-1, STATE).T
-    out["loops"] = np.stack([flowed @ part.reshape(-1, STATE) for part in (d_input[RESET], d_input[UPDATE], d_loop)])
+    out["loops"] = np.matmul(before.reshape(-1, STATE).T, d_input.reshape(2, -1, STATE))
     x = given.ravel()
     order = np.argsort(x.astype(np.uint16), kind="stable")
     x = x[order]
     firsts = np.flatnonzero(np.diff(x, prepend=-1))
     out["inputs"] = np.zeros(SHAPES["inputs"], np.float32)
-    out["inputs"][:, x[firsts]] = np.add.reduceat(d_input.reshape(3, -1, STATE).take(order, axis=1), firsts, axis=1)
+    out["inputs"][:, x[firsts]] = np.add.reduceat(d_input.reshape(2, -1, STATE).take(order, axis=1), firsts, axis=1)
     return out, state, loss
 
 

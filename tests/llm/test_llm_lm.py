@@ -55,8 +55,7 @@ class Plain:
         state, last, total = np.zeros(recurrent.STATE), 0, 0.0
         for t in tokens(text):
             pre, loop = w["inputs"][:, last], [state @ part for part in w["loops"]]
-            reset, update = sigmoid(pre[0] + loop[0]), sigmoid(pre[1] + loop[1])
-            candidate = np.tanh(pre[2] + reset * loop[2])
+            update, candidate = sigmoid(pre[0] + loop[0]), np.tanh(pre[1] + loop[1])
             state = (1 - update) * candidate + update * state
             last = self.ids.get(t, recurrent.HEAD + lm.kind(t))
             total += math.log10(self.shares(w, state)[last])
