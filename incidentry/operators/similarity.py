@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from incidentry.operators import vector_tree
 from incidentry.operators.joins import counted_size, lookup_join
 from incidentry.session import settle
 
 DIGITS = 6  # similarities are compared and returned at this precision, so ties do not depend on summation order
-BLOCK_ROWS = 4096
-LEFT_ROWS, PART_ROWS, MOST_PIVOTS = 1024, 65_536, 256
+LEFT_ROWS = 1024
 PASS_BYTES = 32 << 20
-BOUND_SLACK = 1e-6  # similarities are rounded
 
 
 def unit_vectors(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
@@ -89,18 +88,14 @@ def _searched(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return corpus.mapInPandas(search, "query_id bigint, id bigint, similarity double")
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=float)
-
-
 def _block_search(k: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(left) and len(right):
-            ids, matrix = right["group_id"].to_numpy(), _matrix(right["vector"]).T
+            ids, matrix = right["group_id"].to_numpy(), vector_tree.matrix(right["vector"]).T
             for start in range(0, len(left), LEFT_ROWS):
                 part = left.iloc[start : start + LEFT_ROWS]
-                scores = np.round(_matrix(part["vector"]) @ matrix, DIGITS) + 0.0
+                scores = np.round(vector_tree.matrix(part["vector"]) @ matrix, DIGITS) + 0.0
                 for group, row in zip(part["group_id"], scores):
                     best = _best(ids, row, k + 1)
                     found.append((np.full(len(best), group), ids[best], row[best]))
@@ -110,78 +105,7 @@ def _block_search(k: int):
     return search
 
 
-def _cells(groups: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Every vector with its nearest pivot and the distance to it."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            away = _distances(_matrix(batch["vector"]), pivots)
-            cell = away.argmin(axis=1)
-            yield batch.assign(cell=cell, away=away[np.arange(len(batch)), cell])
-
-    return groups.select("group_id", "vector").mapInPandas(assign, "group_id bigint, vector array<double>, cell int, away double")
-
-
-def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (rows**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * rows @ pivots.T
-    return np.sqrt(np.maximum(squares, 0))
-
-
-def _shipped(bounded: DataFrame, pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray) -> DataFrame:
-    """Every vector once for each block of each cell that may hold one of its k + 1 nearest.
-
-    ``bound`` is a similarity that k + 1 vectors are known to reach. With |x| <= 1 a vector as similar as that lies within the root of
-    |q|^2 + 1 - 2 bound of q, and no vector of a cell is nearer than the distance to its pivot less its radius.
-    """
-    filled = np.flatnonzero(blocks)
-
-    def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = _matrix(batch["vector"])
-            reach = np.sqrt(np.maximum((rows**2).sum(axis=1) + 1 - 2 * (batch["bound"].to_numpy() - BOUND_SLACK), 0)) + BOUND_SLACK
-            near = _distances(rows, pivots)[:, filled] - radius[filled] <= reach[:, None]
-            for place in range(len(filled)):
-                wanted = batch.loc[near[:, place], ["group_id", "vector"]]
-                for block in range(blocks[filled[place]] if len(wanted) else 0):
-                    yield wanted.assign(cell=filled[place], block=block)
-
-    return bounded.mapInPandas(ship, "group_id bigint, vector array<double>, cell int, block int")
-
-
-def _compared(groups: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """(left_id, right_id, similarity): for every vector a list that holds its k + 1 most similar ones, itself included.
-
-    Vectors lie in cells around pivots, at most MOST_PIVOTS of them, and large cells are cut into blocks. The vectors of a vector's own block
-    give a bound; only blocks of cells that the triangle inequality cannot rule out are compared with it.
-    """
-    count = groups.count()
-    wanted = max(1, min(MOST_PIVOTS, count // block_rows))
-    chosen = groups.orderBy(F.xxhash64("group_id"), "group_id").limit(wanted).select("vector").toPandas()
-    if not len(chosen):
-        return groups.sparkSession.createDataFrame([], "left_id bigint, right_id bigint, similarity double")
-    pivots = _matrix(chosen["vector"])
-    placed = settle(_cells(groups, pivots))
-    radius, blocks = np.zeros(len(pivots)), np.zeros(len(pivots), int)
-    for row in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-        radius[row["cell"]], blocks[row["cell"]] = row["r"], -(-row["n"] // block_rows)
-    block_count = F.array(*[F.lit(int(max(1, n))) for n in blocks])[F.col("cell")]
-    rows = placed.select("group_id", "vector", "cell", F.pmod(F.xxhash64("group_id"), block_count).cast("int").alias("block"))
-    search, schema = _block_search(k), "left_id bigint, right_id bigint, similarity double"
-    own = rows.groupBy("cell", "block").applyInPandas(lambda part: search(part, part), schema)
-    if blocks.sum() == 1:
-        return own
-    reached = own.groupBy(F.col("left_id").alias("group_id")).agg(
-        F.when(F.count(F.lit(1)) > k, F.min("similarity")).otherwise(-1.0).alias("bound")
-    )
-    shipped = _shipped(rows.join(reached, "group_id").select("group_id", "vector", "bound"), pivots, radius, blocks)
-    parts = max(1, -(-count // PART_ROWS))
-    left = shipped.withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(parts)).cast("int"))
-    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    key = ["cell", "block", "part"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
-
-
-def similar_to_all(corpus: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_to_all(corpus: DataFrame, k: int = 5, leaf_rows: int = vector_tree.LEAF_ROWS) -> DataFrame:
     """The k most similar rows for every row of (id, vector) of length one or zero, exact.
 
     Equal vectors are compared once: each distinct vector keeps its k + 1 smallest ids, and no other id of it can be in an
@@ -194,7 +118,7 @@ def similar_to_all(corpus: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
         .groupBy("vector")
         .agg(F.min("id").alias("group_id"), F.array_sort(F.collect_list("id")).alias("ids"))
     )
-    compared = _compared(groups, k, block_rows)
+    compared = vector_tree.compared(groups, k, _block_search(k), leaf_rows)
     best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
     near = compared.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k + 1)
     candidates = near.join(groups.select(F.col("group_id").alias("right_id"), "ids"), "right_id").select(

@@ -216,7 +216,7 @@ def test_similar_in_passes_equals_one_pass(spark):
 
 @pytest.mark.parametrize("spread", [0.02, 5.0])
 def test_all_rows_search_is_exact_and_prunes(spark, spread):
-    """Vectors around 12 centres, with copies, ties and a zero vector; blocks of 40 rows."""
+    """Vectors around 12 centres, with copies, ties and a zero vector; leaves of 40 rows."""
     from incidentry.operators import similarity
 
     dice = np.random.default_rng(6)
@@ -225,20 +225,40 @@ def test_all_rows_search_is_exact_and_prunes(spark, spread):
     made = [v / np.linalg.norm(v) for v in made] + [made[0] / np.linalg.norm(made[0])] * 5 + [np.zeros(8)] * 2
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "id bigint, vector array<double>")
     got = {}
-    for r in similarity.similar_to_all(df, 3, block_rows=40).collect():
+    for r in similarity.similar_to_all(df, 3, leaf_rows=40).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
     scores = np.round(np.array(made) @ np.array(made).T, 6) + 0.0
     for i in range(len(made)):
         best = sorted((j for j in range(len(made)) if j != i), key=lambda j: (-scores[i, j], j))[:3]
         assert [(n, j) for n, j, _ in sorted(got[i])] == [(n + 1, j) for n, j in enumerate(best)]
-    if spread < 1:
-        groups = df.groupBy("vector").agg(F.min("id").alias("group_id"))
-        seen = []
-        real = similarity._shipped
-        similarity._shipped = lambda *a: seen.append(real(*a)) or seen[-1]
-        try:
-            similarity._compared(groups, 3, 40)
-        finally:
-            similarity._shipped = real
-        n = groups.count()
-        assert seen[0].count() < 0.5 * n * (n / 40)
+
+
+def _pairs(spark, n):
+    """Products that the search makes over n vectors in tight clusters of about 12, and the answers' number."""
+    from incidentry.operators import similarity, vector_tree
+
+    dice = np.random.default_rng(n)
+    centres = dice.normal(size=(n // 12, 16))
+    made = np.array([centres[i % len(centres)] for i in range(n)]) + 0.01 * dice.normal(size=(n, 16))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    groups = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "group_id bigint, vector array<double>")
+    tree = vector_tree.build(groups, 3, 24)
+    sizes = {r["node"]: r["n"] for r in tree.leaves.groupBy("node").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == n
+    own = tree.leaves.groupBy("node").applyInPandas(lambda part: similarity._block_search(3)(part, part), vector_tree.PAIRS)
+    met = vector_tree.visits(vector_tree.bounds(tree, own, 3), tree.levels).groupBy("node").agg(F.count("*").alias("n")).collect()
+    return sum(size * size for size in sizes.values()) + sum(sizes[r["node"]] * r["n"] for r in met)
+
+
+def test_compared_pairs_grow_far_below_the_square(spark):
+    few, many = _pairs(spark, 2000), _pairs(spark, 6000)
+    assert few < 2000**2 / 64 and many / 6000**2 < 0.75 * few / 2000**2
+
+
+def test_vectors_that_differ_by_rounding_only(spark):
+    from incidentry.operators import similarity
+
+    made = [[1.0, 1e-13 * i] for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(made)), "id bigint, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in similarity.similar_to_all(df, 2, leaf_rows=8).collect()}
+    assert got[(0, 1)] == 1 and got[(30, 1)] == 0 and got[(30, 2)] == 1 and len(got) == 120

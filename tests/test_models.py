@@ -111,8 +111,8 @@ def brute(matrix, ids, k):
     return answer
 
 
-@pytest.mark.parametrize("block_rows", [4, 4096])
-def test_similar_to_all_matches_brute_force(spark, block_rows):
+@pytest.mark.parametrize("leaf_rows", [4, 4096])
+def test_similar_to_all_matches_brute_force(spark, leaf_rows):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 3, size=(12, 4)).astype(float)
     matrix = np.vstack([base, np.repeat(base[:1], 20, axis=0), base[1:4]])  # one vector holds most rows
@@ -121,7 +121,7 @@ def test_similar_to_all_matches_brute_force(spark, block_rows):
     vectors = similarity.unit_vectors(df, "id", ["a", "b", "c", "d"])
     expected = brute(matrix, ids, 3)
     got = {}
-    for r in similarity.similar_to_all(vectors, 3, block_rows).orderBy("query_id", "rank").collect():
+    for r in similarity.similar_to_all(vectors, 3, leaf_rows).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["id"], r["similarity"]))
     assert got == expected
     one = similarity.similar(vectors, vectors.where("id = 105"), 3).orderBy("rank").collect()
