@@ -98,11 +98,10 @@ def _chain_holds(x: Column, y: Column, distance: int, start: int) -> Column:
     return holds
 
 
-def _flipped(value: Column, fixed: list[tuple[int, int]]) -> Column:
-    """The value and every value one flip away outside the fixed bits."""
+def _masks(fixed: list[tuple[int, int]]) -> list[int]:
+    """What a value is changed by to give itself and every value one flip away outside the fixed bits."""
     free = [b for b in range(BITS) if not any(low <= b < high for low, high in fixed)]
-    masks = [0, *[1 << b if b < BITS - 1 else -(1 << b) for b in free]]
-    return F.transform(F.array(*[F.lit(mask).cast("bigint") for mask in masks]), lambda mask: value.bitwiseXOR(mask))
+    return [0, *[1 << b if b < BITS - 1 else -(1 << b) for b in free]]
 
 
 def links(prints: DataFrame, distance: int = 2, crowded: int = CROWDED) -> DataFrame:
@@ -119,7 +118,7 @@ def links(prints: DataFrame, distance: int = 2, crowded: int = CROWDED) -> DataF
     keys = _keys(value, distance)
     rows = prints.select("fp", F.inline(F.array(*[F.struct(F.lit(n).alias("slot"), key.alias("key")) for n, key, _ in keys])))
     counts = rows.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = store(rows.join(counts, ["slot", "key"]), "print-keys")
+    rows = store(rows.join(counts.hint("merge"), ["slot", "key"]), "print-keys")
     few = rows.where(F.col("n") <= crowded)
     left, right = few.select("slot", "key", F.col("fp").alias("u")), few.select("slot", "key", F.col("fp").alias("v"))
     pieces = max(1, len(keys) // (distance + 1))
@@ -127,14 +126,13 @@ def links(prints: DataFrame, distance: int = 2, crowded: int = CROWDED) -> DataF
     for start in range(distance + 1):
         chain = chain | ((F.floor(F.col("slot") / pieces) == start) & _chain_holds(F.col("u"), F.col("v"), distance, start))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    pairs = left.join(right, ["slot", "key"]).where(F.col("u") < F.col("v")).where(chain).where(near).select("u", "v")
-    stars = None
-    for number, _, fixed in keys:
-        crowd = rows.where((F.col("n") > crowded) & (F.col("slot") == number))
-        near_values = crowd.select("key", "fp", F.explode(_flipped(value, fixed)).alias("around"))
-        hubs = near_values.groupBy("key", "around").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        spokes = near_values.join(hubs.drop("n"), ["key", "around"]).where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-        stars = spokes if stars is None else stars.union(spokes)
+    pairs = left.join(right.hint("merge"), ["slot", "key"]).where(F.col("u") < F.col("v")).where(chain).where(near).select("u", "v")
+    masks = F.lit([_masks(fixed) for _, _, fixed in keys]).cast("array<array<bigint>>")
+    around = F.transform(masks[F.col("slot")], lambda mask: value.bitwiseXOR(mask))
+    near_values = rows.where(F.col("n") > crowded).select("slot", "key", "fp", F.explode(around).alias("around"))
+    hubs = near_values.groupBy("slot", "key", "around").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    spokes = near_values.join(hubs.hint("merge"), ["slot", "key", "around"])
+    stars = spokes.where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     return pairs.union(stars).distinct()
 
 
@@ -147,7 +145,7 @@ def _classes(rows: DataFrame, fp: str, id: str, distance: int, crowded: int) ->
     """(root, fp, first): every distinct fingerprint with the smallest fingerprint of its component, and the smallest id that has it."""
     nodes = store(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(F.col(f"`{id}`")).alias("first")), "nodes")
     roots = store(connected(links(nodes.select("fp"), distance, crowded)), "roots")
-    found = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    found = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left")
     return found.select(F.coalesce("root", "fp").alias("root"), "fp", "first")
 
 
