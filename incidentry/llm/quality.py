@@ -8,10 +8,11 @@ weighted by similarity. Every document is scored as a whole.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,16 +124,20 @@ def _subspace(rows: list[Terms], rank: int) -> np.ndarray:
     return right[:, : min(rank, int((sizes > 1e-6).sum()))]
 
 
+def merged(places: np.ndarray, weights: np.ndarray) -> Terms:
+    """Each slot once, with the sum of its weights."""
+    unique, where = np.unique(places, return_inverse=True)
+    return unique, np.bincount(where, weights, len(unique))
+
+
 def fit_terms(rows: list[Terms], labels: list[int], rank: int = RANK) -> Model:
     """Inverse document frequencies, the latent basis and the labelled vectors."""
     seen = np.zeros(SLOTS)
-    merged = []
-    for places, weights in rows:
-        unique, where = np.unique(places, return_inverse=True)
-        merged.append((unique, np.bincount(where, weights, len(unique))))
-        seen[unique] += 1
+    rows = [merged(places, weights) for places, weights in rows]
+    for places, _ in rows:
+        seen[places] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    right = _subspace([(places, weights * idf[places]) for places, weights in merged], rank) if rows else np.zeros((SLOTS, 0))
+    right = _subspace([(places, weights * idf[places]) for places, weights in rows], rank) if rows else np.zeros((SLOTS, 0))
     basis = (idf[:, None] * right).astype(np.float32)
     model = Model(basis, np.zeros((0, basis.shape[1]), np.float32), np.array(labels, np.float64), float(np.mean(labels)) if labels else 0.5)
     model.vectors = model.project(rows)
@@ -150,15 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
     @F.arrow_udf("struct<places:binary, weights:binary>")
     def found(values: pa.Array) -> pa.Array:
-        rows = [terms(data or b"") for data in bytes_of(values)]
+        rows = [merged(*terms(data or b"")) for data in bytes_of(values)]
         columns = [pa.array([r[0].astype("<i4").tobytes() for r in rows]), pa.array([r[1].astype("<f4").tobytes() for r in rows])]
         return pa.StructArray.from_arrays([c.cast(pa.binary()) for c in columns], ["places", "weights"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        rows.sort(key=lambda row: (row["key"], row["label"], row["terms"]["places"]))
+        vectors = [(np.frombuffer(row["terms"]["places"], "<i4"), np.frombuffer(row["terms"]["weights"], "<f4")) for row in rows]
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit_terms(vectors, [row["label"] for row in rows]))]})
+
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select(found("text").alias("terms"), "label", "key").limit(most).collect()
-    rows.sort(key=lambda row: (row["key"], row["label"], bytes(row["terms"]["places"])))
-    vectors = [(np.frombuffer(row["terms"]["places"], "<i4"), np.frombuffer(row["terms"]["weights"], "<f4")) for row in rows]
-    return fit_terms(vectors, [row["label"] for row in rows])
+    rows = texts.join(F.broadcast(chosen), "key").select(found("text").alias("terms"), "label", "key").limit(most)
+    model = rows.coalesce(1).mapInArrow(fitted, "model binary").first()  # at most ``most`` rows of at most SLOTS terms meet in one task
+    return pickle.loads(model["model"]) if model else fit_terms([], [])
 
 
 def score(model: Model, text: Column, spark) -> Column:
