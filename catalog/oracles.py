@@ -583,6 +583,29 @@ over_derived("e2_precision_recall_points", f"SELECT {r6('p')} AS threshold, {r6(
 over_derived("e2_curve_areas", f"""SELECT {r6('sum((fpr - fpr0) * (tpr + tpr0) / 2)')} AS roc_auc, {r6('sum((tpr - tpr0) * (pre + pre0) / 2)')} AS pr_auc FROM (
   SELECT fp / all_neg AS fpr, tp / all_pos AS tpr, tp / (tp + fp) AS pre, coalesce(lag(fp / all_neg) OVER o, 0) AS fpr0,
   coalesce(lag(tp / all_pos) OVER o, 0) AS tpr0, coalesce(lag(tp / (tp + fp)) OVER o, 1) AS pre0 FROM r WINDOW o AS (ORDER BY p DESC))""", LABELS, SCORED, STEPS)
+# isotonic rates by their definition: the largest, over starts up to a level, of the smallest mean from there to an end from the level on
+ISOTONIC = """lv AS (SELECT CAST(round(p * 10000) AS INT) AS low, CAST(incident_id % 5 AS INT) AS own, sum(label) AS h, count(*) AS n FROM scored GROUP BY ALL),
+o AS (SELECT f.fold, low, sum(h) AS h, sum(n) AS n FROM lv JOIN (SELECT unnest(range(5))::INT AS fold) f ON f.fold <> own GROUP BY f.fold, low),
+cum AS (SELECT fold, low, h, n, row_number() OVER w AS i, sum(h) OVER w AS ch, sum(n) OVER w AS cn FROM o WINDOW w AS (PARTITION BY fold ORDER BY low)),
+pr AS (SELECT a.fold, a.i AS a, b.i AS b, (b.ch - a.ch + a.h) / (b.cn - a.cn + a.n) AS mean FROM cum a JOIN cum b ON a.fold = b.fold AND b.i >= a.i),
+mn AS (SELECT fold, a, b, min(mean) OVER (PARTITION BY fold, a ORDER BY b DESC) AS m FROM pr),
+iso AS (SELECT c.fold, c.low, c.h, c.n, g.rate FROM (SELECT fold, b AS i, max(m) AS rate FROM mn GROUP BY fold, b) g JOIN cum c USING (fold, i)),
+bl AS (SELECT fold, min(low) AS low, CAST(sum(h) AS DOUBLE) AS hits, CAST(sum(n) AS DOUBLE) AS n, sum(h) / sum(n) AS rate FROM iso GROUP BY fold, round(rate, 9)),
+cal AS (SELECT x.incident_id, CAST(x.incident_id % 5 AS INT) AS fold, x.p, x.label, coalesce(
+  (SELECT max_by(bl.rate, bl.low) FROM bl WHERE bl.fold = x.incident_id % 5 AND bl.low <= CAST(round(x.p * 10000) AS INT)),
+  (SELECT min_by(bl.rate, bl.low) FROM bl WHERE bl.fold = x.incident_id % 5)) AS calibrated FROM scored x)"""
+
+
+def tenths(table: str, value: str) -> str:
+    return f"""SELECT tenth, CAST(sum(n) AS BIGINT) AS rows, {r6('sum(s) / sum(n)')} AS mean_score, {r6('sum(h) / sum(n)')} AS rate, {r6('abs(sum(s) / sum(n) - sum(h) / sum(n))')} AS apart
+FROM (SELECT *, CAST(floor((sum(n) OVER (ORDER BY low) - n) * 10 / sum(n) OVER ()) AS INT) AS tenth
+  FROM (SELECT round({value} * 10000) AS low, count(*) AS n, sum({value}) AS s, sum(label) AS h FROM {table} GROUP BY 1)) GROUP BY tenth"""
+
+
+over_derived("e4_isotonic_blocks", f"SELECT fold, low, hits, n, {r6('rate')} AS rate FROM bl", LABELS, SCORED, ISOTONIC)
+over_derived("e4_calibrated", f"SELECT incident_id, fold, {r6('p')} AS probability, {r6('calibrated')} AS calibrated FROM cal", LABELS, SCORED, ISOTONIC)
+over_derived("e4_reliability", tenths("scored", "p"), LABELS, SCORED)
+over_derived("e4_reliability_calibrated", tenths("cal", "calibrated"), LABELS, SCORED, ISOTONIC)
 over_derived("q21_exact_percentiles", f"""SELECT {r6('quantile_cont(participant_age, 0.8)')} AS age_p80, {r6('median(participant_age)')} AS age_median,
   {r6('quantile_cont(report_delay_hours, 0.9)')} AS delay_p90 FROM d""")
 

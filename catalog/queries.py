@@ -20,7 +20,7 @@ from catalog.tables import (
 )
 from incidentry import fixed_values as fixed
 from incidentry.functions import clock, common, grades, places, wording
-from incidentry.models import classifiers, scenarios, splits
+from incidentry.models import calibration, classifiers, scenarios, splits
 from incidentry.models.features import feature_frame, one_hot
 from incidentry.models.guard import LeakageGuard
 from incidentry.operators import (
@@ -571,6 +571,16 @@ on("q21_exact_percentiles", derived, lambda d: ordered.exact_percentiles(d, {
 }))
 
 
+def with_fold(table: DataFrame) -> DataFrame:
+    return table.withColumn("fold", (F.col("incident_id") % 5).cast("int"))
+
+
+on("e4_isotonic_blocks", scored, lambda d: calibration.isotonic(with_fold(d), fold="fold").select("fold", "low", "hits", "n", "rate"))
+on("e4_calibrated", scored, lambda d: calibration.calibrated(with_fold(d), fold="fold").select("incident_id", "fold", "probability", "calibrated"))
+on("e4_reliability", scored, calibration.reliability)
+on("e4_reliability_calibrated", scored, lambda d: calibration.reliability(calibration.calibrated(with_fold(d), fold="fold"), "calibrated"))
+
+
 @register("cl1_clusters")
 def cl1(spark, folder):
     frame = clustering.cluster_features(prepared(spark, folder), names_from=derived(spark, folder))
