@@ -513,6 +513,37 @@ over_incidents("m1_forecast_mean", *forecast_sql(
 over_incidents("m1_forecast_flat", *forecast_sql("true", 6, "carer_id", flat=True))
 over_incidents("m2_forecast_log", *forecast_sql("true", 6, "carer_id", log=True))
 
+# --- decomposition -----------------------------------------------------------------------------------------------------
+
+
+def additive_sql(group: str, source: str) -> str:
+    """Monthly actual, trend, season and rest by group ``g``."""
+    return f"""m AS (SELECT {group} AS g, date_trunc('month', incident_date) AS month, CAST(count(*) AS DOUBLE) AS n FROM {source} WHERE incident_date IS NOT NULL GROUP BY ALL),
+lim AS (SELECT g, min(month) AS lo, max(month) AS hi FROM m GROUP BY g),
+ser AS (SELECT s.g, s.month, coalesce(m.n, 0) AS y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.g) AS len
+  FROM (SELECT g, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS month FROM lim) s LEFT JOIN m ON m.g IS NOT DISTINCT FROM s.g AND m.month = s.month
+  WINDOW w AS (PARTITION BY s.g ORDER BY s.month)),
+tr AS (SELECT *, CASE WHEN len >= 24 AND i >= 6 AND i < len - 6 THEN
+  (sum(y) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+   + (lag(y, 6) OVER (PARTITION BY g ORDER BY i) + lead(y, 6) OVER (PARTITION BY g ORDER BY i)) / 2) / 12 END AS trend FROM ser),
+raws AS (SELECT g, i % 12 AS place, avg(y - trend) AS share FROM tr GROUP BY ALL),
+ssn AS (SELECT g, place, share - avg(share) OVER (PARTITION BY g) AS season FROM raws),
+dec AS (SELECT tr.g, tr.month, tr.i, y AS actual, trend, season, y - trend - season AS rest FROM tr JOIN ssn ON ssn.g IS NOT DISTINCT FROM tr.g AND ssn.place = tr.i % 12)"""
+
+
+for _name, _group, _source, _over in (
+    ("d1_additive", None, "incidents", over_incidents),
+    ("d1_additive_by_location", "location", "d", over_derived),
+    ("d1_additive_short_series", "participant_id", "incidents", over_incidents),
+):
+    _over(_name, f"""SELECT {f'g AS {_group}, ' if _group else ''}{day('month')} AS month, {r6('actual')} AS actual, {r6('trend + 1e-9')} AS trend, {r6('season + 1e-9')} AS season,
+  {r6('rest + 1e-9')} AS rest FROM dec""", additive_sql(_group or "true", _source))
+over_derived("d3_portmanteau_of_rests", f"""SELECT g AS location, CAST(len AS INT) AS n, {r6('len * (len + 2) * sum(r * r / (len - k))')} AS q FROM (
+  SELECT a.g, k, a.len, sum(a.o * b.o) / any_value(a.sq) AS r FROM o2 a JOIN (SELECT unnest(range(1, 13)) AS k) ON true JOIN o2 b ON a.g IS NOT DISTINCT FROM b.g AND b.p = a.p + k
+  GROUP BY a.g, k, a.len) GROUP BY g, len""", additive_sql("location", "d"),
+    """o1 AS (SELECT g, rest - avg(rest) OVER (PARTITION BY g) AS o, row_number() OVER (PARTITION BY g ORDER BY i) AS p, count(*) OVER (PARTITION BY g) AS len FROM dec WHERE rest IS NOT NULL),
+o2 AS (SELECT *, sum(o * o) OVER (PARTITION BY g) AS sq FROM o1)""")
+
 # --- models ------------------------------------------------------------------------------------------------------------
 RISK = "avg(severity_numeric) OVER (PARTITION BY location)"
 over_derived("ml1_prepared", f"""SELECT incident_id, {stamp('incident_datetime')} AS incident_datetime, incident_weekday, severity, severity_numeric, location,

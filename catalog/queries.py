@@ -27,6 +27,7 @@ from incidentry.operators import (
     carers,
     clustering,
     correlation,
+    decomposition,
     evaluation,
     forecast,
     gate,
@@ -398,6 +399,19 @@ on("g5_hotspots", derived, lambda d: geography.hotspots(geography.density(geogra
 on("g6_geocode_requests", raw, lambda d: geography.geocode_requests(d, "address"))
 
 # --- forecasts ---------------------------------------------------------------------------------------------------------
+def off_ties(parts: DataFrame) -> DataFrame:
+    """Shares of counts end in a 5 at the seventh digit at times, where the order of sums would decide how they are rounded."""
+    return parts.withColumns({name: F.col(name) + 1e-9 for name in ("trend", "season", "rest")})
+
+
+on("d1_additive", raw, lambda d: off_ties(decomposition.additive(d)))
+on("d1_additive_by_location", derived, lambda d: off_ties(decomposition.additive(d, ["location"])))
+on("d1_additive_short_series", raw, lambda d: off_ties(decomposition.additive(d, ["participant_id"])))
+on("d2_robust_by_location", derived, lambda d: decomposition.robust(d, ["location"]))
+on("d3_portmanteau_of_rests", derived, lambda d: decomposition.portmanteau(
+    decomposition.rests(decomposition.additive(d, ["location"]), ["location"])).select("location", "n", "q"))
+on("d4_stationarity", derived, lambda d: decomposition.stationarity(
+    forecast.monthly_series(d, ["location"])).select("location", "unit_root", "lags"))
 on("m1_forecast", raw, lambda d: forecast.forecast(d, 6))
 on("m1_forecast_by_location", derived, lambda d: forecast.forecast(d, 6, ["location"]))
 on("m1_forecast_line", raw, lambda d: forecast.forecast(d, 6, ["participant_id"]))
