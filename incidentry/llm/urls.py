@@ -8,7 +8,8 @@ one is blocked, else allow.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,12 +21,12 @@ from incidentry.llm.components import connected
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# How pages name their canonical url or redirect.
-CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-BASE_TAG = r"(?is)<base\s[^>]*\bhref\s*=[^>]*>"
+NAMES_LINKS = r"(?i)<(link|meta)[\s/]"
+COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
+TAG = re.compile(r"""(?is)<(link|meta|base)(?=[\s/>])((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
+ATTRIBUTE = re.compile(r"""(?s)([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+REFRESH_NAMED = re.compile(r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)""")
+REFRESH_PLAIN = re.compile(r"""(?s)\s*[\d.]+\s*[;,]\s*["']?([^"'\s]+)""")
 
 SCHEME, END = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:"), re.compile(r"[?#]")
 PARTS = re.compile(r"(?s)(.*?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?")
@@ -96,28 +97,47 @@ def resolved(link: str, base: str) -> str | None:
     return scheme + site + without_dots(own if own.startswith("/") else (path[: path.rfind("/") + 1] or "/") + own) + rest
 
 
-def absolute(link: pa.Array, base: pa.Array, page: pa.Array) -> pa.Array:
-    """Links resolved against ``base``, which may itself be relative to the page's url, or else against the page's url."""
-    found = []
-    for one, inner, own in zip(link.to_pylist(), base.to_pylist(), page.to_pylist()):
-        start = resolved(inner, own) if inner else None
-        found.append(resolved(one, start if start and "://" in start else own))
-    return pa.array(found, pa.string())
+def tags(text: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """(name, attributes) of the link, meta and base tags outside comments; of attributes that repeat the first counts."""
+    for tag in TAG.finditer(COMMENT.sub("", text)):
+        found: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(tag[2]):
+            found.setdefault(name.lower(), unescape("".join(values)))
+        yield tag[1].lower(), found
+
+
+def targets(text: str, own: str) -> list[str]:
+    """Where a page's canonical links and refresh tags lead, all of them, resolved against its first base or else its own url."""
+    base, links = None, []
+    for name, found in tags(text):
+        if name == "base":
+            base = base or found.get("href", "").strip() or None
+        elif name == "link":
+            if "canonical" in found.get("rel", "").lower().split():
+                links.append(found.get("href", "").strip())
+        elif found.get("http-equiv", "").strip().lower() == "refresh":
+            content = found.get("content", "")
+            if hit := REFRESH_NAMED.search(content) or REFRESH_PLAIN.match(content):
+                links.append(hit[1])
+    start = resolved(base, own) if base else None
+    start = start if start and "://" in start else own
+    return [url for link in links if link and (url := resolved(link, start)) is not None]
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): a page's url and the url that its canonical link or refresh tag names.
+    """(u, v): a page's url and each url that its canonical links and refresh tags name.
 
-    Relative links are resolved against the page's url, or against that of its first ``<base href>``.
+    ``rel`` is a list of words, a refresh may leave out ``url=``, and what stands in comments does not count. Relative links are resolved
+    against the page's url, or against that of its first ``<base href>``.
     """
+
+    @F.arrow_udf("array<string>")
+    def found(text: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([targets(a, b) for a, b in zip(text.to_pylist(), own.to_pylist())], pa.list_(pa.string()))
+
     text, own = F.col(f"`{html}`"), F.col(f"`{url}`")
-    canonical = F.when(text.rlike("(?i)<link"), F.regexp_extract(F.regexp_extract(text, CANONICAL_TAG, 0), HREF, 1))
-    refresh = F.when(text.rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract(text, REFRESH_TAG, 0), REFRESH_URL, 1))
-    base = F.coalesce(F.when(text.rlike("(?i)<base"), F.regexp_extract(F.regexp_extract(text, BASE_TAG, 0), HREF, 1)), F.lit(""))
-    links = pages.select(node(own).alias("u"), own.alias("own"), base.alias("base"), F.explode(F.array(canonical, refresh)).alias("link"))
-    links = links.where("u is not null and link is not null and link != ''")
-    plain = [F.replace(name, F.lit("&amp;"), F.lit("&")) for name in ("link", "base")]
-    ends = links.select("u", F.arrow_udf(absolute, "string")(*plain, F.col("own")).alias("link")).select("u", node(F.col("link")).alias("v"))
+    rows = pages.select(node(own).alias("u"), own.alias("own"), text.alias("text")).where(F.col("u").isNotNull() & F.col("text").rlike(NAMES_LINKS))
+    ends = rows.select("u", F.explode(found("text", "own")).alias("link")).select("u", node(F.col("link")).alias("v"))
     return ends.where("v is not null and u != v")
 
 

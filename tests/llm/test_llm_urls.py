@@ -1,4 +1,6 @@
 import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from incidentry.llm import urls
 from incidentry.llm.queries import RULES
@@ -124,3 +126,112 @@ def test_relative_refresh_hands_on_a_block(spark):
     ]
     found = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(*row, "n", "v") for row in rows]), RULES).collect()}
     assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
+
+
+class Parser(HTMLParser):
+    """Canonical links, refreshes and the first base of a page."""
+
+    def __init__(self):
+        super().__init__()
+        self.links, self.base = [], None
+
+    def handle_starttag(self, tag, attrs):
+        found = {}
+        for name, value in attrs:
+            found.setdefault(name, value or "")
+        if tag == "base" and self.base is None and found.get("href", "").strip():
+            self.base = found["href"].strip()
+        if tag == "link" and "canonical" in found.get("rel", "").lower().split() and found.get("href", "").strip():
+            self.links.append(found["href"].strip())
+        if tag == "meta" and found.get("http-equiv", "").strip().lower() == "refresh":
+            parts = found.get("content", "").replace(",", ";").split(";", 1)
+            if len(parts) == 2 and parts[1].strip():
+                target = parts[1].strip()
+                if target.lower().startswith("url"):
+                    target = target[3:].strip()[1:].strip()
+                self.links.append(target.strip("'\""))
+
+
+def judged_by_loops(rows):
+    """Verdicts from parsed pages, urljoin, and components by repeated merging."""
+    at = lambda url: url.split("#")[0]  # noqa: E731  (hosts below are in lower case)
+    edges, nodes = [], set()
+    for _, url, html in rows:
+        if url is None or "://" not in url:
+            continue
+        parser = Parser()
+        parser.feed(html or "")
+        base = urljoin(url, parser.base) if parser.base else url
+        for target in parser.links:
+            target = urljoin(base, target)
+            if "://" in target:
+                edges.append((at(url), at(target)))
+                nodes |= {at(url), at(target)}
+    group = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    said = {}
+    for n in nodes:
+        said.setdefault(group[n], set()).add(rule_of(n)[1])
+    found = {}
+    for i, url, _ in rows:
+        own = rule_of(url)[1]
+        there = said.get(group.get(at(url))) if url is not None and "://" in url else None
+        found[i] = own or ("allow" if not there or "allow" in there else "block" if "block" in there else "allow")
+    return found
+
+
+def rule_of(url):
+    if url is None or "://" not in url:
+        return None, None
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+    host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+    return (best.host + best.path, best.verdict) if best else (None, None)
+
+
+PAGES = [
+    ("http://a.org/1", "<link rel=canonical><link rel='canonical' href='http://bad.net/es/1'>"),
+    ("http://a.org/2", "<LINK REL='alternate CANONICAL' HREF=http://bad.net/es/1 >"),
+    ("http://a.org/3", "<meta http-equiv=refresh content='0;http://bad.net/fr/2'>"),
+    ("http://a.org/4", "<!-- <link rel=canonical href='http://bad.net/es/1'> --><p>x</p>"),
+    ("http://a.org/5", "<!-- open <link rel=canonical href='http://bad.net/es/1'>"),
+    ("http://a.org/6/x", "<base href='http://bad.net/es/'><link rel=canonical href='./y?q=1&amp;r=2'>"),
+    ("http://a.org/7", "<meta content=\"5; URL='http://b.org/7'\" http-equiv='Refresh'><link rel=canonical href=http://c.org/7>"),
+    ("http://b.org/7", "<link rel=canonical href='http://www.example.com/en/7'>"),
+    ("http://c.org/7", "<link rel=canonical href='/8'>"),
+    ("http://c.org/8", "<link rel=canonical href='http://c.org/7'><meta http-equiv=refresh content='1, http://bad.net/es/8'>"),
+    ("http://d.org/a/b", "<link rel=canonical href='../c'>"),
+    ("http://d.org/c", "<link rel=stylesheet href='http://bad.net/es/1'><link title='a > b' rel=\"canonical\" href='?z'>"),
+    ("http://d.org/c?z", "<meta http-equiv=refresh content='3'><meta http-equiv=refresh content='0;url=http://bad.net/fr/'>"),
+    ("http://e.org/", "<linkx rel=canonical href='http://bad.net/es/1'>"),
+    ("http://f.org/", "<link rel=canonical href='http://bad.net/es/1'/><link rel=canonical href='http://good.com/'>"),
+    ("no scheme", "<link rel=canonical href='http://bad.net/es/1'>"),
+    (None, "<link rel=canonical href='http://bad.net/es/1'>"),
+    ("http://g.org/", None),
+    ("http://a.org/1", ""),
+]
+
+
+def test_whole_pages_against_brute_force(spark):
+    rows = [(i, url, html) for i, (url, html) in enumerate(PAGES)]
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(*row, "n", "v") for row in rows]), RULES).collect()}
+    assert found == judged_by_loops(rows)
+    assert [i for i in found if found[i] == "block"] and found[7] == "allow" and found[3] == "allow"
+
+
+def test_random_pages_against_brute_force(spark):
+    pick = random.Random(8)
+    sites = [f"http://s{i}.{end}/{part}{j}" for i in range(8) for end, part in (("org", ""), ("net", "es/"), ("com", "")) for j in range(3)]
+    rows = []
+    for i in range(70):
+        lines = []
+        for _ in range(pick.randrange(3)):
+            target = pick.choice(sites[: 1 + i] + ["/1", "../2", "?q", "x"])
+            lines.append(pick.choice(["<link rel=canonical href='%s'>", "<meta http-equiv=refresh content='0;url=%s'>", "<!--<link rel=canonical href='%s'>-->", "<link rel='x canonical' href=\"%s\">"]) % target)
+        rows.append((i, pick.choice(sites), "".join(lines)))
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(*row, "n", "v") for row in rows]), RULES).collect()}
+    assert found == judged_by_loops(rows)
