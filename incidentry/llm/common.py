@@ -82,6 +82,11 @@ def bytes_of(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def key_kind(kind: str) -> str:
+    """What a key of this type is written as: whole numbers as bigint, all others as text."""
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 length, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")

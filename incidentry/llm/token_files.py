@@ -25,18 +25,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import attempt_name, open_folder, scratch_path, store
+from incidentry.llm.common import attempt_name, key_kind, open_folder, scratch_path, store
 
 MAGIC = b"TOKFILE1"
 HEAD, TAIL = len(MAGIC) + 33, 16 + len(MAGIC)
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 112_640, 1024, 16_384
-FILE_BYTES, REMEMBERED = 256 << 20, 1_000_000
+FILE_BYTES, REMEMBERED_BYTES, ENTRY_BYTES = 256 << 20, 192 << 20, 180
+READ_IDS = 1 << 20
 LEVEL, GROUP = 3, 256
 TWO_SPACES = re.compile(r"\s\s|\0")
 
 
 class Encoder:
-    """Ids of whole texts as bytes. Pieces between white space are encoded once and remembered, up to a fixed number of them.
+    """Ids of whole texts as bytes. Pieces between white space are encoded once and remembered, up to a bound in bytes.
 
     A byte-level tokenizer never joins what follows a single space or line feed with what stands before it, so pieces that start at
     these can be encoded apart; texts with other white space in a row are encoded as a whole. New pieces are encoded together as the
@@ -58,6 +59,7 @@ class Encoder:
             raise ValueError("the tokenizer joins words over white space")
         self.feed = int(feed[0])
         self.known: dict[str, bytes] = {"": b"", "\n": feed.tobytes()}
+        self.held = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -92,8 +94,10 @@ class Encoder:
             # at the end of a text, or all of it; it would run into the next line or the one before
             spaces = {piece: self._ids(piece).tobytes() for piece in missing if piece.isspace()}
             missing = spaces | self._encoded([piece for piece in missing if piece not in spaces])
-            if len(self.known) < REMEMBERED:
+            size = sum(map(len, missing)) + sum(map(len, missing.values())) + ENTRY_BYTES * len(missing)
+            if self.held + size <= REMEMBERED_BYTES:
                 self.known.update(missing)
+                self.held += size
         for found, at, piece in gaps:
             found[at] = missing[piece]
         return [b"".join(found) for found in parts]
@@ -138,6 +142,10 @@ class Writer:
         self.counts.append(count)
         self.at += self.out.write(frame)
 
+    def drop(self) -> None:
+        """End a file that will not be listed."""
+        self.out.close()
+
     def close(self) -> tuple[str, int, int]:
         """Name, documents and ids of the file."""
         parts = [json.dumps(self.keys).encode(), np.array(self.offsets, "<u8").tobytes(), np.array(self.counts, "<u8").tobytes()]
@@ -178,7 +186,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id: str
     """Write all rows in ascending order of their ids (nulls last) and return the files: file, part, seq, docs, tokens, start.
 
     A null text counts as empty; every document ends with ``end_id``. Rows that repeat an id are all written, in the order of their texts' hashes.
-    ``start`` is the number of ids in the files before. The dictionary lies beside the files as ``dictionary.zdict``.
+    ``start`` is the number of ids in the files before. Ids are whole numbers or anything that can be written as text and read back from it; no
+    other column of ``docs`` is kept, so none can clash. The dictionary lies beside the files as ``dictionary.zdict``.
     """
     spark = docs.sparkSession
     dictionary = train(docs, tokenizer, end_id, id, text)
@@ -188,7 +197,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id: str
         out.write(dictionary)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("key").asc_nulls_last(), F.col("tie")]
-    rows = docs.select(F.col(f"`{id}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"))
+    written = F.col(f"`{id}`").cast(key_kind(docs.select(id).dtypes[0][1]))
+    rows = docs.select(
+        F.col(f"`{id}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"), written.alias("written")
+    )
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,17 +212,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id: str
         end = np.array([end_id], tool.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         done, writer = [], None
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                rows = batch.slice(at, GROUP)
-                arrays = tool.encode_all([value or "" for value in rows.column(2).to_pylist()])
-                for key, data in zip(rows.column(0).to_pylist(), arrays):
-                    if writer is None or writer.at >= FILE_BYTES:
-                        done += [writer.close()] if writer else []
-                        writer = Writer(files, root, attempt_name("tokens", ".tok"), dictionary, tool.width)
-                    data += end
-                    writer.add(key, packer.compress(data), len(data) // tool.width)
-        done += [writer.close()] if writer else []
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, GROUP):
+                    rows = batch.slice(at, GROUP)
+                    arrays = tool.encode_all([value or "" for value in rows.column(2).to_pylist()])
+                    for key, data in zip(rows.column(3).to_pylist(), arrays):
+                        if writer is None or writer.at >= FILE_BYTES:
+                            done += [writer.close()] if writer else []
+                            writer = Writer(files, root, attempt_name("tokens", ".tok"), dictionary, tool.width)
+                        data += end
+                        writer.add(key, packer.compress(data), len(data) // tool.width)
+            done += [writer.close()] if writer else []
+        except BaseException:
+            if writer:
+                writer.drop()
+            raise
         yield pa.RecordBatch.from_pylist(
             [{"file": f, "part": part, "seq": i, "docs": n, "tokens": t} for i, (f, n, t) in enumerate(done)],
             schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]),
@@ -235,27 +252,30 @@ def read(spark: SparkSession, folder: str, listed: DataFrame, kind: str = "bigin
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 reader = Reader(files, f"{root}/{name}", dictionary)
                 rows: list = []
+                held = 0
                 for place, key in enumerate(reader.keys):
                     ids = reader.ids(place).astype("<u4")
-                    rows.append((key, start, len(ids), zlib.crc32(ids.tobytes()), ids))
+                    rows.append((key, start, len(ids), zlib.crc32(ids.tobytes()), ids if with_ids else none))
                     start += len(ids)
-                    if sum(row[2] for row in rows[-1:]) > 1 << 20 or len(rows) >= 1000:
-                        yield _documents(rows, key_kind, with_ids)
-                        rows = []
+                    held += len(rows[-1][4])
+                    if held >= READ_IDS or len(rows) >= 1000:
+                        yield _documents(rows, arrow_kind)
+                        rows, held = [], 0
                 if rows:
-                    yield _documents(rows, key_kind, with_ids)
+                    yield _documents(rows, arrow_kind)
 
-    key_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    written, none = key_kind(kind), np.zeros(0, "<u4")
+    arrow_kind = {"bigint": pa.int64(), "string": pa.string()}[written]
     parts = 2 * spark.sparkContext.defaultParallelism
     source = listed.select("file", "start").repartition(parts, "file")
-    return source.mapInArrow(documents, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    rows = source.mapInArrow(documents, f"key {written}, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return rows.withColumn("key", F.col("key").cast(kind))
 
 
-def _documents(rows: list, key_kind: pa.DataType, with_ids: bool) -> pa.RecordBatch:
-    lengths = np.array([len(row[4]) if with_ids else 0 for row in rows], np.int64)
-    values = np.concatenate([row[4] for row in rows]).astype(np.int32) if with_ids else np.zeros(0, np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
-    columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((key_kind, pa.int64(), pa.int64(), pa.int64()))]
+def _documents(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+    ends = np.cumsum([0, *[len(row[4]) for row in rows]])
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([row[4] for row in rows]).astype(np.int32)))
+    columns = [pa.array([row[i] for row in rows], each) for i, each in enumerate((kind, pa.int64(), pa.int64(), pa.int64()))]
     return pa.RecordBatch.from_arrays([*columns, ids], ["key", "start", "n_tokens", "ids_crc32", "ids"])
 
 

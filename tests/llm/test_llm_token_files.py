@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -105,3 +104,27 @@ def test_added_tokens_are_one_id_as_by_default(spark):
     docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id bigint, text string")
     found = sorted(token_files.round_trip(docs, PATH).collect(), key=lambda r: r["start"])
     assert [list(r["ids"]) for r in found] == [ids + [0] for ids in expected]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(9,2)", "date"])
+def test_ids_of_other_types(spark, kind):
+    made = "date_add(date'2024-01-01', i)" if kind == "date" else "i"
+    docs = spark.sql(f"SELECT CAST({made} AS {kind}) AS doc_id, concat('text ', i) AS text FROM (SELECT explode(sequence(1, 12)) AS i)")
+    found = token_files.round_trip(docs, PATH)
+    assert found.schema["key"].dataType == docs.schema["doc_id"].dataType
+    order = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+    assert [r["key"] for r in found.orderBy("start").collect()] == order
+
+
+def test_held_ids_are_bounded(monkeypatch):
+    encoder = token_files.Encoder(PATH)
+    monkeypatch.setattr(token_files, "REMEMBERED_BYTES", 2000)
+    for i in range(50):
+        assert encoder.encode(f"word{i} " + "x" * 300) == encoder._ids(f"word{i} " + "x" * 300).tobytes()
+    assert encoder.held <= 2000
+
+
+def test_ids_are_left_out_where_not_asked_for(spark):
+    docs = spark.createDataFrame([(i, "a b c " * 500) for i in range(6)], "doc_id bigint, text string")
+    whole, counted = (token_files.round_trip(docs, PATH, with_ids=wanted).orderBy("key").collect() for wanted in (True, False))
+    assert [r[:4] for r in whole] == [r[:4] for r in counted] and {len(r["ids"]) for r in counted} == {0} and len(whole[0]["ids"]) > 1000
