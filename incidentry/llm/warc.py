@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import attempt_name, bytes_of, fresh, open_folder, scratch_path, stored
+from incidentry.llm.common import attempt_name, bytes_of, fresh, key_kind, open_folder, scratch_path, stored
 
 # Fixed values of the file format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -70,9 +70,9 @@ def train(pages: DataFrame, id: str, html: str) -> bytes:
 
 
 def _first_ids(pages: DataFrame, id: str, html: str, least: int) -> DataFrame:
-    """(digest, first): smallest id of every payload of at least ``least`` bytes that occurs more than once."""
+    """(hash, first): smallest id of every payload of at least ``least`` bytes that occurs more than once, told apart by SHA-256."""
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    narrow = pages.where(F.octet_length(payload) >= least).select(F.sha1(payload).alias("hash"), F.col(f"`{id}`").alias("id"))
+    narrow = pages.where(F.octet_length(payload) >= least).select(F.sha2(payload, 256).alias("hash"), F.col(f"`{id}`").alias("id"))
     return narrow.groupBy("hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
 
 
@@ -80,17 +80,23 @@ def write(pages: DataFrame, folder: str, least: int = 0, id: str = "page_id", ur
     """Write one record per row below ``folder`` and return the index: id, file, offset, length (of the frame), record_type.
 
     A null html is an empty payload. Of equal payloads of at least ``least`` bytes the rows with the smallest id are responses and the
-    others revisits of it, also rows with a null id; if all ids are null, all are responses. A null url leaves out the target field.
+    others revisits of it, also rows with a null id; if all ids are null, all are responses. A null url leaves out the target field. Ids are
+    whole numbers or anything that can be written as text and read back from it.
     """
     spark = pages.sparkSession
     dictionary = train(pages, id, html)
     hash_name, first_name = fresh(pages, "_hash", "_first")
     firsts = _first_ids(pages, id, html, least).select(F.col("hash").alias(hash_name), F.col("first").alias(first_name))
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = pages.withColumn(hash_name, F.sha1(payload)).join(firsts, hash_name, "left")
+    rows = pages.withColumn(hash_name, F.sha2(payload, 256)).join(firsts, hash_name, "left")
     other = ~F.col(f"`{id}`").eqNullSafe(F.col(first_name))
+    kind = pages.select(id).dtypes[0][1]
+    written = key_kind(kind)
     rows = rows.select(
-        F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), F.when(other, F.col(first_name)).alias("first")
+        F.col(f"`{id}`").cast(written).alias("id"),
+        F.col(f"`{url}`").alias("url"),
+        F.col(f"`{html}`").alias("html"),
+        F.when(other, F.col(first_name)).cast(written).alias("first"),
     )
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +126,13 @@ def write(pages: DataFrame, folder: str, least: int = 0, id: str = "page_id", ur
             if out is not None:
                 out.close()
 
-    kind = pages.select(id).dtypes[0][1]
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     index_schema = pa.schema(
-        [("id", arrow_kind), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())]
+        [("id", {"bigint": pa.int64(), "string": pa.string()}[written]), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())]
     )
     files, root = open_folder(folder)
     files.create_dir(root, recursive=True)
-    index, _ = stored(rows.mapInArrow(archive, f"id {kind}, file string, offset bigint, length bigint, record_type string"), "warc-index")
-    return index
+    index, _ = stored(rows.mapInArrow(archive, f"id {written}, file string, offset bigint, length bigint, record_type string"), "warc-index")
+    return index.withColumn("id", F.col("id").cast(kind))
 
 
 def read(spark: SparkSession, folder: str, index: DataFrame, least_files: int = 1) -> DataFrame:

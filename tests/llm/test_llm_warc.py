@@ -78,3 +78,12 @@ def test_small_payloads_are_never_revisits(spark):
 
 def test_empty_table(spark):
     assert warc.archive_pages(table(spark, [])).count() == 0
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    rows = spark.sql("SELECT CAST(i AS smallint) AS page_id, concat('http://a/', i) AS url, 'same' AS html, 'x' AS file, 'y' AS record_type FROM (SELECT explode(sequence(1, 5)) AS i)")
+    found = {r["record_id"]: r["refers_to"] for r in warc.archive_pages(rows).collect()}
+    assert found == {"<urn:page:1>": None} | {f"<urn:page:{i}>": "<urn:page:1>" for i in range(2, 6)}
+    folder = warc.scratch_path(spark, "warc")
+    index = warc.write(rows.withColumn("page_id", rows["page_id"].cast("decimal(5,1)")), folder)
+    assert index.schema["id"].dataType.simpleString() == "decimal(5,1)" and index.count() == 5
