@@ -1,8 +1,8 @@
 """Benchmark passages in documents by greedy string tiling.
 
 Seeds are runs of ``least`` words. A bitmap of fixed size over the seeds of the benchmark lets documents without any of them pass by;
-the seeds of the others are joined with those of the benchmark, and pairs that share too few seeds to reach the wanted coverage are
-left out, which loses none. In each remaining pair the longest common runs of unmarked words are found by running Karp-Rabin hashes and
+the seeds of the others are joined with the rarest of each item, as many as a pair with the wanted coverage cannot all lack, and pairs that
+share too few seeds in all are left out, which loses none. In each remaining pair the longest common runs of unmarked words are found by running Karp-Rabin hashes and
 marked, until no run of ``least`` words is left. The marked share of the benchmark item counts, in whatever order its parts stand.
 """
 
@@ -14,14 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidentry.llm.common import fresh, store, without
 
 LEAST, COVERAGE = 4, 0.5
 FILTER_BITS = 1 << 24
-ROUNDING, GROUPS = 1e-9, 16
+ROUNDING, LIST_ITEMS = 1e-9, 64
+DOC_KEY = ["key", "mark", "size"]
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SIGNS = re.compile(r"[\W_]+")
@@ -132,8 +133,11 @@ def _marked_items(batches: Iterator[pa.RecordBatch], least: int, coverage: float
         rows: list[list] = [[] for _ in names]
         for key, mark, size, text, items in zip(*[batch.column(i).to_pylist() for i in range(5)]):
             doc = text.split(" ")
+            seeds = set(seeds_of(doc, least))
             for one in items:
                 wanted = one["item_words"].split(" ")
+                if sum(seed in seeds for seed in seeds_of(wanted, least)) < len(wanted) * coverage / least - ROUNDING:
+                    continue
                 found = tiles(wanted, doc, least)
                 share = sum(n for n, _, _ in found) / len(wanted)
                 if share >= coverage - ROUNDING:
@@ -193,22 +197,42 @@ def contaminated(
     )
     touched = keyed.select("key", "mark", "size", F.col("c.words").alias("words"), F.col("c.seeds").alias("seeds")).where("words is not null").dropDuplicates(["key", "mark", "size"])
     touched = store(touched, "touched")
-    doc_key = ["key", "mark", "size"]
-    doc_seeds = touched.select(*doc_key, F.explode("seeds").alias("seed"))
-    item_seeds = items.select(F.xxhash64("item", "words").alias("row"), "n", F.explode("seeds").alias("seed")).groupBy("row", "n", "seed").agg(F.count(F.lit(1)).alias("times"))
-    shared = doc_seeds.join(item_seeds, "seed").groupBy(*doc_key, "row", "n").agg(F.sum("times").alias("shared"))
-    # a run of L words holds at least L / least seeds
-    pairs = shared.where(F.col("shared") >= F.col("n") * (coverage / least) - ROUNDING).select(*doc_key, "row")
+    pairs = candidates(touched, items, least, coverage)
     known = items.select(F.xxhash64("item", "words").alias("row"), "item", F.col("words").alias("item_words")).distinct()
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in doc_key]
-    # a document that holds many items meets them in GROUPS lists, so that its text is copied so many times at most
-    listed = pairs.join(known, "row").groupBy(*doc_key, F.pmod("row", F.lit(GROUPS)).alias("part")).agg(F.collect_list(F.struct("item", "item_words")).alias("items"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in DOC_KEY]
+    # a document that may hold many items meets them some at a time
+    place = F.row_number().over(Window.partitionBy(*DOC_KEY).orderBy("row"))
+    parts = pairs.withColumn("part", F.floor((place - 1) / F.lit(LIST_ITEMS)).cast("bigint"))
+    listed = parts.join(known, "row").groupBy(*DOC_KEY, "part").agg(F.collect_list(F.struct("item", "item_words")).alias("items"))
     texts = listed.alias("p").join(touched.alias("t"), same[0] & same[1] & same[2])
     texts = texts.select("t.key", "t.mark", "t.size", "t.words", "p.items")
     schema = f"key {key_kind}, mark bigint, size bigint, item {item_kind}, coverage double, tiles int"
     return store(texts.mapInArrow(lambda batches: _marked_items(batches, least, coverage), schema), "contaminated")
 
 
+def wanted_seeds(n: Column, coverage: float, least: int) -> Column:
+    """How many of an item's seeds its tiles hold at least if they cover enough of it: a run of L words holds at least L / least seeds."""
+    return F.ceil(n * F.lit(coverage / least) - ROUNDING)
+
+
+def candidates(touched: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """(key, mark, size, row): documents and items that may share enough seeds.
+
+    A pair that shares as many of the item's seeds as wanted misses no more than the rest, so it shares one of any more than that. Documents
+    are joined with so many of an item's seeds only, those that the fewest documents hold; a phrase that all items and documents share
+    joins none of them.
+    """
+    doc_seeds = touched.select(*DOC_KEY, F.explode("seeds").alias("seed"))
+    held = doc_seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("held"))
+    seeds = items.select(F.xxhash64("item", "words").alias("row"), "n", F.explode("seeds").alias("seed"))
+    seeds = seeds.groupBy("row", "n", "seed").agg(F.count(F.lit(1)).alias("times")).join(held, "seed", "left")
+    rarest = Window.partitionBy("row", "n").orderBy(F.coalesce("held", F.lit(0)), "seed")
+    before = F.coalesce(F.sum("times").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("times").over(Window.partitionBy("row", "n"))
+    chosen = seeds.withColumns({"before": before, "every": every}).where(F.col("before") <= F.col("every") - wanted_seeds(F.col("n"), coverage, least))
+    return doc_seeds.join(chosen.where("held is not null").select("row", "seed"), "seed").select(*DOC_KEY, "row").distinct()
+
+
 def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

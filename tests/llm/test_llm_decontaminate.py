@@ -96,3 +96,26 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     real = decontaminate.seed_filter
     monkeypatch.setattr(decontaminate, "seed_filter", lambda *a: real(*a) | 255)
     assert {(r["doc_id"], r["coverage"]) for r in decontaminate.judged(docs, benchmark).collect()} == usual
+
+
+def test_a_stock_phrase_joins_nothing(spark, monkeypatch):
+    """300 documents and 300 items that share one run of four words, and one item that is held."""
+    joined = []
+    real = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda *a: joined.append(real(*a)) or joined[-1])
+    phrase = "all rights reserved worldwide"
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(30)) + f" {phrase} " + " ".join(f"e{i}w{j}" for j in range(9))) for i in range(300)]
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(16)) + " " + phrase) for i in range(300)]
+    docs.append((1000, "before " + items[7][1] + " after"))
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert [(r["key"], r["item"], r["coverage"]) for r in found] == [(1000, 7, 1.0)]
+    assert joined[0].count() == 1
+
+
+def test_a_document_that_holds_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LIST_ITEMS", 3)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(20)]
+    docs = [(1, " ".join(text for _, text in items)), (2, items[3][1]), (None, items[4][1])]
+    found = decontaminate.judged(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r["doc_id"]: (r["items"], r["item_id"]) for r in found.collect()} == {1: (20, 0), 2: (1, 3), None: (1, 4)}
