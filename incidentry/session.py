@@ -40,11 +40,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and keep as Parquet in the shared folder, so that later jobs and lost executors read it instead of its inputs."""
-    path = scratch_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Compute once and keep as Parquet in the shared folder, so that later jobs and lost executors read it instead of its inputs.
+
+    Shuffle files of the query go when it ends, as what it has written replaces them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
