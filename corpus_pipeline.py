@@ -32,7 +32,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; documents of small sources up to REPETITIONS times."""
-    return mixing.mix(docs, repetitions=REPETITIONS, ordered=False).select(*docs.columns)
+    own = {name: f"c{i}" if name not in ("doc_id", "text", "source") else name for i, name in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{name}`").alias(other) for name, other in own.items()])  # results of the mixing replace equal names
+    mixture = mixing.mix(named, repetitions=REPETITIONS, ordered=False)
+    return mixture.select(*[F.col(other).alias(name) for name, other in own.items()])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

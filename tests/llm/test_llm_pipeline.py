@@ -3,6 +3,7 @@ import re
 import corpus_pipeline
 from incidentry.llm import quality
 from incidentry.llm.common import store
+from llm_cases import awkward
 from test_llm_decontaminate import tiled, words
 from test_llm_simhash import components_of, fingerprint
 
@@ -60,6 +61,39 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     queries = __spark_entry__.queries()
-    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", q)[1]) for q in queries if re.match(r"op\d+_", q)} == set(range(1, 11))
+    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", q)[1]) for q in queries if re.match(r"op\d+_", q)} == set(range(1, 14))
     rows = queries["pipeline"](spark, FOLDER)
     assert {"shard", "slot", "doc_id", "text"} <= set(rows.columns) and rows.count() > 0
+
+
+def folder_of(spark, path, docs, labels, items):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, a very long text and clashing names: nothing is rejected without a reason."""
+    docs = awkward(spark)
+    labels = [(i, None if i == 2 else int(i not in (3, 4, 5)), 0) for i in range(1, 13)] + [(None, 1, 0), (1, 1, 0)]
+    folder = folder_of(spark, tmp_path / "awkward", docs, labels, [(1, None), (2, ""), (3, "too short"), (None, "four words not there")])
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = store(stage(spark, docs, folder), "test")
+        assert docs.columns == awkward(spark).columns
+        kept[name] = docs.collect()
+    prints = [fingerprint(r["text"]) for r in kept["near_duplicates"]]
+    assert len(prints) == len(set(prints)) and all((a ^ b).bit_count() > 2 for a in prints for b in prints if a != b)
+    assert sorted(map(str, kept["decontamination"])) == sorted(map(str, kept["near_duplicates"]))
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(rows) == len(kept["mixing"]) and {type(r["shard"]) for r in rows} == {int}
+    assert corpus_pipeline.run(spark, folder).count() == len(rows)
+
+
+def test_tables_without_rows(spark, tmp_path):
+    none = awkward(spark).where("false")
+    folder = folder_of(spark, tmp_path / "none", none, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    folder = folder_of(spark, tmp_path / "bare", awkward(spark), [], [])
+    assert corpus_pipeline.run(spark, folder).count() > 0
