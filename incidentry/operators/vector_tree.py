@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from incidentry.operators.joins import lookup_join
 from incidentry.session import settle
 
-FAN, LEAF_ROWS, NODE_ROWS = 16, 512, 65_536
+FAN, LEAF_ROWS, NODE_ROWS = 16, 4096, 8192
 SLACK = 1e-6  # similarities are rounded
 PAIRS = "left_id bigint, right_id bigint, similarity double"
 Search = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
