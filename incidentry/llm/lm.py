@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from incidentry.llm import recurrent
-from incidentry.llm.chunks import answered, by_place, chunk_number, cut, keys_of, packed, unpacked
+from incidentry.operators.chunks import answered, by_place, chunk_number, cut, keys_of, packed, unpacked
 from incidentry.llm.common import TO_LOWER, bytes_of, release, store, without
 from incidentry.llm.recurrent import HEAD, KINDS
 
