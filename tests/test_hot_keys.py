@@ -123,3 +123,12 @@ def test_large_lookup_is_salted_and_complete(spark, monkeypatch):
     assert got.count() == 300
     assert got.where("k = 'hot' and n = 50").count() == 100
     assert got.where("n is null").count() == 100
+
+
+def test_copies_of_a_large_lookup_are_not_broadcast(spark, monkeypatch):
+    """The bytes that Spark estimates are those of the stored lookup, not of its copies."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    got = joins.lookup_join(spark.range(300), spark.range(300).withColumn("n", F.col("id") * 2), "id", "id")
+    assert got.where("n = 2 * id").count() == 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
