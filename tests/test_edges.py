@@ -214,6 +214,45 @@ def test_similar_in_passes_equals_one_pass(spark):
     assert sorted(map(tuple, similarity.similar(vectors, vectors, 3, pass_bytes=20_000).collect())) == whole and len(whole) == 360
 
 
+def test_similar_with_copies_ties_and_repeated_ids(spark):
+    from incidentry.operators import similarity
+
+    dice = np.random.default_rng(5)
+    places = dice.choice([0.0, 1.0, 2.0], size=(400, 3))
+    places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-9)
+    ids = [i // 2 if i < 60 else i for i in range(400)]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, places)], "id bigint, vector array<double>")
+    asked = [(i, row) for i, row in zip(ids, places) if i % 20 == 0 and i >= 60] + [(4, places[8])]
+    queries = spark.createDataFrame([(i, row.tolist()) for i, row in asked], df.schema)
+    got = {}
+    for r in similarity.similar(df, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["similarity"]))
+    assert len(got) == len(asked)
+    for query, place in asked:
+        scores = [(-(round(float(place @ row), 6) + 0.0), i) for i, row in zip(ids, places) if i != query]
+        assert got[query] == [(i, -score) for score, i in sorted(scores)[:4]]
+    assert similarity.similar(df, queries.where("id < 0"), 4).count() == 0
+
+
+def test_similar_holds_few_similarities_at_a_time():
+    """All of a block's at once would be 1600 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from incidentry.operators import similarity
+
+    dice = np.random.default_rng(6)
+    vectors, queries = dice.normal(size=(10_000, 4)), dice.normal(size=(20_000, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    block = pa.record_batch({"id": pa.array(range(10_000)), "vector": pa.array(vectors.tolist())})
+    tracemalloc.start()
+    found = pa.Table.from_batches(similarity._k_best(np.arange(100_000, 120_000), queries, [block], 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 60_000 and most < 200 << 20
+
+
 @pytest.mark.parametrize("spread", [0.02, 5.0])
 def test_all_rows_search_is_exact_and_prunes(spark, spread):
     """Vectors around 12 centres, with copies, ties and a zero vector; leaves of 40 rows."""
