@@ -132,3 +132,29 @@ def test_copies_of_a_large_lookup_are_not_broadcast(spark, monkeypatch):
     assert got.where("n = 2 * id").count() == 300
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_gate_rows_are_dealt_out_once_with_short_keys(spark, monkeypatch):
+    """Null tie breakers, empty ones and rows without a time among them."""
+    monkeypatch.setattr(gate, "settle", lambda df: df)
+    made = [(i, "k", None if i % 7 == 0 else START + timedelta(minutes=i // 4 * 30), [None, "", "b", "b"][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(made, "id bigint, k string, t timestamp_ntz, tie string")
+    got = gate.with_gate(df.repartition(3), ["k"], "t", "tie", 3600)
+    passed = [r for r in got.collect() if r["allowed"]]
+    times = {}
+    for _, _, at, tie in made:
+        if at is not None and (tie is not None or at not in times):
+            times[at] = min(tie, times[at]) if times.get(at) is not None else tie
+    last, expected = None, []
+    for at, tie in sorted(times.items()):
+        if last is None or at - last >= timedelta(hours=1):
+            expected.append((at, tie))
+            last = at
+    assert sorted((r["t"], r["tie"]) for r in passed) == expected and got.count() == 40 and got.columns == [*df.columns, "allowed"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = gate.with_gate(df, ["k"], "t", "tie", 3600)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "_tie" in line]
+    assert len(rows) == 2 and "sha2" in plan and "unhex" in plan  # the rows, and the alerts that pass
