@@ -131,3 +131,18 @@ def test_similar_to_all_matches_brute_force(spark, leaf_rows):
 def test_default_target_needs_no_histories(spark):
     table = classifiers.with_label(derive(incidents(spark, FOLDER)))
     assert table.where("label = 1 and severity_numeric < 3").count() == 0
+
+
+def test_splits_of_stored_scaled_vectors_follow_their_bytes(spark, monkeypatch):
+    """Few different values pack well, so a split of a packed file would hold far more rows."""
+    import os
+
+    from incidentry import session
+
+    stored = []
+    monkeypatch.setattr(clustering, "settle", lambda df, **how: stored.append(session.settle(df, **how)) or stored[-1])
+    df = spark.range(20_000).selectExpr("id incident_id", *[f"cast(id % {n} as double) c{n}" for n in range(2, 10)])
+    found = clustering.clusters(df, k=2, components=2, scaled=True, starts=1)
+    assert found.count() == 20_000
+    paths = [path.removeprefix("file:").removeprefix("//") for path in stored[-1].inputFiles()]
+    assert sum(os.path.getsize(path) for path in paths) > 20_000 * 8 * 8
