@@ -8,12 +8,14 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incidentry import fixed_values as fixed
 
 REPORT = "feature string, category string, reason string, value double, kept boolean"
 SKETCH_BITS = 12  # relative error about 1.6 %
 MARGIN = 0.1
+WHOLE = 2.0**53  # up to here a double holds every whole number
 
 
 def first_pattern(name: str, patterns: Sequence[str]) -> str | None:
@@ -75,27 +77,55 @@ class LeakageGuard(Estimator):
         rows = [(name, category, reason, value, name in kept) for name, category, reason, value in report]
         return LeakageGuardModel(kept, rows, self.features)
 
+    def _long(self, dataset: DataFrame, names: Sequence[str]) -> DataFrame:
+        """(pos, value, label): a row per cell, as an aggregation of each column by itself is more code than the JVM compiles."""
+        cells = F.posexplode(F.array(*[F.col(f"`{name}`").cast("double") for name in names])).alias("pos", "value")
+        return dataset.select(F.col(self.label).cast("double").alias("label"), cells)
+
     def _statistics(self, dataset: DataFrame):
-        """Everything about every candidate in one aggregation."""
-        label = F.col(self.label).cast("double")
-        cells = []
-        for i, name in enumerate(self.candidates):
-            value = F.col(f"`{name}`").cast("double")
-            cells += [
-                F.count(value).alias(f"n{i}"),
-                F.stddev_pop(value).alias(f"s{i}"),
-                F.abs(F.corr(value, label)).alias(f"c{i}"),
-                F.hll_sketch_estimate(
-                    F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(SKETCH_BITS))
-                ).alias(f"d{i}"),
-            ]
-        row = dataset.agg(F.count(F.lit(1)).alias("rows"), *cells).first()
-        finite = {
-            name: (row[f"c{i}"] if row[f"c{i}"] is not None and row[f"c{i}"] == row[f"c{i}"] else None)
-            for i, name in enumerate(self.candidates)
+        """Everything about every candidate but distinct values, in one aggregation."""
+        value, label = F.col("value"), F.col("label")
+        spreads = F.stddev_pop(F.when(label.isNotNull(), value)) * F.stddev_pop(F.when(value.isNotNull(), label))
+        measures = {
+            "rows": F.count(F.lit(1)),
+            "n": F.count(value),
+            "s": F.stddev_pop(value),
+            "c": F.abs(F.try_divide(F.covar_pop(value, label), spreads)),  # ``corr`` fails on a column that is constant
+            "low": F.min(value),
+            "high": F.max(value),
+            "whole": F.bool_and(value == F.rint(value)),
         }
+        row = {"rows": 0} | {f"n{i}": 0 for i in range(len(self.candidates))}
+        found = self._long(dataset, self.candidates).groupBy("pos").agg(*[m.alias(name) for name, m in measures.items()])
+        for one in found.collect():  # one for each candidate
+            row["rows"] = one["rows"]
+            row |= {f"{name}{one['pos']}": one[name] for name in measures if name != "rows"}
+        finite = {}
+        for i, name in enumerate(self.candidates):
+            corr = row.get(f"c{i}")
+            finite[name] = corr if corr is not None and corr == corr else None
         return row, finite
 
+    def _many_valued(self, dataset: DataFrame, row, names: Sequence[str]) -> list[str]:
+        """Columns that may have distinct values in nearly every row; whole numbers from a narrow range cannot."""
+        found = []
+        for name in names:
+            i, kind = self.candidates.index(name), dataset.schema[name].dataType
+            low, high = row[f"low{i}"], row[f"high{i}"]
+            exact = isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType, T.BooleanType)) and row[f"whole{i}"]
+            narrow = -WHOLE < low and high < WHOLE and high - low + 1 < (self.max_unique_ratio - MARGIN) * row["rows"]
+            if not (exact and narrow):
+                found.append(name)
+        return found
+
+    def _sketched(self, dataset: DataFrame, names: Sequence[str]) -> dict[str, int]:
+        """About the number of distinct values of each column."""
+        if not names:
+            return {}
+        hashed = F.when(F.col("value").isNotNull(), F.xxhash64("value"))
+        sketch = F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(SKETCH_BITS))).alias("d")
+        return {names[one["pos"]]: one["d"] for one in self._long(dataset, names).groupBy("pos").agg(sketch).collect()}
+
     def _examine(self, dataset: DataFrame):
         row, correlations = self._statistics(dataset)
         report, alive = [], []
@@ -112,8 +142,8 @@ class LeakageGuard(Estimator):
                 alive.append(name)
                 if corr is not None and corr >= self.corr_threshold:
                     report.append((name, "correlation_drops", None, corr))
-        rough = {name: row[f"d{self.candidates.index(name)}"] for name in alive}
-        for name, ratio in distinct_ratios(dataset, alive, row["rows"], rough, self.max_unique_ratio).items():
+        many = self._many_valued(dataset, row, alive)
+        for name, ratio in distinct_ratios(dataset, many, row["rows"], self._sketched(dataset, many), self.max_unique_ratio).items():
             if ratio >= self.max_unique_ratio:
                 report.append((name, "unique_ratio_drops", None, ratio))
         dropped = {entry[0] for entry in report}

@@ -70,6 +70,29 @@ def test_guard_with_given_columns_checks_names_only(spark):
     assert model.kept == ["hour"]
 
 
+def test_guard_is_fitted_once_per_fold_for_all_models(rows, monkeypatch):
+    fits = []
+    fit = LeakageGuard._fit
+    monkeypatch.setattr(LeakageGuard, "_fit", lambda self, dataset: fits.append(1) or fit(self, dataset))
+    models = classifiers.compare_models(rows)
+    assert len(fits) == 4  # all training rows, and three folds
+    assert all(0 <= trained.cv_accuracy <= 1 for trained in models.values())
+
+
+def test_guard_sketches_only_columns_that_may_be_distinct(spark, monkeypatch):
+    asked = []
+    sketched = LeakageGuard._sketched
+    monkeypatch.setattr(LeakageGuard, "_sketched", lambda self, dataset, names: asked.append(list(names)) or sketched(self, dataset, names))
+    made = [(i, i % 7, i / 3, float("nan") if i == 3 else float(i % 5), None, 1.0, None if i % 4 else i % 3, i % 2) for i in range(400)]
+    kinds = "number bigint, week int, third double, broken double, nothing double, same double, some int, label int"
+    model = LeakageGuard(["number", "week", "third", "broken", "nothing", "same", "some"]).fit(spark.createDataFrame(made, kinds))
+    categories = {row[0]: row[1] for row in model.rows if row[1]}
+    assert categories == {
+        "number": "unique_ratio_drops", "third": "unique_ratio_drops", "nothing": "all_null_drops", "same": "variance_drops",
+    }
+    assert asked == [["number", "third", "broken"]]
+
+
 def test_groups_stay_on_one_side(rows):
     halves = splits.group_split(rows, "participant_id").groupBy("participant_id").agg(F.count_distinct("is_test").alias("sides"))
     assert halves.where("sides > 1").count() == 0
