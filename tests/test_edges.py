@@ -1,11 +1,13 @@
 """Hand-made rows for the cases that look right on clean data."""
 
+import re
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from incidentry import fixed_values as fixed
 from incidentry.functions import clock, common, grades, places, wording
 from incidentry.operators import carers, geography, joins, reports, rules
 from incidentry.plans import prepare
@@ -117,6 +119,55 @@ def test_extended_mitigations_escalate_reportable_moderate(spark):
     assert df.select(wording.mitigations().alias("y")).first()["y"][0].startswith("Log incident")
 
 
+def _spelled(parsed):
+    """Every text a pattern of the rules stands for, boundaries and ``.*`` left out."""
+    from itertools import product
+
+    found = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            each = [chr(value)]
+        elif name == "IN":
+            each = [chr(code) for _, code in value]
+        elif name == "BRANCH":
+            each = [text for branch in value[1] for text in _spelled(branch)]
+        elif name == "SUBPATTERN":
+            each = _spelled(value[3])
+        elif name == "MAX_REPEAT":
+            each = ["", *(_spelled(value[2]) if str(value[2][0][0]) != "ANY" else [])]
+        else:
+            assert name == "AT"
+            each = [""]
+        found = [a + b for a, b in product(found, each)]
+    return found
+
+
+def test_stems_are_in_whatever_a_factor_pattern_matches():
+    from re import _parser
+
+    for (pattern, _), stems in zip(fixed.FACTOR_PATTERNS, fixed.FACTOR_STEMS, strict=True):
+        texts = _spelled(_parser.parse(pattern))
+        assert all(any(stem in text for stem in stems) for text in texts), pattern
+        assert all(any(stem in text for text in texts) for stem in stems), pattern
+
+
+def test_factor_rules_run_on_one_copy_of_the_text(spark):
+    plan = spark.range(1).select(wording.factor_label(F.concat(F.lit("Wet "), F.col("id").cast("string"))).alias("y"))
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("lower(") == 1
+
+
+def test_factor_words_do_not_depend_on_where_the_text_is_cut(spark):
+    made = []
+    for size in range(240, 260):
+        made += [("of " * 80 + "x" * (size - 240) + " first second", size), ("qqq" + "," * (size - 10) + "abcdefgh rest", size), ("of,the," * 200 + "last", size)]
+    table = rows(spark, "s string, size int", *made)
+    for row in table.select("s", "size", wording.factor_label("s").alias("y")).collect():
+        words = [w for w in re.findall(fixed.FACTOR_TOKEN_PATTERN, row["s"]) if w not in fixed.FACTOR_STOP_WORDS]
+        assert row["y"] == " ".join(w.capitalize() for w in words[:2])
+
+
 def test_factor_labels(spark):
     df = rows(spark, "s string", ("  Wet Floor not clearly marked ",), ("Depressed mood",), ("of the staff",), ("",), (None,),
               ("purple x-ray elephants",), ("staff training and fatigue",))
