@@ -5,16 +5,23 @@ every vector goes to the nearest. The number of nodes follows the number of vect
 are from each centre of the node. Vectors meet the centres on their way down and their own leaf first, which is where a descent by the nearest
 centres ends. The similarity reached there is a bound, and the vector goes down the tree again, level by level, to all children whose
 rings may hold something as similar. Rows of a node that very many vectors visit are spread over salts.
+
+Where vectors do not fall into clusters most leaves would be visited by most vectors, and the visits alone would grow with the square of the
+rows. They are counted for some vectors first. If a vector visits more leaves than there are parts of PART_BYTES, it goes to every part once
+instead, with its bound, and meets there the pieces of leaves that are within its reach. Parts are as few as memory allows, so what is shuffled is
+a small multiple of the input; only the products grow with the square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +29,9 @@ from incidentry.operators.joins import lookup_join
 from incidentry.session import settle
 
 FAN, LEAF_ROWS, NODE_ROWS = 16, 4096, 8192
+PROBES = 512  # vectors whose visits are counted
+PART_BYTES = 48 << 20
+BLOCK_ROWS, PIECE_ROWS, PENDING = 2048, 256, 1 << 13
 SLACK = 1e-6  # similarities are rounded
 PAIRS = "left_id bigint, right_id bigint, similarity double"
 Search = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
@@ -140,11 +150,100 @@ def visits(bounded: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def compared(groups: DataFrame, k: int, search: Search, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def compared(groups: DataFrame, k: int, search: Search, leaf_rows: int = LEAF_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(left_id, right_id, similarity): for every vector lists that hold its k + 1 most similar ones, itself included."""
     tree = build(groups, k, leaf_rows)
     own = settle(tree.leaves.groupBy("node").applyInPandas(lambda part: search(part, part), PAIRS))
-    return own.unionByName(_met(visits(bounds(tree, own, k), tree.levels), tree.leaves, search, PAIRS))
+    bounded = settle(bounds(tree, own, k))
+    size = bounded.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(8 * F.size("vector")), F.lit(0)).alias("bytes")).first()
+    some = settle(bounded.orderBy(F.xxhash64("group_id")).limit(PROBES))
+    parts = max(-(-size["bytes"] // part_bytes), math.isqrt(9 * groups.sparkSession.sparkContext.defaultParallelism))
+    if visits(some, tree.levels).count() > parts * min(PROBES, size["rows"]):
+        return _met_in_parts(bounded, k, parts)
+    return own.unionByName(_met(visits(bounded, tree.levels), tree.leaves, search, PAIRS))
+
+
+def _met_in_parts(bounded: DataFrame, k: int, parts: int, digits: int = 6) -> DataFrame:
+    """PAIRS of every vector with the k + 1 most similar ones of each part that reach its bound; a pair is met in one task."""
+    part, every = F.pmod(F.xxhash64("group_id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = bounded.select("group_id", "vector", "bound", "own", part.alias("row"), every.alias("column"))
+    right = bounded.select("group_id", "vector", "own", every.alias("row"), part.alias("column"))
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        columns = _near(some, others, k, digits) if some.num_rows and others.num_rows else [[], [], []]
+        kinds = {"left_id": pa.int64(), "right_id": pa.int64(), "similarity": pa.float64()}
+        return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns)})
+
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(meet, PAIRS)
+
+
+def _by_leaf(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by leaf, and their ids and vectors in this order."""
+    order = np.argsort(np.asarray(table.column("own")), kind="stable")
+    vectors = np.asarray(table.column("vector").combine_chunks().flatten(), dtype=float).reshape(len(order), -1)
+    return order, np.asarray(table.column("group_id"))[order], vectors[order]
+
+
+def _near(some: pa.Table, others: pa.Table, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left_id, right_id, similarity): the k + 1 best of ``others`` for each of ``some``, none that is known not to be among the best of all.
+
+    Products of single precision find the pairs that may reach the bound, with room for their error; similarities are computed in double.
+    """
+    order, left_ids, q = _by_leaf(some)
+    _, right_ids, x = _by_leaf(others)
+    bound = np.asarray(some.column("bound"), dtype=float)[order]
+    # an error of single precision is at most this for vectors of length one, and similarities are rounded
+    slack = (q.shape[1] + 8) * 2.0**-23 + SLACK
+    q4, x4 = q.astype(np.float32), x.astype(np.float32)
+    pieces = [(low, min(len(x), low + PIECE_ROWS)) for low in range(0, len(x), PIECE_ROWS)]
+    centres = np.array([x[low:high].mean(axis=0) for low, high in pieces])
+    radii = np.array([distances(x[low:high], centre[None]).max() for (low, high), centre in zip(pieces, centres)])
+    squares = (q**2).sum(axis=1) + 1
+    found = []
+    for first in range(0, len(q), BLOCK_ROWS):
+        block, last = slice(first, first + BLOCK_ROWS), min(len(q), first + BLOCK_ROWS)
+        odd = ~np.isfinite(q[block]).all(axis=1)
+        reached, pending, waiting = bound[block].copy(), [], 0
+        away = distances(q[block], centres) - radii
+        for (low, high), gap in zip(pieces, away.T):
+            # see _may_hold; what is no number is never out of reach
+            near = ~(gap > np.sqrt(np.maximum(squares[block] - 2 * (reached - SLACK), 0)) + SLACK)
+            rows = np.flatnonzero(near)
+            if not len(rows):
+                continue
+            whole = 2 * len(rows) > last - first
+            if whole:
+                rows = np.arange(last - first)
+            side = q4[block] if whole else q4[first + rows]
+            row, column = np.divmod(np.flatnonzero(~(side @ x4[low:high].T < (reached[rows] - slack).astype(np.float32)[:, None])), high - low)
+            if not len(row):
+                continue
+            row = rows[row]
+            if 16 * len(row) > len(rows) * (high - low):
+                similar = (q[block] @ x[low:high].T)[row, column]
+            else:
+                similar = np.einsum("ij,ij->i", q[first + row], x[low + column])
+            similar = np.round(similar, digits) + 0.0
+            use = (similar >= reached[row]) | odd[row]
+            pending.append((row[use], right_ids[low + column[use]], similar[use]))
+            waiting += int(use.sum())
+            if waiting > PENDING:  # the sooner a row's bound is raised, the fewer pairs pass
+                pending, waiting = [_best_of(pending, k, reached)], 0
+        if pending:
+            row, ids, similar = _best_of(pending, k, reached)
+            found.append((left_ids[first + row], ids, similar))
+    return tuple(np.concatenate(columns) for columns in zip(*found)) if found else ([], [], [])
+
+
+def _best_of(pending: list[tuple], k: int, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k + 1 best (row, id, similarity) of each row, ties by id; what they reach is raised in place."""
+    row, ids, similar = (np.concatenate(columns) for columns in zip(*pending))
+    order = np.lexsort((ids, -similar, row))
+    row, ids, similar = row[order], ids[order], similar[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    full = rank == k
+    reached[row[full]] = np.fmax(reached[row[full]], similar[full])
+    return row[rank <= k], ids[rank <= k], similar[rank <= k]
 
 
 def bounds(tree: Tree, own: DataFrame, k: int) -> DataFrame:

@@ -323,6 +323,55 @@ def test_all_rows_search_is_exact_and_prunes(spark, spread):
         assert [(n, j) for n, j, _ in sorted(got[i])] == [(n + 1, j) for n, j in enumerate(best)]
 
 
+@pytest.mark.parametrize("part_bytes", [48 << 20, 4096])
+def test_vectors_without_clusters_meet_in_few_parts(spark, monkeypatch, part_bytes):
+    """Every vector would visit nearly every leaf; the answers are exact, and a vector is copied once for each part."""
+    from incidentry.operators import similarity, vector_tree
+
+    dice = np.random.default_rng(9)
+    made = dice.normal(size=(700, 16))
+    made = np.concatenate([made / np.linalg.norm(made, axis=1)[:, None], np.zeros((2, 16))])
+    made[600:605] = made[3]
+    made[650] = made[4] + 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "id bigint, vector array<double>")
+    calls = []
+    whole, compared = vector_tree._met_in_parts, vector_tree.compared
+    monkeypatch.setattr(vector_tree, "_met_in_parts", lambda bounded, k, parts: calls.append(parts) or whole(bounded, k, parts))
+    monkeypatch.setattr(vector_tree, "compared", lambda *a: compared(*a, part_bytes=part_bytes))
+    got = {}
+    for r in similarity.similar_to_all(df, 3, leaf_rows=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+    scores = np.round(made @ made.T, 6) + 0.0
+    for i in range(len(made)):
+        best = sorted((j for j in range(len(made)) if j != i), key=lambda j: (-scores[i, j], j))[:3]
+        assert sorted(got[i]) == [(n + 1, j, scores[i, j]) for n, j in enumerate(best)]
+    assert len(calls) == 1 and calls[0] == (8 if part_bytes > 4096 else 22)
+
+
+@pytest.mark.parametrize("pending", [1, 1 << 13])
+def test_near_pairs_of_a_part(monkeypatch, pending):
+    """Bounds of -1, ties, a bound that is reached to the digit, a zero vector and one that is no number."""
+    import pyarrow as pa
+    from incidentry.operators import vector_tree
+
+    dice = np.random.default_rng(4)
+    made = np.concatenate([np.repeat(dice.normal(size=(60, 8)), 5, axis=0), np.zeros((1, 8))])
+    made /= np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
+    scores = np.round(made @ made.T, 6) + 0.0
+    bound = np.where(np.arange(len(made)) % 2, -1.0, -np.sort(-scores, axis=1)[:, 2])
+    for name, value in (("PENDING", pending), ("BLOCK_ROWS", 64), ("PIECE_ROWS", 7)):
+        monkeypatch.setattr(vector_tree, name, value)
+    ids, leaf = np.arange(len(made)), np.arange(len(made)) % 9
+    vectors = [*made.tolist(), [float("nan")] * 8]
+    rows = pa.table({"group_id": [*ids, 900], "vector": vectors, "bound": [*bound, -1.0], "own": [*leaf, 0]})
+    left, right, similar = vector_tree._near(rows, rows, 2, 6)
+    got = {}
+    for a, b, s in zip(left.tolist(), right.tolist(), similar.tolist()):
+        got.setdefault(a, []).append((-s, b))
+    for i in range(len(made)):
+        assert sorted(got[i])[:3] == sorted((-scores[i, j], j) for j in ids.tolist())[:3]
+
+
 def _pairs(spark, n):
     """Products that the search makes over n vectors in tight clusters of about 12, and the answers' number."""
     from incidentry.operators import similarity, vector_tree
