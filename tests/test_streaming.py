@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from incidentry.operators import gate
@@ -32,6 +33,40 @@ def test_replay_in_many_batches_equals_the_fold(spark, tmp_path):
     assert sorted(r["alert_id"] for r in alerts.read_outbox(spark, str(tmp_path / "out")).collect()) == delivered
 
 
+class OneState:
+    """The state of one group of keys, outside a stream."""
+
+    hasTimedOut, exists, get, now = False, False, None, 10**12
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+
+def test_keys_of_a_group_are_decided_together(monkeypatch):
+    """Two runs over 3000 keys, most with few alerts, against a plain loop; only busy keys are taken one by one."""
+    calls, one = [], alerts._passing
+    monkeypatch.setattr(alerts, "_passing", lambda *a: calls.append(1) or one(*a))
+    dice, state, last = random.Random(3), OneState(), {}
+    for run in range(2):
+        keys = [f"k{dice.randrange(3000)}" for _ in range(6000)] + ["busy"] * 100 + ["hot"] * 17
+        times = [None if dice.random() < 0.05 else START + timedelta(seconds=dice.randrange(20_000)) for _ in keys]
+        rows = pd.DataFrame({"alert_key": keys, "alert_id": range(len(keys)), "channel": "sms", "reason": "r", "message": None, "event_time": pd.to_datetime(times)})
+        got = next(alerts._gate_state(3600, 10**9)((0,), iter([rows[:2500], rows[2500:]]), state))
+        expected = set()
+        for i in sorted((i for i, t in enumerate(times) if t), key=lambda i: (times[i], i)):
+            if keys[i] not in last or times[i] - last[keys[i]] >= timedelta(hours=1):
+                last[keys[i]] = times[i]
+                expected.add(i)
+        assert set(got.loc[got["allowed"], "alert_id"]) == expected and len(got) == len(rows)
+    assert len(calls) <= 4
+
+
 def test_two_alerts_never_pass_within_the_cooldown(spark):
     made = [(i, "k", START + timedelta(seconds=11 * i)) for i in range(200)]
     passed = gate.with_gate(spark.createDataFrame(made, SCHEMA), ["k"], "t", "id", 60, 2, 10).where("allowed").orderBy("t").collect()
