@@ -138,3 +138,49 @@ def test_levels_of_chunks(spark, monkeypatch):
             last[key] = at
             expected.add(i)
     assert allowed == expected
+
+
+def test_channels_of_a_row_are_decided_apart():
+    """A channel that comes later has let nothing pass; one that is left out keeps its last alert; state is some 20 bytes a key."""
+    state, n = OneState(), 5000
+    rows = pd.DataFrame({"alert_key": [f"k{i}" for i in range(n)], "alert_id": range(n), "event_time": pd.to_datetime([START + timedelta(minutes=7 * i) for i in range(n)])})
+
+    def passed(channels, minutes):
+        moved = rows.assign(event_time=rows["event_time"] + pd.Timedelta(minutes=minutes))
+        moved.loc[0, "event_time"] = pd.NaT
+        got = next(alerts._gate_state(3600, 10**9, ["alert_key", "alert_id"], channels)((0,), iter([moved]), state))
+        assert list(got.columns) == ["alert_key", "alert_id", *[f"allowed{i}" for i in range(len(channels))]]
+        assert not got.loc[got["alert_id"] == 0].iloc[0, 2:].any()
+        return [int(got[f"allowed{i}"].sum()) for i in range(len(channels))]
+
+    assert passed(["sms"], 0) == [n - 1]
+    assert passed(["email", "sms"], 30) == [n - 1, 0]
+    assert passed(["email"], 70) == [0]
+    assert passed(["sms", "email"], 70) == [n - 1, 0]
+    assert passed(["sms", "email"], 90) == [0, n - 1]
+    assert len(state.get[0]) < 30 * n
+
+
+def test_what_a_run_leaves_on_disk(spark, tmp_path):
+    """No shuffle files; rows of an alert are shuffled once, without message and key; state and outbox stay small for each."""
+    files, n = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), 20_000
+    shuffles = lambda: {name for name in files.getAllFiles().mkString(" ").split() if "shuffle_" in name}
+    size = lambda folder, ending: sum(f.stat().st_size for f in folder.rglob(f"*{ending}"))
+    made = spark.range(n).selectExpr(
+        "id AS incident_id", "'High' AS severity", "'Fall' AS incident_type", "'x' AS location", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * 7) AS incident_datetime",
+        "CAST(null AS DOUBLE) AS notification_delay_days", "0 AS reportable_bin", "timestamp_ntz'2024-01-01' AS incident_date",
+    )
+    folder, outbox, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    made.union(made).write.parquet(folder)
+    before, sent = shuffles(), []
+    schema, write = made.schema, alerts.drop_shuffles
+    alerts.drop_shuffles = lambda batch: (sent.extend(f for f in shuffles() - before if f.endswith(".data")), write(batch))
+    try:
+        alerts.deliver(alerts.route_stream(spark.readStream.schema(schema).parquet(folder), ["sms", "email", "email"]), outbox, state).awaitTermination()
+    finally:
+        alerts.drop_shuffles = write
+    assert sent and shuffles() <= before
+    got = alerts.read_results(spark, outbox).groupBy("channel", "allowed").count().collect()
+    assert {(r["channel"], r["allowed"]): r["count"] for r in got} == {("sms", True): n, ("sms", False): n, ("email", True): n, ("email", False): 3 * n}
+    assert size(tmp_path / "state", ".delta") < 40 * n
+    assert size(tmp_path / "out", ".parquet") < 30 * 6 * n
