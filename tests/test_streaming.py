@@ -183,4 +183,19 @@ def test_what_a_run_leaves_on_disk(spark, tmp_path):
     got = alerts.read_results(spark, outbox).groupBy("channel", "allowed").count().collect()
     assert {(r["channel"], r["allowed"]): r["count"] for r in got} == {("sms", True): n, ("sms", False): n, ("email", True): n, ("email", False): 3 * n}
     assert size(tmp_path / "state", ".delta") < 40 * n
-    assert size(tmp_path / "out", ".parquet") < 30 * 6 * n
+    assert size(tmp_path / "out", ".parquet") < 8 * 6 * n
+    keys = alerts.read_results(spark, outbox).select(F.col("alert_key") == gate.alert_key("alert_id", "reason", "channel"), F.length("alert_key")).distinct().collect()
+    assert [tuple(row) for row in keys] == [(True, 64)]
+
+
+def test_keys_of_other_parts_are_stored(spark, tmp_path):
+    """Only a key that its row can make again is left out of the outbox."""
+    made = spark.createDataFrame([(i, f"k{i % 3}", START + timedelta(hours=i)) for i in range(6)], SCHEMA)
+    keyed = alerts.keyed_alerts(made, ["k"], "t", "id")
+    for name, rows in (("other", keyed), ("mine", alerts.keyed_alerts(made.selectExpr("id", "k AS alert_reason", "'sms' AS channel", "t"), ["id", "alert_reason", "channel"], "t", "id"))):
+        folder, outbox = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        rows.coalesce(1).write.parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder).withColumn("allowed", F.lit(True))
+        alerts.deliver(stream, outbox, str(tmp_path / f"{name}-state")).awaitTermination()
+        assert alerts.read_outbox(spark, outbox).exceptAll(rows.select(*alerts.ALERT_NAMES)).isEmpty() and alerts.read_outbox(spark, outbox).count() == 6
+        assert spark.read.parquet(f"{outbox}/*/*").where("alert_key is null").count() == (6 if name == "mine" else 0)
